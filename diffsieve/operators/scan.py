@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -128,7 +129,7 @@ def rule_scan(parsed: DataFrame, pack: list[Rule] | DataFrame) -> DataFrame:
     }))
 
 
-def as_findings(found: DataFrame) -> DataFrame:
+def as_findings(found: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Complete rows to the finding schema: stable id, no verdict yet."""
     parts = [F.col(c).cast("string") for c in
              ("review_id", "filename", "line", "source", "category", "file_ord", "layer", "seq", "sub")]
@@ -136,7 +137,7 @@ def as_findings(found: DataFrame) -> DataFrame:
         "id": short_id(*parts),
         "false_positive": F.lit(False),
         "fp_reason": F.lit(None).cast("string"),
-    }).select(*FINDING_COLUMNS)
+    }).select(*FINDING_COLUMNS, *keep)
 
 
 # ---- weighted patterns ----------------------------------------------------------------------------------------
