@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and go on from the written copy.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir`` (shared storage, so a lost executor
-    costs nothing). Only a local session without that setting gets a temporary folder of its own.
+    It is the one the cluster names in ``spark.checkpoint.dir`` (shared storage, so a lost executor costs
+    nothing). Only a local session without that setting gets a temporary folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="diffsieve-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the checkpoint folder and go on from the written copy."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
