@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,9 @@ from .. import fixed_values as fv
 from .. import schemas
 from ..functions import text as tx
 from ..functions.answers import parse_answer
-from ..functions.python_checks import signature_valid, syntax_valid
+from ..functions.python_checks import signature_valid
 from ..functions.severity import severity_rank
-from ..functions.stats import rate_text, wilson_bounds
+from ..functions.stats import wilson_bounds
 from ..operators import classify, evaluate, report, scan, triage, units, worklist
 from ..operators import files as file_ops
 from ..operators import quality as quality_ops
@@ -197,7 +198,7 @@ def unpivot_pairs(spark, folder):
     pairs = table(spark, folder, "benchmark").select(
         F.col("item_id").cast("string").alias("id"),
         F.when(F.col("item_id") % 3 == 0, F.lit("semantic")).otherwise(F.lit("pattern")).alias("kind"),
-        F.col("text").alias("vulnerable"), F.upper("text").alias("safe"),
+        F.col("text").alias("vulnerable"), F.reverse("text").alias("safe"),
     )
     return file_source.unpivot_pairs(pairs)
 
@@ -611,8 +612,6 @@ def ensemble_flags(spark, folder):
 @query
 def user_flag(spark, folder):
     """A configuration judged by a user's own vectorised predicate; null means not judged."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def predicate(code: pd.Series, name: pd.Series) -> pd.Series:
         judged = code.str.contains("the", regex=False).astype("boolean")
@@ -935,7 +934,7 @@ def ratios(spark, folder):
 
 @query
 def event_time(spark, folder):
-    seconds = F.unix_micros("ts") / 1_000_000
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
     rows = table(spark, folder, "events").select("event_id", event_ops.event_time(seconds).alias("at"))
     return rows.select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
@@ -1044,9 +1043,3 @@ def answer_source(spark, folder):
     r = review(spark, folder)
     joined = r.parsed.join(r.quality_answers, ["review_id", "filename"])
     return joined.select("review_id", "file_ord", "filename", "answer")
-
-
-@query
-def syntax_of_corpus(spark, folder):
-    rows = review(spark, folder).parsed.filter("language = 'python'")
-    return rows.select("review_id", "file_ord", syntax_valid("content").alias("parses"))
