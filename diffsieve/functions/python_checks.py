@@ -9,9 +9,10 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def syntax_valid(text: pd.Series) -> pd.Series:
     """Whether a text parses as Python; an empty text does."""
 
@@ -31,7 +32,7 @@ def signature_valid(payload: Column, signature: Column, secret: str) -> Column:
         return F.lit(True)
     key = secret.encode()
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def check(payloads: pd.Series, signatures: pd.Series) -> pd.Series:
         def matches(body, given) -> bool:
             if not given or not given.startswith("sha256="):

@@ -1,8 +1,9 @@
 """Function units and their metrics, from the indentation structure of a line table.
 
-Files are placed by (review, file) once, before their lines are made. Every later step works on keys that begin
-with those two columns, so the whole extraction costs one shuffle of the sources, and a huge review is spread
-over the cluster file by file.
+Files are placed by file once, before their lines are made. Every later step works on keys that begin with the
+file's, so the whole extraction costs one shuffle of the sources, and a huge review is spread
+over the cluster file by file. Texts stay with the file; the line table carries only numbers and flags, and a
+unit's text is cut out of its file in the end.
 
 The idea: for an indentation level d of a file, every code line with an indentation of at most d starts a new
 *block*. A block whose first line is a ``def`` at exactly d is a function unit; it holds all its lines. So units,
@@ -28,143 +29,160 @@ _DECISIONS = r"\b(if|elif|for|while|and|or|except|assert|def)\b"
 _LOOPS_AND_TRY = ["for", "while", "try", "async for"]
 
 
-def code_lines(parsed: DataFrame) -> DataFrame:
-    """Lines of Python files with their code (strings and comments removed), indentation and block keyword.
+def python_sources(parsed: DataFrame) -> DataFrame:
+    """Python files with their source and its masked form (strings and comments removed), placed by file."""
+    files = parsed.filter((F.col("language") == "python") & (F.col("content") != ""))
+    source = files.select(*FILE, F.regexp_replace("content", "\r\n?", "\n").alias("content"))
+    return source.withColumn("masked", masked_source(F.col("content"))).repartition(*FILE)
+
+
+def code_lines(sources: DataFrame) -> DataFrame:
+    """Lines with indentation, block keyword and counts.
 
     `skip` marks lines that cannot open or close a block: blank lines, comments, text inside a triple-quoted
     string, and lines that continue an open bracket or a trailing backslash.
     """
-    files = (
-        parsed.filter((F.col("language") == "python") & (F.col("content") != ""))
-        .select(*FILE, F.regexp_replace("content", "\r\n?", "\n").alias("content"))
-        .repartition("review_id", "file_ord")
-    )
-    pairs = F.arrays_zip(
-        F.split("content", "\n").alias("text"), F.split(masked_source(F.col("content")), "\n").alias("masked")
-    )
-    lines = files.select(*FILE, F.posexplode(pairs).alias("pos", "l")).select(
+    pairs = F.arrays_zip(F.split("content", "\n").alias("text"), F.split("masked", "\n").alias("masked"))
+    lines = sources.select(*FILE, F.posexplode(pairs).alias("pos", "l"))
+    text, masked = F.col("l.text"), F.col("l.masked")
+    inside = F.startswith(masked, F.lit(INSIDE))
+    lines = lines.select(
         *FILE,
         (F.col("pos") + 1).alias("line"),
-        F.col("l.text").alias("text"),
-        F.replace("l.masked", F.lit(INSIDE), F.lit("")).alias("code"),
-        F.startswith("l.masked", F.lit(INSIDE)).alias("inside"),
+        inside.alias("inside"),
+        (~text.rlike(r"\S")).alias("blank"),
+        (text.rlike(r"^[ \t]*#") & ~inside).alias("comment"),
+        F.length(F.regexp_extract(text, r"^[ \t]*", 0)).alias("indent"),
+        (F.length(F.translate(masked, ")]}", "")) - F.length(F.translate(masked, "([{", ""))).alias("brackets"),
+        masked.rlike(r"\\[ \t]*$").alias("backslash"),
+        F.size(F.regexp_extract_all(masked, F.lit(_DECISIONS), F.lit(0))).alias("decisions"),
+        F.when(masked.rlike(_HEAD), F.regexp_replace(F.regexp_extract(masked, _HEAD, 1), "[ \t]+", " "))
+        .when(masked.rlike(_CASE), F.regexp_extract(masked, _CASE, 1)).alias("word"),
     )
-    code = F.col("code")
-    lines = lines.withColumns({
-        "blank": ~F.col("text").rlike(r"\S"),
-        "comment": F.col("text").rlike(r"^[ \t]*#") & ~F.col("inside"),
-        "indent": F.length(F.regexp_extract("text", r"^[ \t]*", 0)),
-        "brackets": F.length(F.translate(code, ")]}", "")) - F.length(F.translate(code, "([{", "")),
-    })
     by_file = Window.partitionBy(*FILE).orderBy("line")
     open_before = F.sum("brackets").over(by_file.rowsBetween(Window.unboundedPreceding, -1))
-    backslash = F.lag(code.rlike(r"\\[ \t]*$")).over(by_file)
-    lines = lines.withColumn(
-        "continued", (F.coalesce(open_before, F.lit(0)) > 0) | F.coalesce(backslash, F.lit(False))
-    )
+    continued = (F.coalesce(open_before, F.lit(0)) > 0) | F.coalesce(F.lag("backslash").over(by_file), F.lit(False))
+    lines = lines.withColumns({
+        "continued": continued,
+        "closes_text": F.col("inside") & ~F.coalesce(F.lead("inside").over(by_file), F.lit(False)),
+    })
     lines = lines.withColumn("skip", F.col("blank") | F.col("comment") | F.col("inside") | F.col("continued"))
-    word = F.when(code.rlike(_HEAD), F.regexp_replace(F.regexp_extract(code, _HEAD, 1), "[ \t]+", " "))
-    word = word.when(code.rlike(_CASE), F.regexp_extract(code, _CASE, 1))
-    return lines.withColumn("word", F.when(~F.col("skip"), word))
+    return lines.withColumn("word", F.when(~F.col("skip"), F.col("word"))).drop("brackets", "backslash")
 
 
 def _leveled(lines: DataFrame) -> DataFrame:
-    """Every line once per indentation level at which its file opens a block, with its block at that level."""
-    levels = F.collect_set(F.when(F.col("word").isNotNull(), F.col("indent"))).over(Window.partitionBy(*FILE))
-    rows = lines.withColumn("levels", levels).withColumn("level", F.explode("levels")).drop("levels")
+    """Lines once per indentation level at which their file opens a block, with their block at that level.
+
+    Lines that neither open, close, extend nor count (blank, comment, inner lines of a long string) are left out.
+    """
+    levels = F.collect_set(F.when(F.col("word").isNotNull(), F.col("indent"))).over(
+        Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
+    idle = F.col("blank") | F.col("comment") | (F.col("inside") & ~F.col("closes_text"))
+    rows = lines.withColumn("levels", levels).filter(~idle | F.col("continued"))
+    rows = rows.withColumn("level", F.explode("levels")).drop("levels")
 
-    by_level = Window.partitionBy(*FILE, "level").orderBy("line")
-    closes = ~F.col("skip") & (F.col("indent") <= F.col("level"))
+    # Everything below runs over one sort: by level, then by line.
+    by_level = Window.partitionBy(*FILE, "level").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     at_level = ~F.col("skip") & (F.col("indent") == F.col("level"))
-    continues = at_level & F.col("word").isin(_CONTINUES)
-    count = lambda condition: F.sum(F.when(condition, 1).otherwise(0))
+    word = F.coalesce("word", F.lit(""))
+    starts_block = ~F.col("skip") & (F.col("indent") <= F.col("level"))
+    starts_chain = starts_block & ~(at_level & word.isin(_CONTINUES))
+    own_word = F.when(at_level, word).otherwise(F.lit(""))
+    carried = lambda condition, value: F.last(F.when(condition, value), ignorenulls=True).over(by_level)
     rows = rows.withColumns({
-        "block": count(closes).over(by_level),
-        "chain": count(closes & ~F.coalesce(continues, F.lit(False))).over(by_level),
         "own": at_level & F.col("word").isNotNull(),
+        "block_line": carried(starts_block, F.col("line")),
+        "block_word": carried(starts_block, own_word),
+        "chain_word": carried(starts_chain, own_word),
+        "_elifs": F.sum(F.when(at_level & (word == "elif"), 1).otherwise(0)).over(by_level),
     })
-
-    in_block = Window.partitionBy(*FILE, "level", "block").orderBy("line")
-    in_chain = Window.partitionBy(*FILE, "level", "chain").orderBy("line")
-    return rows.withColumns({
-        "chain_word": F.first(F.when(F.col("own"), F.col("word"))).over(in_chain),
-        "elifs": count(F.col("own") & (F.col("word") == "elif")).over(in_chain),
-        "block_word": F.first(F.when(F.col("own"), F.col("word"))).over(in_block),
-        "block_line": F.first("line").over(in_block),
-    })
+    return rows.withColumn("elifs", F.col("_elifs") - F.coalesce(carried(starts_chain, F.col("_elifs")), F.lit(0))).drop("_elifs")
 
 
 def _with_depths(rows: DataFrame) -> DataFrame:
     """Adds, per line and level, the nesting below that level, and per line its depth in the syntax tree."""
     inner = F.col("indent") > F.col("level")
+    own_word = F.when(F.col("own"), F.col("word")).otherwise(F.lit(""))
     nests = F.col("chain_word").isin(_NESTING)
     nesting = (
-        F.when(inner & nests, 1 + F.col("elifs"))
-        .when(F.col("own") & (F.col("word") == "elif"), 1 + F.col("elifs"))
-        .when(F.col("own") & F.col("word").isin(_NESTING), 1)
+        F.when((inner & nests) | (own_word == "elif"), 1 + F.col("elifs"))
+        .when(own_word.isin(_NESTING), 1)
         .otherwise(0)
     )
     tree = (
-        F.when(inner & F.col("block_word").isin("except", "case"), F.when(F.col("block_word") == "case", 1).otherwise(2))
-        .when(inner & (F.col("chain_word") == "if"), 1 + F.col("elifs"))
-        .when(inner & F.col("chain_word").isNotNull(), 1)
-        .otherwise(0)
+        F.when(~inner | (F.col("chain_word") == ""), 0)
+        .when(F.col("block_word") == "except", 2)
+        .when(F.col("chain_word") == "if", 1 + F.col("elifs"))
+        .otherwise(1)
     )
-    enclosing_def = inner & F.col("block_word").isin("def", "async def")
-    line = Window.partitionBy(*FILE, "line")
-    downwards = line.orderBy(F.desc("level"))
-    opens = F.col("word").isNotNull()
+    enclosing_def = F.when(inner & F.col("block_word").isin("def", "async def"), 1).otherwise(0)
+    ends_loop = F.when((own_word == "else") & F.col("chain_word").isin(_LOOPS_AND_TRY), 1).otherwise(0)
+    # One sort again: by line, from the innermost level outwards.
+    outwards = Window.partitionBy(*FILE, "line").orderBy(F.desc("level"))
+    so_far = outwards.rowsBetween(Window.unboundedPreceding, 0)
+    nearer = outwards.rowsBetween(Window.unboundedPreceding, -1)
+    whole = outwards.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.withColumns({
-        "nesting": F.when(opens, F.sum(nesting).over(downwards)),
-        "tree_depth": F.sum(tree).over(line),
-        "defs_above": F.sum(F.when(enclosing_def, 1).otherwise(0)).over(line),
-        "defs_between": F.sum(F.when(enclosing_def, 1).otherwise(0)).over(
-            downwards.rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        "loop_else": F.max(
-            F.when(F.col("own") & (F.col("word") == "else") & F.col("chain_word").isin(_LOOPS_AND_TRY), 1).otherwise(0)
-        ).over(line),
+        "nesting": F.sum(nesting).over(so_far),
+        "tree_depth": F.sum(tree).over(whole),
+        "defs_above": F.sum(enclosing_def).over(whole),
+        "defs_between": F.coalesce(F.sum(enclosing_def).over(nearer), F.lit(0)),
+        "loop_else": F.max(ends_loop).over(whole),
     })
 
 
-def _word_count(code: Column) -> Column:
-    return F.size(F.regexp_extract_all(code, F.lit(_DECISIONS), F.lit(0)))
+_PLACE = 1 << 32
 
 
-def blocks(parsed: DataFrame) -> DataFrame:
-    """All functions and classes with span, text and metrics; `unit_ord` numbers a file's functions.
-
-    Functions are numbered breadth-first: by depth in the syntax tree, then by line.
-    """
-    rows = _with_depths(_leveled(code_lines(parsed)))
+def block_spans(sources: DataFrame) -> DataFrame:
+    """Functions and classes with first line, last line, first body line and counts; no texts."""
+    rows = _with_depths(_leveled(code_lines(sources)))
     rows = rows.filter(F.col("block_word").isin("def", "async def", "class"))
-    start = F.col("line") == F.col("block_line")
-    after = F.col("line") > F.col("block_line")
-    counts = ~F.col("blank") & ~F.col("comment")
-    is_def = F.coalesce(F.col("word").isin("def", "async def"), F.lit(False))
-    end = F.max(F.when(counts, F.col("line")))
-    signature_end = F.coalesce(F.min(F.when(after & ~F.col("continued"), F.col("line"))), F.max("line") + 1)
-    grouped = rows.groupBy(*FILE, "level", "block").agg(
-        F.first("block_word").alias("word"),
-        F.min("line").alias("start_line"),
-        end.alias("end_line"),
-        signature_end.alias("body_line"),
-        F.sort_array(F.collect_list(F.struct("line", "text", "code", counts.alias("counts")))).alias("lines"),
+    line, start = F.col("line"), F.col("line") == F.col("block_line")
+    after = ~start
+    word = F.coalesce("word", F.lit(""))
+    is_def = word.isin("def", "async def")
+    is_nested = after & (F.col("indent") > F.col("level")) & (word.isin(_NESTING) | (word == "elif"))
+    # Deepest first, and of equally deep lines the first: depth and line share one number.
+    deepest = F.max(F.when(is_nested, F.col("nesting") * _PLACE + (_PLACE - 1 - line)))
+    spans = rows.groupBy(*FILE, "level", F.col("block_line").alias("start_line"), "block_word").agg(
+        F.max(F.when(~F.col("blank") & ~F.col("comment"), line)).alias("end_line"),
+        F.max("line").alias("_last"),
+        F.min(F.when(after & ~F.col("continued"), line)).alias("_body"),
         F.max(F.when(start, F.col("tree_depth"))).alias("tree_depth"),
         F.max(F.when(start, F.col("defs_above"))).alias("defs_above"),
-        F.max(F.when(after & ~F.col("skip") & _below(), F.struct("nesting", (-F.col("line")).alias("minus")))).alias("deepest"),
-        (F.sum(_word_count(F.col("code"))) + F.sum("loop_else")).alias("decisions"),
-        F.count_if(after & is_def & (F.coalesce("defs_between", F.lit(0)) == 0)).alias("methods"),
-        F.count_if(is_def).alias("defs"),
+        deepest.alias("_deepest"),
+        (F.sum("decisions") + F.sum("loop_else")).alias("decisions"),
+        F.count_if(after & is_def & (F.col("defs_between") == 0)).alias("methods"),
     )
-    body = F.filter("lines", lambda x: x["line"] <= F.col("end_line"))
-    text = F.array_join(F.transform(body, lambda x: x["text"]), "\n")
-    head = F.filter("lines", lambda x: x["line"] < F.col("body_line"))
-    signature = F.array_join(F.transform(head, lambda x: x["code"]), " ")
-    first = F.filter("lines", lambda x: (x["line"] >= F.col("body_line")) & x["counts"])
-    result = grouped.select(
+    return spans.select(
         *FILE,
-        F.when(F.col("word") == "class", F.lit("class")).otherwise(F.lit("def")).alias("kind"),
+        F.when(F.col("block_word") == "class", F.lit("class")).otherwise(F.lit("def")).alias("kind"),
+        "start_line", "end_line",
+        F.coalesce("_body", F.col("_last") + 1).alias("body_line"),
+        "tree_depth", "defs_above",
+        F.coalesce(F.expr(f"cast(_deepest div {_PLACE} as int)"), F.lit(0)).alias("nesting_depth"),
+        F.coalesce((_PLACE - 1 - F.col("_deepest") % _PLACE).cast("int"), F.lit(0)).alias("nesting_line"),
+        "decisions", "methods",
+    )
+
+
+def blocks(parsed: DataFrame) -> DataFrame:
+    """All functions and classes with span, text and metrics; `unit_ord` numbers a file's functions.
+
+    Functions are numbered breadth-first: by depth in the syntax tree, then by line. Spans meet their file's text
+    in a join whose sides are already placed by file.
+    """
+    sources = python_sources(parsed)
+    texts = sources.select(*FILE, F.split("content", "\n").alias("texts"), F.split("masked", "\n").alias("codes"))
+    joined = block_spans(sources).join(texts, FILE)
+    start = F.col("start_line")
+    text = F.array_join(F.slice("texts", start, F.col("end_line") - start + 1), "\n")
+    signature = F.array_join(F.slice("codes", start, F.col("body_line") - start), " ")
+    result = joined.select(
+        *FILE,
+        "kind",
         F.regexp_extract(signature, r"(?:def|class)[ \t]+(\w+)", 1).alias("name"),
         "start_line",
         "end_line",
@@ -172,23 +190,16 @@ def blocks(parsed: DataFrame) -> DataFrame:
         "tree_depth",
         "defs_above",
         _parameters(signature).alias("params"),
-        _has_docstring(head, first).alias("has_docstring"),
-        F.coalesce("deepest.nesting", F.lit(0)).alias("nesting_depth"),
-        F.coalesce(-F.col("deepest.minus"), F.lit(0)).alias("nesting_line"),
-        F.col("decisions").alias("decisions"),
+        _has_docstring().alias("has_docstring"),
+        "nesting_depth",
+        "nesting_line",
+        "decisions",
         "methods",
     )
     order = Window.partitionBy(*FILE, "kind").orderBy("tree_depth", "start_line")
     return result.withColumn("unit_ord", F.row_number().over(order))
 
 
-def _below() -> Column:
-    """Lines that belong to the block's inside, with a nesting count of their own."""
-    return F.col("nesting").isNotNull() & (F.col("indent") > F.col("level")) & (
-        F.col("word").isin(_NESTING) | (F.col("word") == "elif")
-    )
-
-
 def _parameters(signature: Column) -> Column:
     """Number of parameters; a bare `*` and `/` are none."""
     inner = F.regexp_extract(signature, r"^[^(]*\((.*)$", 1)
@@ -199,12 +210,16 @@ def _parameters(signature: Column) -> Column:
     return F.size(F.filter(parts, lambda p: ~p.isin("", "*", "/")))
 
 
-def _has_docstring(head: Column, body: Column) -> Column:
+def _has_docstring() -> Column:
     """Whether the first statement of the body is nothing but a string literal."""
-    first = F.get(body, F.lit(0))
-    literal = first["text"].rlike(r"^[ \t]*[rRuU]?[\"']") & F.trim(first["code"]).isin("", "r", "R", "u", "U")
-    last = F.element_at(head, -1)
-    one_line = last["code"].rlike(r":[ \t]*$") & last["text"].rlike(r"[\"'][ \t]*$")
+    # Blank and comment lines may stand before the first statement.
+    body = F.slice(
+        F.arrays_zip("texts", "codes"), F.col("body_line"), F.greatest(F.col("end_line") - F.col("body_line") + 1, F.lit(0))
+    )
+    first = F.get(F.filter(body, lambda x: x["texts"].rlike(r"^[ \t]*[^# \t\n]")), F.lit(0))
+    literal = first["texts"].rlike(r"^[ \t]*[rRuU]?[\"']") & F.trim(first["codes"]).isin("", "r", "R", "u", "U")
+    last = F.col("body_line") - 2
+    one_line = F.get("codes", last).rlike(r":[ \t]*$") & F.get("texts", last).rlike(r"[\"'][ \t]*$")
     return F.coalesce(literal, F.lit(False)) | F.coalesce(one_line, F.lit(False))
 
 
@@ -243,26 +258,30 @@ _KEYWORDS = (
 
 
 def maintainability(parsed: DataFrame) -> DataFrame:
-    """Maintainability index (0-100) per Python file: the published formula on token counts of the line table."""
-    lines = code_lines(parsed)
-    counts = ~F.col("blank") & ~F.col("comment")
-    tokens = lambda pattern: F.flatten(F.collect_list(F.regexp_extract_all("code", F.lit(pattern), F.lit(0))))
-    per_file = lines.groupBy(*FILE).agg(
-        tokens(_OPERATOR).alias("operators"),
-        F.filter(tokens(_OPERAND), lambda t: ~t.isin(_KEYWORDS)).alias("operands"),
-        (F.sum(_word_count(F.col("code"))) + 1).alias("complexity"),
+    """Maintainability index (0-100) per Python file: the published formula on token and line counts."""
+    sources = python_sources(parsed)
+    counts = code_lines(sources).groupBy(*FILE).agg(
+        (F.sum("decisions") + 1).alias("complexity"),
         F.count_if(~F.col("skip")).alias("statements"),
-        F.count_if(counts).alias("sloc"),
+        F.count_if(~F.col("blank") & ~F.col("comment")).alias("sloc"),
         F.count_if(F.col("comment") | F.col("inside")).alias("comments"),
     )
-    length = F.size("operators") + F.size("operands")
-    vocabulary = F.size(F.array_distinct("operators")) + F.size(F.array_distinct("operands"))
-    volume = length * F.log2(vocabulary)
+    tokens = lambda pattern: F.regexp_extract_all("masked", F.lit(pattern), F.lit(0))
+    texts = sources.select(
+        *FILE,
+        tokens(_OPERATOR).alias("operators"),
+        F.filter(tokens(_OPERAND), lambda t: ~t.isin(_KEYWORDS)).alias("operands"),
+    ).select(
+        *FILE,
+        (F.size("operators") + F.size("operands")).alias("length"),
+        (F.size(F.array_distinct("operators")) + F.size(F.array_distinct("operands"))).alias("vocabulary"),
+    )
+    volume = F.col("length") * F.log2("vocabulary")
     share = F.least(F.col("comments") / F.col("sloc"), F.lit(1.0)) * 100
     raw = (
         171 - 5.2 * F.ln(volume) - 0.23 * F.col("complexity") - 16.2 * F.ln("statements")
         + 50 * F.sin(F.sqrt(2.4 * F.radians(share)))
     )
     scaled = F.least(F.greatest(raw * 100 / 171, F.lit(0.0)), F.lit(100.0))
-    index = F.when((volume <= 0) | (F.col("statements") <= 0), F.lit(100.0)).otherwise(scaled)
-    return per_file.select(*FILE, "complexity", "statements", "sloc", "comments", index.alias("mi"))
+    index = F.when((F.col("length") == 0) | (volume <= 0) | (F.col("statements") <= 0), F.lit(100.0)).otherwise(scaled)
+    return counts.join(texts, FILE).select(*FILE, "complexity", "statements", "sloc", "comments", index.alias("mi"))

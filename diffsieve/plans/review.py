@@ -20,7 +20,7 @@ class Review:
     """All tables of a review job.
 
     ``pr_files`` are the raw changed files. The answer tables come from outside; without one, its stage adds
-    nothing. Tables that several branches read (blocks, listed findings, final findings, fixes, tests) are
+    nothing. Tables that several branches read (blocks, findings, quality issues, fixes, tests, counts) are
     written once with ``stage``; everything else stays lazy.
     """
 
@@ -69,10 +69,10 @@ class Review:
 
     @cached_property
     def quality(self) -> DataFrame:
-        static = quality_ops.quality_findings(self.parsed, self.blocks)
-        if self.quality_answers is None:
-            return static
-        return static.unionByName(quality_ops.append_quality_answers(self.parsed, self.quality_answers))
+        found = quality_ops.quality_findings(self.parsed, self.blocks)
+        if self.quality_answers is not None:
+            found = found.unionByName(quality_ops.append_quality_answers(self.parsed, self.quality_answers))
+        return stage(found)
 
     @cached_property
     def fix_items(self) -> DataFrame:
@@ -99,9 +99,9 @@ class Review:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return report_ops.summary_counts(
+        return stage(report_ops.summary_counts(
             self.reviews, self.parsed, self.findings, self.quality, self.fixes, self.tests
-        )
+        ))
 
     @cached_property
     def report(self) -> dict[str, DataFrame]:

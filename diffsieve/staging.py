@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and go on from the written copy."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` once as a table in the shared folder and go on from the table.
+
+    Readers of the table fetch only the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
