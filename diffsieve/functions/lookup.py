@@ -1,0 +1,13 @@
+"""Small tables in joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, hinted for broadcast only if it is counted to have no more than ``limit`` rows."""
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table

@@ -31,12 +31,19 @@ def with_running_total(
         Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        sliced.join(before, [*group, "_slice"])
+        join_on(sliced, before, [*group, "_slice"])
         .withColumn(name, F.col("_before") + F.sum("_value").over(inside))
         .drop("_slice", "_value", "_before")
     )
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys where null equals null, so that rows of a null group are kept."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+
+
 def with_position(df: DataFrame, group: list[str], slice_by: Column, order: list, name: str) -> DataFrame:
     """Add ``name``: the 1-based position of the row in its group."""
     return with_running_total(df, group, slice_by, order, F.lit(1).cast("bigint"), name)

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.ordering import with_running_total
+from ..functions.ordering import join_on, with_running_total
 from ..functions.stats import rate, rate_text, wilson_ci
 
-# Scores and lengths are cut into slices of these widths when running totals are built.
-SCORE_SLICES, LENGTH_SLICE = 4096, 1024
+# Running totals are built in slices: of 1/SCORE_SLICES of the score range, and of LENGTH_SLICE lengths.
+SCORE_SLICES, LENGTH_SLICE = 1 << 18, 1024
 
 
 def snippet_evidence(
@@ -193,7 +193,7 @@ def upper_median(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     totals = counts.groupBy(*group).agg(F.sum("_c").alias("n"))
     running = with_running_total(counts, group, F.expr(f"{value} div {LENGTH_SLICE}"), [value], F.col("_c"), "_upto")
     return (
-        running.join(totals, group)
+        join_on(running, totals, group)
         .filter(F.col("_upto") > F.expr("n div 2"))
         .groupBy(*group)
         .agg(F.min(value).alias("upper_median"), F.first("n").alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.python_checks import syntax_valid
 from ..functions.severity import lookup
 from ..sources.files import with_file_defaults
 
@@ -52,6 +53,11 @@ def _has_python() -> Column:
     return (F.col("language") == "python") & (F.col("content") != "")
 
 
+def parseable(files: DataFrame) -> DataFrame:
+    """Files without the Python ones that do not parse, for users who want no units from broken sources."""
+    return files.filter((F.col("language") != "python") | syntax_valid("content"))
+
+
 def route_layers(parsed: DataFrame, units: DataFrame) -> DataFrame:
     """Which detection layers look at each file: (review_id, file_ord, filename, layer)."""
     keys = ["review_id", "file_ord", "filename"]

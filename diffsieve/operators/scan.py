@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.lookup import BROADCAST_ROWS, broadcast_if_small
 from ..functions.severity import lookup, pattern_scanner_severity, rule_scanner_severity
 from ..functions.text import last_part, percent, prefix, short_id, title_case
 from ..schemas import FINDING_COLUMNS
@@ -26,14 +27,12 @@ def ruleset_of(language: Column) -> Column:
 
 def ruleset_for_language(files: DataFrame, rulesets: DataFrame) -> DataFrame:
     """Files with the ruleset of their language (columns language, ruleset); files without one drop out."""
-    return files.join(F.broadcast(rulesets), "language")
+    return files.join(broadcast_if_small(rulesets), "language")
 
 
-def attach_lookup(rows: DataFrame, key: str, table: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Left join with a lookup table; hinted for broadcast only if the table is checked to be small."""
-    if table.limit(limit + 1).count() <= limit:
-        table = F.broadcast(table)
-    return rows.join(table, key, "left")
+def attach_lookup(rows: DataFrame, key: str, table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join with a lookup table; null where the key is absent."""
+    return rows.join(broadcast_if_small(table, limit), key, "left")
 
 
 def source_lines(files: DataFrame) -> DataFrame:
@@ -73,19 +72,27 @@ def _matches(rule: Rule) -> Column:
     return reduce(Column.__or__, [F.contains(F.col("_low"), F.lit(n)) for n in rule.needles]) & matches
 
 
-def rule_hits_from_table(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same for a user's rule table.
-
-    Up to INLINE_RULES rules the table is configuration and is compiled in. A larger table is joined on the
-    ruleset; as there are few rulesets, the lines are spread over JOIN_SLICES slices and the rules copied to each.
-    """
+def _as_pack(rules: DataFrame) -> list[tuple[int, Rule]] | None:
+    """A user's rule table as numbered rules if it is configuration-sized, else None."""
     rows = rules.orderBy("rule_ord").limit(INLINE_RULES + 1).collect()
     if not rows or len(rows) > INLINE_RULES:
-        return _join_rules(lines, rules.select("ruleset", "pattern", "rule_ord"))
-    fields = Rule._fields
-    hits = rule_hits(lines, [Rule(*[r[f] for f in fields if f in r]) for r in rows])
-    own = F.element_at(F.array(*[F.lit(r["rule_ord"]) for r in rows]), F.col("rule_ord"))
-    return hits.withColumn("rule_ord", own)
+        return None
+    return [(r["rule_ord"], Rule(*[r[f] for f in Rule._fields if f in r])) for r in rows]
+
+
+def table_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
+    """Lines with the rules of a user's table that they match, with what the rules say.
+
+    Up to INLINE_RULES rules the table is configuration and is compiled in like any pack. A larger table is
+    joined on the ruleset; as there are few rulesets, lines are spread over JOIN_SLICES slices and the rules are
+    copied to each.
+    """
+    numbered = _as_pack(rules)
+    if numbered is None:
+        return _join_rules(lines, rules.select("ruleset", "pattern", "rule_ord")).join(rule_meanings(rules), "rule_ord")
+    hits = rule_hits(lines, [rule for _, rule in numbered])
+    own = F.element_at(F.array(*[F.lit(number) for number, _ in numbered]), F.col("rule_ord"))
+    return hits.withColumn("rule_ord", own).join(F.broadcast(rule_meanings(rules)), "rule_ord")
 
 
 def _join_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
@@ -118,7 +125,7 @@ def rule_scan(parsed: DataFrame, pack: list[Rule] | DataFrame) -> DataFrame:
     files = parsed.select("review_id", "file_ord", "filename", "content", ruleset_of(F.col("language")).alias("ruleset"))
     lines = source_lines(files.filter(F.col("ruleset").isNotNull()))
     if isinstance(pack, DataFrame):
-        found = rule_hits_from_table(lines, pack).join(rule_meanings(pack), "rule_ord")
+        found = table_hits(lines, pack)
     else:
         meanings = rule_meanings(rule_table(parsed.sparkSession, pack))
         found = rule_hits(lines, pack).join(F.broadcast(meanings), "rule_ord")

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import files as file_ops
 from ..operators import quality as quality_ops
@@ -20,7 +21,7 @@ class Review:
     """All tables of a review job.
 
     ``pr_files`` are the raw changed files. The answer tables come from outside; without one, its stage adds
-    nothing. Tables that several branches read (blocks, findings, quality issues, fixes, tests, counts) are
+    nothing. Tables that several branches read (blocks, findings, work items, quality issues, fixes, tests, counts) are
     written once with ``stage``; everything else stays lazy.
     """
 
@@ -30,6 +31,8 @@ class Review:
     fix_answers: DataFrame | None = None
     test_answers: DataFrame | None = None
     rules: list[Rule] | DataFrame | None = None
+    # Whether Python files that do not parse give no functions (one Python call per file) or those recognised.
+    only_parseable: bool = False
 
     @cached_property
     def reviews(self) -> DataFrame:
@@ -45,7 +48,11 @@ class Review:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return stage(units.blocks(self.parsed))
+        return stage(units.blocks(self._measured))
+
+    @cached_property
+    def _measured(self) -> DataFrame:
+        return file_ops.parseable(self.parsed) if self.only_parseable else self.parsed
 
     @cached_property
     def units(self) -> DataFrame:
@@ -69,14 +76,14 @@ class Review:
 
     @cached_property
     def quality(self) -> DataFrame:
-        found = quality_ops.quality_findings(self.parsed, self.blocks)
+        found = quality_ops.quality_findings(self._measured, self.blocks)
         if self.quality_answers is not None:
             found = found.unionByName(quality_ops.append_quality_answers(self.parsed, self.quality_answers))
         return stage(found)
 
     @cached_property
     def fix_items(self) -> DataFrame:
-        return worklist.first_n_fixes(self.findings, self.parsed)
+        return stage(worklist.first_n_fixes(self.findings, self.parsed))
 
     @cached_property
     def fixes(self) -> DataFrame:
@@ -121,8 +128,6 @@ class Review:
 
 def merge_branches(security: DataFrame, quality: DataFrame) -> DataFrame:
     """Per review, the row counts of both branches; a review may occur in only one of them."""
-    from pyspark.sql import functions as F
-
     left = security.groupBy("review_id").agg(F.sum("copies").alias("n_security"))
     right = quality.groupBy("review_id").agg(F.count(F.lit(1)).alias("n_quality"))
     return left.join(right, "review_id", "full").fillna(0, ["n_security", "n_quality"])

@@ -86,9 +86,9 @@ def write_tail(messages: DataFrame, folder: str, checkpoint: str, once: bool = F
 
 
 def events_since(events: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """A review's events after its first n, in time order. Positions are built hour by hour."""
-    hour = F.date_trunc("hour", "ts")
-    return with_position(events, ["review_id"], hour, order, "position").filter(F.col("position") > n)
+    """A review's events after its first n, in time order. Positions are built minute by minute."""
+    minute = F.date_trunc("minute", "ts")
+    return with_position(events, ["review_id"], minute, order, "position").filter(F.col("position") > n)
 
 
 def event_time(seconds):

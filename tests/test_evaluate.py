@@ -126,3 +126,8 @@ def test_classifier_learns_a_plain_signal(spark):
     assert all(0 <= r.score <= 1 for r in scored)
     sizes = {r.split: r.n for r in classify.split_sizes(classify.with_split(table, "id")).collect()}
     assert sum(sizes.values()) == 400 and sizes["train"] > 250
+
+
+def test_null_groups_are_kept(spark):
+    rows = spark.createDataFrame([(None, 3), (None, 9), ("a", 1)], "g STRING, v INT")
+    assert {r.g: r.upper_median for r in evaluate.upper_median(rows, ["g"], "v").collect()} == {None: 9, "a": 1}

@@ -55,3 +55,9 @@ def test_listing_without_contents(spark):
     rows = src.shape_changed_files(listing, contents).orderBy("file_ord").collect()
     assert [(r.filename, r.content, r.additions) for r in rows] == [("a.py", "text", 1), ("", "", 0)]
     assert [r.content for r in src.shape_changed_files(listing).collect()] == ["", ""]
+
+
+def test_unparseable_sources_can_be_left_out(spark):
+    rows = [(1, 0, "a.py", "python", "def a(:"), (1, 1, "b.py", "python", "x = 1"), (1, 2, "c.js", "javascript", "def a(:")]
+    files = spark.createDataFrame(rows, "review_id BIGINT, file_ord INT, filename STRING, language STRING, content STRING")
+    assert {r.filename for r in ops.parseable(files).collect()} == {"b.py", "c.js"}
