@@ -244,8 +244,8 @@ part("texts", """
          AND l.line >= b.start_line AND l.line < b.stop GROUP BY ALL""")
 part("nestings", """
     SELECT s.review_id, s.file_ord, s.start_line, a.line,
-           sum(CASE WHEN a.head_line > s.start_line AND a.head_word IN ('if', 'for', 'while', 'with', 'try') AND a.word <> 'else'
-                    THEN 1 + a.elifs ELSE 0 END) + CASE WHEN any_value(a.word) = 'elif' THEN 0 ELSE 1 END AS depth
+           CAST(sum(CASE WHEN a.head_line > s.start_line AND a.head_word IN ('if', 'for', 'while', 'with', 'try') AND a.word <> 'else'
+                    THEN 1 + a.elifs ELSE 0 END) + CASE WHEN any_value(a.word) = 'elif' THEN 0 ELSE 1 END AS INT) AS depth
     FROM spans s JOIN (
         SELECT review_id, file_ord, line, word, indent, head_line, head_word, elifs FROM around
         UNION ALL SELECT review_id, file_ord, line, word, indent, 0, 'none', 0 FROM code WHERE word IS NOT NULL
@@ -273,7 +273,7 @@ part("blocks", f"""
     SELECT b.review_id, b.file_ord, b.filename, CASE WHEN b.word = 'class' THEN 'class' ELSE 'def' END AS kind,
            regexp_extract(t.signature, '(?:def|class)[ \\t]+(\\w+)', 1) AS name, b.start_line, b.end_line, t.source,
            coalesce(d.tree_depth, 0) AS tree_depth, coalesce(d.defs_above, 0) AS defs_above,
-           len(list_filter(string_split({_inner}, ','), lambda p: trim(p) NOT IN ('', '*', '/'))) AS params,
+           CAST(len(list_filter(string_split({_inner}, ','), lambda p: trim(p) NOT IN ('', '*', '/'))) AS INT) AS params,
            coalesce(regexp_matches(t.first_text, '^[ \\t]*[rRuU]?["'']') AND trim(t.first_code) IN ('', 'r', 'R', 'u', 'U'), false)
            OR coalesce(regexp_matches(t.last_code, ':[ \\t]*$') AND regexp_matches(t.last_text, '["''][ \\t]*$'), false) AS has_docstring,
            coalesce(n.nesting_depth, 0) AS nesting_depth, coalesce(n.nesting_line, 0) AS nesting_line,
@@ -284,7 +284,7 @@ part("blocks", f"""
     LEFT JOIN methods m USING (review_id, file_ord, start_line)
     LEFT JOIN depths d ON d.review_id = b.review_id AND d.file_ord = b.file_ord AND d.line = b.start_line""")
 part("units", """
-    SELECT *, row_number() OVER (PARTITION BY review_id, file_ord ORDER BY tree_depth, start_line) AS unit_ord
+    SELECT *, CAST(row_number() OVER (PARTITION BY review_id, file_ord ORDER BY tree_depth, start_line) AS INT) AS unit_ord
     FROM blocks WHERE kind = 'def'""")
 part("complexities", """
     SELECT *, CASE WHEN kind = 'class' AND methods > 0 THEN (decisions + 1) // methods + CASE WHEN methods > 1 THEN 1 ELSE 0 END
@@ -295,7 +295,7 @@ part("tokens", f"""
     SELECT review_id, file_ord, filename,
            flatten(list(regexp_extract_all(code, {lit(_OPERATOR)}))) AS ops,
            list_filter(flatten(list(regexp_extract_all(code, {lit(_OPERAND)}))), lambda x: x NOT IN ({_keywords})) AS names,
-           sum(len(regexp_extract_all(code, {lit(_DECISIONS)}))) + 1 AS complexity,
+           CAST(sum(len(regexp_extract_all(code, {lit(_DECISIONS)}))) + 1 AS BIGINT) AS complexity,
            count(*) FILTER (NOT skip) AS statements, count(*) FILTER (NOT blank AND NOT comment) AS sloc,
            count(*) FILTER (comment OR inside) AS comments
     FROM code GROUP BY ALL""")
@@ -336,7 +336,7 @@ part("quality_static", f"""
            {fmt(fv.NESTING_TEXT, "name", "CAST(nesting_depth AS INT)")}, 'nesting_depth=' || CAST(nesting_depth AS INT)
     FROM units WHERE nesting_depth > 4""")
 part("quality_llm", f"""
-    SELECT f.review_id, f.file_ord, f.filename, 4 AS "check", i + 1 AS seq, 1 AS sub,
+    SELECT f.review_id, f.file_ord, f.filename, 4 AS "check", CAST(i + 1 AS INT) AS seq, 1 AS sub,
            coalesce(TRY_CAST(e ->> 'line' AS INT), 1) AS line,
            {case("coalesce(e ->> 'severity', 'low')", {s: s for s in fv.SEVERITIES}, "'low'")} AS severity,
            coalesce(e ->> 'category', 'Quality Issue') AS category, coalesce(e ->> 'description', '') AS description,
@@ -350,7 +350,7 @@ part("quality", f"""
 
 # ---- pattern findings and triage ----------------------------------------------------------------------------------------
 
-part("weighted", "SELECT * FROM " + values((i, *p) for i, p in enumerate(fv.UNIT_PATTERNS, 1)) + " v(sub, pattern, category, weight)")
+part("weighted", "SELECT sub, pattern, category, CAST(weight AS DOUBLE) AS weight FROM " + values((i, *p) for i, p in enumerate(fv.UNIT_PATTERNS, 1)) + " v(sub, pattern, category, weight)")
 part("matched", """
     SELECT u.*, w.sub, w.category, w.weight, max(w.weight) OVER (PARTITION BY u.review_id, u.file_ord, u.unit_ord) AS score
     FROM units u JOIN weighted w ON regexp_matches(u.source, w.pattern) WHERE regexp_matches(u.source, '\\S')""")
@@ -381,7 +381,7 @@ part("judged", f"""
     FROM (SELECT x.*, v.e, coalesce(v.e ->> 'false_positive' NOT IN ('false', '0', '0.0', '', '[]', '{{}}'), false) AS dismissed
           FROM expanded x LEFT JOIN last_verdicts v USING (review_id, host, position)) x""")
 part("additions", f"""
-    SELECT h.review_id, h.last_ord AS file_ord, 4 AS layer, i + 1 AS seq, 1 AS sub,
+    SELECT h.review_id, h.last_ord AS file_ord, 4 AS layer, CAST(i + 1 AS INT) AS seq, 1 AS sub,
            coalesce(e ->> 'filename', 'unknown') AS filename, coalesce(TRY_CAST(e ->> 'line' AS INT), 0) AS line,
            {case("upper(coalesce(e ->> 'severity', 'medium'))", {s.upper(): s for s in fv.SEVERITIES if s != "info"}, "'medium'")} AS severity,
            coalesce(e ->> 'category', 'Security Issue') AS category, NULL AS cwe_id, NULL AS owasp,
@@ -402,7 +402,7 @@ part("finals", f"""
 # ---- work lists -----------------------------------------------------------------------------------------------------------
 
 part("fix_items", """
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY listed_ord, file_ord, layer, seq, sub) AS item
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY review_id ORDER BY listed_ord, file_ord, layer, seq, sub) AS INT) AS item
                    FROM final WHERE NOT false_positive AND severity IN ('critical', 'high', 'medium') AND source <> 'codebert')
     WHERE item <= 10""")
 part("fix_table", """
@@ -413,7 +413,7 @@ part("fix_table", """
 part("fix_counts", "SELECT review_id, filename, count(*) AS n_fixes FROM fix_table GROUP BY ALL")
 part("test_files", """
     SELECT * FROM (SELECT f.review_id, f.file_ord, f.filename, f.language, coalesce(n_fixes, 0) AS n_fixes,
-                          row_number() OVER (PARTITION BY f.review_id ORDER BY f.file_ord) AS file_no
+                          CAST(row_number() OVER (PARTITION BY f.review_id ORDER BY f.file_ord) AS INT) AS file_no
                    FROM parsed f LEFT JOIN fix_counts c USING (review_id, filename) WHERE f.content <> '' OR c.n_fixes > 0)
     WHERE file_no <= 5""")
 part("test_units", """

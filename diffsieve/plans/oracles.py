@@ -111,7 +111,7 @@ oracle("length_band", """
     WHERE length(text) > 300 AND length(text) < 3000 GROUP BY text""")
 part("turn_units", "SELECT conv_id, turn, text FROM conversations WHERE turn % 3 <> 0 AND regexp_matches(text, '\\S')")
 oracle("blank_unit_filter", """
-    SELECT conv_id, turn, length(text) AS n_chars, coalesce(max(w.weight), 0.0) AS score
+    SELECT conv_id, turn, CAST(length(text) AS INT) AS n_chars, coalesce(max(w.weight), 0.0) AS score
     FROM turn_units LEFT JOIN weighted w ON regexp_matches(text, w.pattern) GROUP BY conv_id, turn, text""")
 oracle("test_eligible", "SELECT review_id, file_ord, filename, language, n_fixes, file_no, names FROM test_units")
 oracle("status_filter", """
@@ -157,7 +157,7 @@ oracle("rule_scan_documents", """
 _own = short_id("review_id", "filename", "line", "source", "category", "file_ord", "layer", "seq", "sub")
 oracle("user_rule_table", f"""
     SELECT review_id, file_ord, layer, seq, sub, {_own} AS id, filename, line, severity, category
-    FROM (SELECT * EXCLUDE (sub), (sub - (SELECT count(*) FROM pack WHERE layer = 1)) * 10 AS sub FROM raw_findings WHERE layer = 2)""")
+    FROM (SELECT * EXCLUDE (sub), CAST((sub - (SELECT count(*) FROM pack WHERE layer = 1)) * 10 AS INT) AS sub FROM raw_findings WHERE layer = 2)""")
 oracle("findings_for_file", f"""
     SELECT {ITEM}, host, count(*) AS copies, min(listed_ord) AS first_ord, max(listed_ord) AS last_ord FROM expanded GROUP BY ALL""")
 oracle("apply_verdicts", f"""
@@ -269,7 +269,7 @@ oracle("accuracy_and_flagged_rate", """
            round(avg(score) FILTER (label = 1), 9) AS mean_positive, round(avg(score) FILTER (label = 0), 9) AS mean_negative
     FROM scored GROUP BY kind""")
 oracle("upper_median", """
-    SELECT lang, list_sort(list(length(text)))[count(*) // 2 + 1] AS upper_median, count(*) AS n FROM documents GROUP BY lang""")
+    SELECT lang, CAST(list_sort(list(length(text)))[count(*) // 2 + 1] AS INT) AS upper_median, count(*) AS n FROM documents GROUP BY lang""")
 oracle("min_max_mean_flagged", """
     SELECT *, CASE WHEN flagged_rate >= 0.9 THEN 'saturated' WHEN flagged_rate <= 0.6 THEN 'not saturated' ELSE 'mixed' END AS saturation
     FROM (SELECT source, round(min(score), 9) AS min_score, round(max(score), 9) AS max_score, round(avg(score), 9) AS mean_score,
@@ -332,7 +332,7 @@ oracle("first_n_fixes", f"SELECT {ITEM}, listed_ord, item FROM fix_items")
 oracle("first_n_test_files", "SELECT review_id, file_ord, filename, language, n_fixes, file_no FROM test_files")
 oracle("first_n_functions", f"SELECT {UNIT_KEY}, source FROM units WHERE unit_ord <= 5")
 oracle("top_report_rows", f"""
-    SELECT * FROM (SELECT {ITEM}, listed_ord, row_number() OVER (PARTITION BY review_id ORDER BY listed_ord, file_ord, layer, seq, sub) AS row_no
+    SELECT * FROM (SELECT {ITEM}, listed_ord, CAST(row_number() OVER (PARTITION BY review_id ORDER BY listed_ord, file_ord, layer, seq, sub) AS INT) AS row_no
                    FROM final WHERE NOT false_positive) WHERE row_no <= 20""")
 oracle("finding_position", f"SELECT DISTINCT {ITEM}, position FROM expanded")
 oracle("stable_order", "SELECT review_id, first_ord, file_ord, layer, seq, sub, id, source, copies FROM finals")
@@ -378,8 +378,8 @@ oracle("quality_request_text", """
     SELECT review_id, file_ord, filename, 'FILE: ' || filename || chr(10) || 'SOURCE:' || chr(10) || substr(content, 1, 3000) || chr(10) AS request
     FROM parsed WHERE content <> ''""")
 oracle("parse_answers", """
-    SELECT review_id, filename, js IS NOT NULL AS readable, coalesce(json_array_length(js, '$.reviewed'), 0) AS n_reviewed,
-           coalesce(json_array_length(js, '$.additional_issues'), 0) AS n_additional FROM security_json""")
+    SELECT review_id, filename, js IS NOT NULL AS readable, CAST(coalesce(json_array_length(js, '$.reviewed'), 0) AS INT) AS n_reviewed,
+           CAST(coalesce(json_array_length(js, '$.additional_issues'), 0) AS INT) AS n_additional FROM security_json""")
 oracle("fix_rows", "SELECT * FROM fix_table")
 oracle("test_rows", "SELECT * FROM test_table")
 oracle("percent_text", """
@@ -441,7 +441,7 @@ oracle("scored_findings", f"""
                  {fmt(fv.MODEL_TEXT, "name", "CAST(CAST(round_even(score * 100, 0) AS INT) AS VARCHAR) || '%'")} AS description
           FROM unit_scores WHERE score >= 0.5)""")
 oracle("tokenize_truncate", """
-    SELECT doc_id, len(w) AS n, md5(array_to_string(w, ' ')) AS digest
+    SELECT doc_id, CAST(len(w) AS INT) AS n, md5(array_to_string(w, ' ')) AS digest
     FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda x: x <> '')[1:512] AS w FROM documents WHERE lang = 'en')""")
 part("job_events", """
     SELECT user_id AS review_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'running'
