@@ -19,7 +19,8 @@ def masked_source(content: Column) -> Column:
     Escaped characters are blanked first, so that every piece is a run of plain characters and the pattern
     needs no nested repetition (which could exhaust the stack on very long lines).
     """
-    plain = F.regexp_replace(content, r"\\[^\n]", "__")
+    escapes = F.contains(content, F.lit("\\"))
+    plain = F.when(escapes, F.regexp_replace(content, r"\\[^\n]", "__")).otherwise(content)
 
     def mask(piece: Column) -> Column:
         emptied = F.replace(F.regexp_replace(piece, r"[^\n]+", ""), F.lit("\n"), F.lit("\n" + INSIDE))

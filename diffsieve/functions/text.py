@@ -49,6 +49,11 @@ def pr_repository(url: Column) -> Column:
     return F.concat_ws("/", F.try_element_at(parts, F.lit(-4)), F.try_element_at(parts, F.lit(-3)))
 
 
+def unix_lines(content: Column) -> Column:
+    """Text with plain line ends; the pattern only runs on texts that need it."""
+    return F.when(F.contains(content, F.lit("\r")), F.regexp_replace(content, "\r\n?", "\n")).otherwise(content)
+
+
 def _url_parts(url: Column) -> Column:
     return F.split(F.regexp_replace(url, "/+$", ""), "/")
 

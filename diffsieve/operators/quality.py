@@ -10,6 +10,7 @@ from .. import schemas
 from ..functions.answers import parse_answer
 from ..functions.severity import quality_answer_severity
 from ..functions.text import short_id
+from ..staging import stage
 from .units import FILE, blocks, complexity, functions_of, maintainability
 
 _ROW = "sub INT, line INT, severity STRING, category STRING, description STRING, metric STRING"
@@ -80,11 +81,11 @@ def function_issues(units: DataFrame) -> DataFrame:
     return _emit(units, 3, F.col("unit_ord"), gates)
 
 
-def metric_gates(all_blocks: DataFrame, per_file: DataFrame) -> DataFrame:
-    """All static quality issues, in the quality schema."""
+def metric_gates(all_blocks: DataFrame) -> DataFrame:
+    """All static quality issues of a blocks table, in the quality schema."""
     rows = (
         complexity_issues(all_blocks)
-        .unionByName(maintainability_issues(per_file))
+        .unionByName(maintainability_issues(maintainability(all_blocks)))
         .unionByName(function_issues(functions_of(all_blocks)))
     )
     return as_quality(rows)
@@ -116,6 +117,6 @@ def append_quality_answers(files: DataFrame, answers: DataFrame) -> DataFrame:
     return as_quality(rows)
 
 
-def quality_findings(parsed: DataFrame, all_blocks: DataFrame | None = None) -> DataFrame:
-    """Static quality findings of all files."""
-    return metric_gates(blocks(parsed) if all_blocks is None else all_blocks, maintainability(parsed))
+def quality_findings(parsed: DataFrame) -> DataFrame:
+    """Static quality findings of all files, from their sources."""
+    return metric_gates(stage(blocks(parsed)))

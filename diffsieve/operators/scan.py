@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions.lookup import BROADCAST_ROWS, broadcast_if_small
 from ..functions.severity import lookup, pattern_scanner_severity, rule_scanner_severity
-from ..functions.text import last_part, percent, prefix, short_id, title_case
+from ..functions.text import last_part, percent, prefix, short_id, title_case, unix_lines
 from ..schemas import FINDING_COLUMNS
 from .rules import Rule, rule_table
 
@@ -37,7 +37,7 @@ def attach_lookup(rows: DataFrame, key: str, table: DataFrame, limit: int = BROA
 
 def source_lines(files: DataFrame) -> DataFrame:
     """One row per line of every file. No shuffle: lines are made where the file is."""
-    text = F.regexp_replace("content", "\r\n?", "\n")
+    text = unix_lines(F.col("content"))
     keys = [c for c in files.columns if c != "content"]
     rows = files.filter(F.col("content") != "").select(*keys, F.posexplode(F.split(text, "\n")).alias("pos", "text"))
     return rows.withColumn("line", F.col("pos") + 1).drop("pos")

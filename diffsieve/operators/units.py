@@ -8,7 +8,7 @@ unit's text is cut out of its file in the end.
 The idea: for an indentation level d of a file, every code line with an indentation of at most d starts a new
 *block*. A block whose first line is a ``def`` at exactly d is a function unit; it holds all its lines. So units,
 their ends, bodies and metrics come from one running count per level and one aggregation, without comparing
-lines with each other.
+lines with each other. The file as a whole is one more block, at level -1, so file metrics fall out as well.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.masking import INSIDE, masked_source
+from ..functions.text import unix_lines
 
 FILE = ["review_id", "file_ord", "filename"]
-UNIT = ["review_id", "file_ord", "filename", "unit_ord"]
+WHOLE_FILE = -1
 
 _HEAD = r"^[ \t]*((?:async[ \t]+)?(?:def|for|with)|class|if|elif|else|while|try|except|finally)\b"
 _CASE = r"^[ \t]*(match|case)\b[^=]*:[ \t]*$"
@@ -32,7 +33,7 @@ _LOOPS_AND_TRY = ["for", "while", "try", "async for"]
 def python_sources(parsed: DataFrame) -> DataFrame:
     """Python files with their source and its masked form (strings and comments removed), placed by file."""
     files = parsed.filter((F.col("language") == "python") & (F.col("content") != ""))
-    source = files.select(*FILE, F.regexp_replace("content", "\r\n?", "\n").alias("content"))
+    source = files.select(*FILE, unix_lines(F.col("content")).alias("content"))
     return source.withColumn("masked", masked_source(F.col("content"))).repartition(*FILE)
 
 
@@ -75,12 +76,18 @@ def _leveled(lines: DataFrame) -> DataFrame:
 
     Lines that neither open, close, extend nor count (blank, comment, inner lines of a long string) are left out.
     """
-    levels = F.collect_set(F.when(F.col("word").isNotNull(), F.col("indent"))).over(
-        Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
+    file = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    levels = F.collect_set(F.when(F.col("word").isNotNull(), F.col("indent"))).over(file)
     idle = F.col("blank") | F.col("comment") | (F.col("inside") & ~F.col("closes_text"))
-    rows = lines.withColumn("levels", levels).filter(~idle | F.col("continued"))
-    rows = rows.withColumn("level", F.explode("levels")).drop("levels")
+    rows = lines.withColumns({
+        "levels": levels,
+        "statements": F.count_if(~F.col("skip")).over(file),
+        "sloc": F.count_if(~F.col("blank") & ~F.col("comment")).over(file),
+        "comments": F.count_if(F.col("comment") | F.col("inside")).over(file),
+    })
+    # The first line always stays, so that every file has a row.
+    rows = rows.filter(~idle | F.col("continued") | (F.col("line") == 1))
+    rows = rows.withColumn("level", F.explode(F.array_union(F.array(F.lit(WHOLE_FILE)), "levels"))).drop("levels")
 
     # Everything below runs over one sort: by level, then by line.
     by_level = Window.partitionBy(*FILE, "level").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
@@ -92,9 +99,9 @@ def _leveled(lines: DataFrame) -> DataFrame:
     carried = lambda condition, value: F.last(F.when(condition, value), ignorenulls=True).over(by_level)
     rows = rows.withColumns({
         "own": at_level & F.col("word").isNotNull(),
-        "block_line": carried(starts_block, F.col("line")),
-        "block_word": carried(starts_block, own_word),
-        "chain_word": carried(starts_chain, own_word),
+        "block_line": F.when(F.col("level") == WHOLE_FILE, 1).otherwise(carried(starts_block, F.col("line"))),
+        "block_word": F.when(F.col("level") == WHOLE_FILE, "file").otherwise(carried(starts_block, own_word)),
+        "chain_word": F.coalesce(carried(starts_chain, own_word), F.lit("")),
         "_elifs": F.sum(F.when(at_level & (word == "elif"), 1).otherwise(0)).over(by_level),
     })
     return rows.withColumn("elifs", F.col("_elifs") - F.coalesce(carried(starts_chain, F.col("_elifs")), F.lit(0))).drop("_elifs")
@@ -133,12 +140,13 @@ def _with_depths(rows: DataFrame) -> DataFrame:
 
 
 _PLACE = 1 << 32
+_FILE_COUNTS = ["statements", "sloc", "comments"]
 
 
 def block_spans(sources: DataFrame) -> DataFrame:
-    """Functions and classes with first line, last line, first body line and counts; no texts."""
+    """Functions, classes and files with first line, last line, first body line and counts; no texts."""
     rows = _with_depths(_leveled(code_lines(sources)))
-    rows = rows.filter(F.col("block_word").isin("def", "async def", "class"))
+    rows = rows.filter(F.col("block_word").isin("def", "async def", "class", "file"))
     line, start = F.col("line"), F.col("line") == F.col("block_line")
     after = ~start
     word = F.coalesce("word", F.lit(""))
@@ -153,40 +161,47 @@ def block_spans(sources: DataFrame) -> DataFrame:
         F.max(F.when(start, F.col("tree_depth"))).alias("tree_depth"),
         F.max(F.when(start, F.col("defs_above"))).alias("defs_above"),
         deepest.alias("_deepest"),
-        (F.sum("decisions") + F.sum("loop_else")).alias("decisions"),
+        F.sum("decisions").alias("decisions"),
+        F.sum("loop_else").alias("loop_elses"),
+        *[F.max(c).alias(c) for c in _FILE_COUNTS],
         F.count_if(after & is_def & (F.col("defs_between") == 0)).alias("methods"),
     )
     return spans.select(
         *FILE,
-        F.when(F.col("block_word") == "class", F.lit("class")).otherwise(F.lit("def")).alias("kind"),
+        F.when(F.col("block_word").isin("class", "file"), F.col("block_word")).otherwise(F.lit("def")).alias("kind"),
         "start_line", "end_line",
         F.coalesce("_body", F.col("_last") + 1).alias("body_line"),
         "tree_depth", "defs_above",
         F.coalesce(F.expr(f"cast(_deepest div {_PLACE} as int)"), F.lit(0)).alias("nesting_depth"),
         F.coalesce((_PLACE - 1 - F.col("_deepest") % _PLACE).cast("int"), F.lit(0)).alias("nesting_line"),
-        "decisions", "methods",
+        "decisions", "loop_elses", "methods", *_FILE_COUNTS,
     )
 
 
 def blocks(parsed: DataFrame) -> DataFrame:
-    """All functions and classes with span, text and metrics; `unit_ord` numbers a file's functions.
+    """All functions and classes with span, text and metrics, and one row per file (kind `file`) without text.
 
-    Functions are numbered breadth-first: by depth in the syntax tree, then by line. Spans meet their file's text
+    `unit_ord` numbers a file's functions: they are numbered breadth-first: by depth in the syntax tree, then by line. Spans meet their file's text
     in a join whose sides are already placed by file.
     """
     sources = python_sources(parsed)
-    texts = sources.select(*FILE, F.split("content", "\n").alias("texts"), F.split("masked", "\n").alias("codes"))
+    texts = sources.select(
+        *FILE, "masked", F.split("content", "\n").alias("texts"), F.split("masked", "\n").alias("codes")
+    )
     joined = block_spans(sources).join(texts, FILE)
     start = F.col("start_line")
     text = F.array_join(F.slice("texts", start, F.col("end_line") - start + 1), "\n")
     signature = F.array_join(F.slice("codes", start, F.col("body_line") - start), " ")
+    is_file = F.col("kind") == "file"
+    name = F.regexp_extract(signature, r"(?:def|class)[ \t]+(\w+)", 1)
+    operators, operands = _tokens(_OPERATOR), F.filter(_tokens(_OPERAND), lambda t: ~t.isin(_KEYWORDS))
     result = joined.select(
         *FILE,
         "kind",
-        F.regexp_extract(signature, r"(?:def|class)[ \t]+(\w+)", 1).alias("name"),
+        F.when(is_file, F.lit("")).otherwise(name).alias("name"),
         "start_line",
         "end_line",
-        text.alias("source"),
+        F.when(~is_file, text).alias("source"),
         "tree_depth",
         "defs_above",
         _parameters(signature).alias("params"),
@@ -194,8 +209,15 @@ def blocks(parsed: DataFrame) -> DataFrame:
         "nesting_depth",
         "nesting_line",
         "decisions",
+        "loop_elses",
         "methods",
-    )
+        *_FILE_COUNTS,
+        F.when(is_file, operators).alias("operators"),
+        F.when(is_file, operands).alias("operands"),
+    ).withColumns({
+        "n_tokens": F.size("operators") + F.size("operands"),
+        "n_distinct": F.size(F.array_distinct("operators")) + F.size(F.array_distinct("operands")),
+    }).drop("operators", "operands")
     order = Window.partitionBy(*FILE, "kind").orderBy("tree_depth", "start_line")
     return result.withColumn("unit_ord", F.row_number().over(order))
 
@@ -225,7 +247,7 @@ def _has_docstring() -> Column:
 
 def functions_of(all_blocks: DataFrame) -> DataFrame:
     """The function units (methods and nested functions included)."""
-    return all_blocks.filter(F.col("kind") == "def").drop("kind")
+    return all_blocks.filter(F.col("kind") == "def").drop("kind", *_FILE_COUNTS, "n_tokens", "n_distinct")
 
 
 def extract_functions(parsed: DataFrame) -> DataFrame:
@@ -243,10 +265,12 @@ def complexity(all_blocks: DataFrame) -> DataFrame:
     1 + decisions; a function nested in another adds its own complexity to the outer one. A class has the mean
     of its methods, plus one if there are several.
     """
-    own = F.when(F.col("kind") == "def", F.col("decisions")).otherwise(F.col("decisions") + 1)
+    decisions = F.col("decisions") + F.col("loop_elses")
+    own = F.when(F.col("kind") == "def", decisions).otherwise(decisions + 1)
     mean = F.floor(own / F.col("methods")).cast("bigint") + F.when(F.col("methods") > 1, 1).otherwise(0)
     value = F.when((F.col("kind") == "class") & (F.col("methods") > 0), mean).otherwise(own)
-    return all_blocks.filter(F.col("defs_above") == 0).withColumn("complexity", value.cast("bigint"))
+    outer = all_blocks.filter((F.col("kind") != "file") & (F.col("defs_above") == 0))
+    return outer.withColumn("complexity", value.cast("bigint"))
 
 
 _OPERATOR = r"\*\*=?|//=?|<<=?|>>=?|[-+*/%@&|^<>=!]=|[-+*/%@&|^<>~]|\b(?:and|or|not|in|is)\b"
@@ -257,31 +281,19 @@ _KEYWORDS = (
 ).split()
 
 
-def maintainability(parsed: DataFrame) -> DataFrame:
+def _tokens(pattern: str) -> Column:
+    return F.regexp_extract_all("masked", F.lit(pattern), F.lit(0))
+
+
+def maintainability(all_blocks: DataFrame) -> DataFrame:
     """Maintainability index (0-100) per Python file: the published formula on token and line counts."""
-    sources = python_sources(parsed)
-    counts = code_lines(sources).groupBy(*FILE).agg(
-        (F.sum("decisions") + 1).alias("complexity"),
-        F.count_if(~F.col("skip")).alias("statements"),
-        F.count_if(~F.col("blank") & ~F.col("comment")).alias("sloc"),
-        F.count_if(F.col("comment") | F.col("inside")).alias("comments"),
-    )
-    tokens = lambda pattern: F.regexp_extract_all("masked", F.lit(pattern), F.lit(0))
-    texts = sources.select(
-        *FILE,
-        tokens(_OPERATOR).alias("operators"),
-        F.filter(tokens(_OPERAND), lambda t: ~t.isin(_KEYWORDS)).alias("operands"),
-    ).select(
-        *FILE,
-        (F.size("operators") + F.size("operands")).alias("length"),
-        (F.size(F.array_distinct("operators")) + F.size(F.array_distinct("operands"))).alias("vocabulary"),
-    )
-    volume = F.col("length") * F.log2("vocabulary")
+    files = all_blocks.filter(F.col("kind") == "file").withColumn("complexity", F.col("decisions") + 1)
+    volume = F.col("n_tokens") * F.log2("n_distinct")
     share = F.least(F.col("comments") / F.col("sloc"), F.lit(1.0)) * 100
     raw = (
         171 - 5.2 * F.ln(volume) - 0.23 * F.col("complexity") - 16.2 * F.ln("statements")
         + 50 * F.sin(F.sqrt(2.4 * F.radians(share)))
     )
     scaled = F.least(F.greatest(raw * 100 / 171, F.lit(0.0)), F.lit(100.0))
-    index = F.when((F.col("length") == 0) | (volume <= 0) | (F.col("statements") <= 0), F.lit(100.0)).otherwise(scaled)
-    return counts.join(texts, FILE).select(*FILE, "complexity", "statements", "sloc", "comments", index.alias("mi"))
+    index = F.when((F.col("n_tokens") == 0) | (volume <= 0) | (F.col("statements") <= 0), F.lit(100.0)).otherwise(scaled)
+    return files.select(*FILE, "complexity", "statements", "sloc", "comments", index.alias("mi"))

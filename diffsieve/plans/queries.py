@@ -372,8 +372,7 @@ def report_slices(spark, folder):
 
 @query
 def metric_gates(spark, folder):
-    r = review(spark, folder)
-    return quality_ops.metric_gates(r.blocks, units.maintainability(r.parsed)).select(*schemas.QUALITY_COLUMNS)
+    return quality_ops.metric_gates(review(spark, folder).blocks)
 
 
 # ---- units and metrics ---------------------------------------------------------------------------------------------
@@ -416,7 +415,7 @@ def cyclomatic_complexity(spark, folder):
 
 @query
 def maintainability_index(spark, folder):
-    rows = units.maintainability(review(spark, folder).parsed)
+    rows = units.maintainability(review(spark, folder).blocks)
     return rows.withColumn("mi", F.round("mi", 6)).select("review_id", "file_ord", "complexity", "statements", "sloc", "comments", "mi")
 
 

@@ -48,11 +48,8 @@ class Review:
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return stage(units.blocks(self._measured))
-
-    @cached_property
-    def _measured(self) -> DataFrame:
-        return file_ops.parseable(self.parsed) if self.only_parseable else self.parsed
+        files = file_ops.parseable(self.parsed) if self.only_parseable else self.parsed
+        return stage(units.blocks(files))
 
     @cached_property
     def units(self) -> DataFrame:
@@ -76,7 +73,7 @@ class Review:
 
     @cached_property
     def quality(self) -> DataFrame:
-        found = quality_ops.quality_findings(self._measured, self.blocks)
+        found = quality_ops.metric_gates(self.blocks)
         if self.quality_answers is not None:
             found = found.unionByName(quality_ops.append_quality_answers(self.parsed, self.quality_answers))
         return stage(found)

@@ -164,7 +164,8 @@ def expected(source):
 def found(spark):
     rows = [(1, i, name, "python", source) for i, (name, source) in enumerate(SOURCES.items())]
     parsed = spark.createDataFrame(rows, "review_id BIGINT, file_ord INT, filename STRING, language STRING, content STRING")
-    return units.blocks(parsed).collect(), units.maintainability(parsed).collect()
+    found = units.blocks(parsed).cache()
+    return found.collect(), units.maintainability(found).collect()
 
 
 @pytest.mark.parametrize("name", SOURCES)
