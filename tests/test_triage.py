@@ -81,7 +81,8 @@ def by_hand(files, raw, answers):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_triage_equals_the_rules(spark, seed):
+def test_triage_equals_the_rules(spark, seed, monkeypatch):
+    monkeypatch.setattr(triage, "FILES_PER_SLICE", 2)
     files, raw, answers = make(seed)
     want = by_hand(files, raw, answers)
     file_table = spark.createDataFrame(files, FILES)

@@ -181,10 +181,15 @@ def test_index_stays_in_range(found):
 
 
 def test_one_shuffle_of_the_sources(spark):
-    parsed = spark.createDataFrame([(1, 1, "a.py", "python", "def a(): pass")],
-                                   "review_id BIGINT, file_ord INT, filename STRING, language STRING, content STRING")
-    plan = units.block_spans(units.python_sources(parsed))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    """The line table and the texts share one placement of the files; nothing else is moved."""
+    rows = [(1, i, f"{i}.py", "python", "def a():\n    pass\n" * 50) for i in range(50)]
+    parsed = spark.createDataFrame(rows, "review_id BIGINT, file_ord INT, filename STRING, language STRING, content STRING")
+    found = units.blocks(parsed)
+    assert len(found.collect()) == 50 * 51
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len([line for line in moved if "ReusedExchange" not in line]) == 1
+    assert len([line for line in moved if "ReusedExchange" in line]) == 1
 
 
 def test_complexity_of_functions_and_classes(spark):
