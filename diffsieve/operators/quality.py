@@ -13,8 +13,6 @@ from ..functions.text import short_id
 from ..staging import stage
 from .units import FILE, blocks, complexity, functions_of, maintainability
 
-_ROW = "sub INT, line INT, severity STRING, category STRING, description STRING, metric STRING"
-
 
 def _issue(sub: int, line: Column, severity: Column, category: str, description: Column, metric: Column) -> Column:
     return F.struct(

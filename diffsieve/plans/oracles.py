@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .. import fixed_values as fv
 from .oracle_parts import (
-    ORACLES, SUMMARY, VERDICT, case, fmt, language_of, lit, oracle, part, short_id, stripped, title, values,
+    ORACLES, VERDICT, case, fmt, language_of, lit, oracle, part, short_id, stripped, title, values,
 )
 
 __all__ = ["ORACLES"]
