@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from diffsieve.llm import secret_scan, sentence_pieces, token_counts
+from diffsieve.llm import html_text, secret_scan, sentence_pieces, token_counts
 from diffsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -26,5 +30,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op3_secret_scan, op5_merge_dropout, op8_token_counts)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_html_text, op3_secret_scan, op5_merge_dropout, op8_token_counts)}
 ORACLES: dict[str, str] = {}

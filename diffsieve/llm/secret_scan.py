@@ -12,7 +12,7 @@ from array import array
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -315,12 +315,17 @@ def redact(text: str, found: list[tuple[int, int]], mark: str = "[secret]") -> s
 def digest(found: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of their spans and all spans as text."""
     base = [r.kind for r in RULES[:BASE]]
-    written = lambda x: F.concat_ws(":", x["kind"], x["begin"].cast("string"), x["end"].cast("string"))
-    of_base = F.filter("found", lambda x: x["kind"].isin(base))
+
+    def written(x: Column) -> Column:
+        return F.concat_ws(":", x["kind"], x["begin"].cast("string"), x["end"].cast("string"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("found", lambda x: x["kind"].isin(*kinds))
+
     return found.select(
         "doc_id",
-        *(F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base),
-        F.sha2(F.array_join(F.transform(of_base, written), ","), 256).alias("base_sha256"),
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(F.array_join(F.transform(of(*base), written), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("found", written), ",").alias("spans"),
     )
 
