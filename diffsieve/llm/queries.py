@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from diffsieve.llm import html_text, secret_scan, sentence_pieces, token_counts
+from diffsieve.llm import html_text, secret_scan, sentence_pieces, token_counts, url_filter
 from diffsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,9 +26,13 @@ def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), path)
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_html_text, op3_secret_scan, op5_merge_dropout, op8_token_counts)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_html_text, op3_secret_scan, op5_merge_dropout, op7_url_filter, op8_token_counts)}
 ORACLES: dict[str, str] = {}
