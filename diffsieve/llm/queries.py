@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from diffsieve.llm import html_text, secret_scan, sentence_pieces, token_counts, url_filter
+from diffsieve.llm import html_text, line_chunks, minhash, secret_scan, sentence_pieces, token_counts, url_filter
 from diffsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), path)
@@ -34,5 +38,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_html_text, op3_secret_scan, op5_merge_dropout, op7_url_filter, op8_token_counts)}
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.deduplicated(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_html_text, op3_secret_scan, op4_minhash, op5_merge_dropout, op7_url_filter, op8_token_counts, op10_line_chunks)}
 ORACLES: dict[str, str] = {}
