@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from diffsieve.llm import html_text, line_chunks, minhash, secret_scan, sentence_pieces, token_counts, url_filter
+from diffsieve.llm import decontaminate, html_text, line_chunks, minhash, secret_scan, sentence_pieces, token_counts, toxicity, url_filter
 from diffsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), path)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -38,9 +42,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.deduplicated(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_html_text, op3_secret_scan, op4_minhash, op5_merge_dropout, op7_url_filter, op8_token_counts, op10_line_chunks)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_html_text, op3_secret_scan, op4_minhash, op5_merge_dropout, op6_decontaminate, op7_url_filter, op8_token_counts, op9_toxicity, op10_line_chunks)}
 ORACLES: dict[str, str] = {}
