@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from diffsieve.llm import decontaminate, html_text, line_chunks, minhash, secret_scan, sentence_pieces, token_counts, toxicity, url_filter
+from diffsieve.llm import decontaminate, embeddings, html_text, line_chunks, minhash, secret_scan, sentence_pieces, token_counts, toxicity, url_filter
 from diffsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op2_embedding_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -50,5 +54,5 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.deduplicated(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_html_text, op3_secret_scan, op4_minhash, op5_merge_dropout, op6_decontaminate, op7_url_filter, op8_token_counts, op9_toxicity, op10_line_chunks)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_html_text, op2_embedding_grid, op3_secret_scan, op4_minhash, op5_merge_dropout, op6_decontaminate, op7_url_filter, op8_token_counts, op9_toxicity, op10_line_chunks)}
 ORACLES: dict[str, str] = {}
