@@ -71,4 +71,4 @@ def dedent_strip(value: Column) -> Column:
 
 def tokens(text: Column, n: int) -> Column:
     """The first n words of a text."""
-    return F.slice(F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != ""), 1, n)
+    return F.slice(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), 1, n)

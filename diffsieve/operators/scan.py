@@ -15,9 +15,8 @@ from ..functions.text import last_part, percent, prefix, short_id, title_case, u
 from ..schemas import FINDING_COLUMNS
 from .rules import Rule, rule_table
 
-# User rule tables up to this size are compiled into the scan; larger ones are joined.
-INLINE_RULES = 300
-JOIN_SLICES = 64
+# Rules of a user's table that are compiled into one projection.
+RULES_PER_PASS = 300
 
 
 def ruleset_of(language: Column) -> Column:
@@ -72,35 +71,24 @@ def _matches(rule: Rule) -> Column:
     return reduce(Column.__or__, [F.contains(F.col("_low"), F.lit(n)) for n in rule.needles]) & matches
 
 
-def _as_pack(rules: DataFrame) -> list[tuple[int, Rule]] | None:
-    """A user's rule table as numbered rules if it is configuration-sized, else None."""
-    rows = rules.orderBy("rule_ord").limit(INLINE_RULES + 1).collect()
-    if not rows or len(rows) > INLINE_RULES:
-        return None
-    return [(r["rule_ord"], Rule(*[r[f] for f in Rule._fields if f in r])) for r in rows]
-
-
 def table_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Lines with the rules of a user's table that they match, with what the rules say.
 
-    Up to INLINE_RULES rules the table is configuration and is compiled in like any pack. A larger table is
-    joined on the ruleset; as there are few rulesets, lines are spread over JOIN_SLICES slices and the rules are
-    copied to each.
+    The table is configuration: it is read once and compiled in like any pack, RULES_PER_PASS rules a projection, however
+    many there are. Only patterns decide; needles of a user's rules are not used, as nothing says that they are
+    implied by the pattern.
     """
-    numbered = _as_pack(rules)
-    if numbered is None:
-        return _join_rules(lines, rules.select("ruleset", "pattern", "rule_ord")).join(rule_meanings(rules), "rule_ord")
-    hits = rule_hits(lines, [rule for _, rule in numbered])
-    own = F.element_at(F.array(*[F.lit(number) for number, _ in numbered]), F.col("rule_ord"))
-    return hits.withColumn("rule_ord", own).join(F.broadcast(rule_meanings(rules)), "rule_ord")
-
-
-def _join_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    slices = F.sequence(F.lit(0), F.lit(JOIN_SLICES - 1))
-    spread = lines.withColumn("_slice", F.pmod(F.xxhash64("text", "line"), F.lit(JOIN_SLICES)).cast("int"))
-    copied = rules.withColumn("_slice", F.explode(slices))
-    matches = F.expr("text rlike pattern")
-    return spread.join(copied, ["ruleset", "_slice"]).filter(matches).drop("_slice", "pattern")
+    rows = rules.orderBy("rule_ord").collect()
+    numbered = [(r["rule_ord"], Rule(*[r[f] for f in Rule._fields if f in r])._replace(needles=())) for r in rows]
+    meanings = rule_meanings(rules)
+    parts = [numbered[at : at + RULES_PER_PASS] for at in range(0, len(numbered), RULES_PER_PASS)]
+    if not parts:
+        return lines.withColumn("rule_ord", F.lit(None).cast(rules.schema["rule_ord"].dataType)).join(meanings, "rule_ord")
+    hits = []
+    for part in parts:
+        own = F.element_at(F.array(*[F.lit(number) for number, _ in part]), F.col("rule_ord"))
+        hits.append(rule_hits(lines, [rule for _, rule in part]).withColumn("rule_ord", own))
+    return reduce(DataFrame.unionByName, hits).join(meanings, "rule_ord")
 
 
 def rule_meanings(rules: DataFrame) -> DataFrame:

@@ -61,14 +61,14 @@ oracle("normalize_rule_scanner", f"""
            ['high', 'medium', 'low', 'low'][doc_id % 4 + 1] AS severity,
            CASE WHEN doc_id % 6 <> 0 THEN 'Hard Coded B64Decode Use' ELSE 'Unknown' END AS category,
            {case(_RULE, fv.CWE_OF_RULE)} AS cwe_id, {case(_RULE, fv.OWASP_OF_RULE)} AS owasp, 'issue in ' || doc_id AS description,
-           'bandit' AS source, {stripped("substr(text, 1, 40)")} AS code_snippet FROM documents WHERE {_USABLE}
+           'bandit' AS source, {stripped("text")} AS code_snippet FROM documents WHERE {_USABLE}
     UNION ALL
     SELECT doc_id, 1, 'f' || doc_id || '.py', 3, 'low', 'Plain', NULL, NULL, '', 'bandit', '' FROM documents WHERE {_USABLE}""")
 oracle("normalize_pattern_scanner", f"""
     SELECT doc_id AS file_id, 0 AS pos, 'f' || doc_id || '.py' AS filename, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 40 AS INT) ELSE 0 END AS line,
            ['high', 'medium', 'low', 'medium', 'medium'][doc_id % 5 + 1] AS severity, 'Eval Used ' || (doc_id % 3) AS category,
            CAST(NULL AS VARCHAR) AS cwe_id, CAST(NULL AS VARCHAR) AS owasp, 'message' AS description, 'semgrep' AS source,
-           {stripped("substr(text, 1, 40)")} AS code_snippet FROM documents WHERE {_USABLE}""")
+           {stripped("text")} AS code_snippet FROM documents WHERE {_USABLE}""")
 oracle("batch_scan_input", f"""
     SELECT 'item' || doc_id || '.py' AS name, [2, 1, 0, 0][doc_id % 4 + 1] AS sev, {_RULE} AS id, 'rules' AS tool FROM documents WHERE {_USABLE}
     UNION ALL SELECT '__init__.py', 0, NULL, 'rules' FROM documents WHERE {_USABLE}
@@ -348,7 +348,7 @@ oracle("event_union", """
 
 # ---- scalar functions -------------------------------------------------------------------------------------------------------------
 
-_name = "'use_of-b64decode_' || lower(substr(url, 8, 40))"
+_name = "'use_of-b64decode_' || lower(url)"
 oracle("title_case", f"SELECT page_id, {title(_name)} AS title FROM pages")
 oracle("last_part", "SELECT page_id, string_split(url, '/')[-1] AS path_end, string_split(url, '.')[-1] AS dot_end FROM pages")
 oracle("prefixes", "SELECT doc_id, " + ", ".join(f"md5(substr(text, 1, {n})) AS p{n}" for n in (200, 300, 500, 2500, 3000)) + " FROM documents")
@@ -442,7 +442,7 @@ oracle("scored_findings", f"""
           FROM unit_scores WHERE score >= 0.5)""")
 oracle("tokenize_truncate", """
     SELECT doc_id, CAST(len(w) AS INT) AS n, md5(array_to_string(w, ' ')) AS digest
-    FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda x: x <> '')[1:512] AS w FROM documents WHERE lang = 'en')""")
+    FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')[1:512] AS w FROM documents)""")
 part("job_events", """
     SELECT user_id AS review_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'signup' THEN 'running'
            WHEN 'purchase' THEN 'complete' ELSE 'failed' END AS status, CASE WHEN event_type = 'error' THEN 'error in ' || event_id END AS error, ts

@@ -206,7 +206,7 @@ def unpivot_pairs(spark, folder):
 def _bodies(spark, folder, shape: str) -> DataFrame:
     """Scanner results derived from documents, in all the odd shapes results come in."""
     doc = F.col("doc_id")
-    code = F.substring("text", 1, 40)
+    code = F.col("text")
     null = lambda t: F.lit(None).cast(t)
     if shape == "rules":
         results = F.array(
@@ -835,7 +835,7 @@ def event_union(spark, folder):
 
 @query
 def title_case(spark, folder):
-    name = F.concat(F.lit("use_of-b64decode_"), F.lower(F.substring("url", 8, 40)))
+    name = F.concat(F.lit("use_of-b64decode_"), F.lower("url"))
     return table(spark, folder, "pages").select("page_id", tx.title_case(name).alias("title"))
 
 
@@ -978,7 +978,7 @@ def scored_findings(spark, folder):
 @query
 def tokenize_truncate(spark, folder):
     words = tx.tokens(F.col("text"), fv.MAX_TOKENS)
-    return documents_of(spark, folder).filter(F.col("lang") == "en").select(
+    return documents_of(spark, folder).select(
         "doc_id", F.size(words).alias("n"), F.md5(F.array_join(words, " ")).alias("digest"))
 
 

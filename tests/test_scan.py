@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from diffsieve import fixed_values as fv
@@ -52,14 +53,14 @@ def test_all_categories_once_the_score_passes(spark):
     assert len({r.id for r in rows}) == len(rows)
 
 
-def test_large_rule_tables_are_joined_with_the_same_result(spark, documents, monkeypatch):
+def test_rules_per_pass_do_not_change_the_result(spark, documents, monkeypatch):
     parsed = parse_files(corpus(documents))
     inline = scan.rule_scan(parsed, RULE_PACK)
     table = rule_table(spark, RULE_PACK)
     key = lambda df: sorted((r.id, r.severity, r.category) for r in df.collect())
     want = key(inline)
     assert want and key(scan.rule_scan(parsed, table)) == want
-    monkeypatch.setattr(scan, "INLINE_RULES", 3)
+    monkeypatch.setattr(scan, "RULES_PER_PASS", 3)
     assert key(scan.rule_scan(parsed, table)) == want
     assert key(scan.rule_scan(parsed, table.drop("needles"))) == want
 
@@ -92,3 +93,14 @@ def test_lookups(spark):
     assert rows == {"B105": "CWE-259", "B999": None}
     unhinted = scan.attach_lookup(ids, "rule_id", table, limit=3).collect()
     assert {r.rule_id: r.cwe_id for r in unhinted} == rows
+
+
+@pytest.mark.parametrize("more", [0, 299, 300, 999])
+def test_rule_tables_of_any_size_give_the_same_rows(spark, more):
+    row = Row(review_id=1, file_ord=0, filename="a.py", language="python", content="x = eval(y)\n")
+    rules = [("r", "p/python", 2, "ERROR", "r", r"eval\(", "m", ["EVAL"], 1)]
+    rules += [(f"r{k}", "p/python", 2, "ERROR", "r", f"never{k}", "m", [], k + 2) for k in range(more)]
+    schema = ("rule_id string, ruleset string, layer int, raw_severity string, name string, pattern string, message string, "
+              "needles array<string>, rule_ord int")
+    found = scan.rule_scan(spark.createDataFrame([row]), spark.createDataFrame(rules, schema)).collect()
+    assert [(f.line, f.severity) for f in found] == [(1, "high")]
