@@ -59,30 +59,26 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def signature(shingles: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The shingle that holds each register, from distinct shingles and their weights (at least one shingle)."""
-    times = np.full(REGISTERS, np.inf)
-    holders = np.zeros(REGISTERS, np.uint64)
+def signatures_of(shingles: np.ndarray, weights: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """The shingle that holds each register of each text, from distinct shingles, their weights and their texts' numbers.
+
+    All texts advance together: one round gives every live shingle its next arrival."""
+    times = np.full(texts * REGISTERS, np.inf)
+    holders = np.zeros(texts * REGISTERS, np.uint64)
     clock = np.zeros(len(shingles))
-    who, rate = shingles, weights.astype(float)
-    draw = 0
+    who, rate, draw = shingles, weights.astype(float), 0
     while len(who):
         noise = mix(who ^ seed_of(4, draw))
-        uniform = ((noise >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
-        clock = clock - np.log(uniform) / rate
-        register = (mix(noise ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(REGISTERS)).astype(np.int64)
-        live = clock < times.max()
-        who, rate, clock, register = who[live], rate[live], clock[live], register[live]
-        order = np.lexsort((who, clock))[::-1]  # the earliest arrival is written last
-        best = np.full(REGISTERS, np.inf)
-        holder = np.zeros(REGISTERS, np.uint64)
-        best[register[order]], holder[register[order]] = clock[order], who[order]
-        earlier = best < times
-        times[earlier], holders[earlier] = best[earlier], holder[earlier]
-        live = clock < times.max()
-        who, rate, clock = who[live], rate[live], clock[live]
+        clock = clock - np.log(((noise >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / rate
+        slot = owner * REGISTERS + (mix(noise ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(REGISTERS)).astype(np.int64)
+        better = np.flatnonzero(clock < times[slot])
+        np.minimum.at(times, slot[better], clock[better])
+        holding = better[clock[better] == times[slot[better]]]
+        holders[slot[holding]] = who[holding]
+        live = clock < times.reshape(texts, REGISTERS).max(axis=1)[owner]
+        who, rate, clock, owner = who[live], rate[live], clock[live], owner[live]
         draw += 1
-    return holders
+    return holders.reshape(texts, REGISTERS)
 
 
 def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
@@ -105,6 +101,17 @@ def weighted(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles_of(words_of(text), hashes), return_counts=True)
 
 
+def counted(texts: list[list[str]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, weights and text numbers of several texts."""
+    parts = [shingles_of(words, hashes) for words in texts]
+    owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    flat = np.concatenate([np.empty(0, np.uint64), *parts])
+    order = np.lexsort((flat, owner))
+    flat, owner = flat[order], owner[order]
+    begins = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])][: len(flat)])
+    return flat[begins], np.diff(np.r_[begins, len(flat)]), owner[begins]
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc, copy_of, registers, bands`` of ``(__id, __text)`` with at least one word. ``copy_of`` names the sequence of
     words by 128 bits, ``registers`` holds 16 bits of each register."""
@@ -114,19 +121,20 @@ def signatures(docs: DataFrame) -> DataFrame:
         hashes = WordHashes()
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            docs_, names, registers, bands = [], [], [], []
-            for doc, text in zip(part.column("__id").to_pylist(), part.column("__text").to_pylist(), strict=True):
-                words = words_of(text or "")
-                if doc is None or not words:
-                    continue
-                held = signature(*np.unique(shingles_of(words, hashes), return_counts=True))
-                docs_.append(doc)
-                names.append(xxhash.xxh128_digest(" ".join(words)))
-                registers.append(held.astype("<u2").tobytes())
-                bands.append(mix((held.reshape(BANDS, ROWS) * powers).sum(axis=1) ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64))
+            rows = zip(part.column("__id").to_pylist(), part.column("__text").to_pylist(), strict=True)
+            kept = [(doc, words) for doc, words in ((d, words_of(t or "")) for d, t in rows) if doc is not None and words]
+            texts = [words for _, words in kept]
+            held = signatures_of(*counted(texts, hashes), len(texts))
+            banded = mix((held.reshape(-1, BANDS, ROWS) * powers).sum(axis=2) ^ np.arange(BANDS, dtype=np.uint64))
             return pa.RecordBatch.from_arrays(
-                [pa.array(docs_, pa.int64()), pa.array(names, pa.binary()), pa.array(registers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc", "copy_of", "registers", "bands"])
+                [
+                    pa.array([doc for doc, _ in kept], pa.int64()),
+                    pa.array([xxhash.xxh128_digest(" ".join(words)) for words in texts], pa.binary()),
+                    pa.array([row.tobytes() for row in held.astype("<u2")], pa.binary()),
+                    pa.array(list(banded.view(np.int64)), pa.list_(pa.int64())),
+                ],
+                names=["doc", "copy_of", "registers", "bands"],
+            )
 
         return work
 
@@ -135,8 +143,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` of at least LEAST, judged on the whole texts ``(doc, text)``."""
-    both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(
+        texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -153,11 +161,16 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def leftover_pairs(buckets: DataFrame, registers: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of one bucket that its centre has left in different components and whose registers agree enough.
+#: Of the members of a block that pass the screen, these are verified in a first, second and last round, best agreement first.
+#: A round only looks at documents that are still in different components, so that most of a large group never becomes pairs.
+ROUNDS = ((0, 4), (4, 32), (32, 1 << 30))
+
+
+def leftover_pairs(buckets: DataFrame, heads: DataFrame, labels: DataFrame, ranks: tuple[int, int]) -> DataFrame:
+    """Pairs of one bucket in different components whose registers agree enough, by their rank in a block.
 
     In every bucket the largest component is the main one; members of others are compared with all members, in
-    blocks of registers. Only pairs that pass the screen become rows.
+    blocks of registers. A pair of several buckets comes from the first of their bands only.
     """
     member = buckets.join(labels, buckets.doc == labels.node, "left").select(
         "bucket", "doc", F.coalesce("component", "doc").alias("label"))
@@ -167,32 +180,36 @@ def leftover_pairs(buckets: DataFrame, registers: DataFrame, labels: DataFrame,
     ).where("labels > 1 AND size > 2")
     rows = stage(
         member.join(mixed.select("bucket", "size", "main"), "bucket")
-        .join(registers, "doc")
-        .select("bucket", "doc", "label", "registers", (F.col("label") != F.col("main")).alias("outside"),
+        .join(heads.select("doc", "registers", "bands"), "doc")
+        .select("bucket", "doc", "label", "registers", "bands", (F.col("label") != F.col("main")).alias("outside"),
                 F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK)).alias("block")))
-    packed = F.collect_list(F.struct("doc", "label", "registers"))
+    packed = F.collect_list(F.struct("doc", "label", "registers", "bands"))
     left = rows.where("outside").groupBy("bucket", "block").agg(packed.alias("one")).drop("block")
     right = rows.groupBy("bucket", "block").agg(packed.alias("other")).drop("block")
 
-    def arrays(items: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def arrays(items: list[dict]) -> tuple[np.ndarray, ...]:
         held = np.frombuffer(b"".join(x["registers"] for x in items), "<u2").reshape(len(items), REGISTERS)
-        return np.array([x["doc"] for x in items]), np.array([x["label"] for x in items]), held
+        return np.array([x["doc"] for x in items]), np.array([x["label"] for x in items]), held, np.array([x["bands"] for x in items])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                doc, label, held = arrays(batch.column("one")[k].as_py())
-                docs, others, theirs = arrays(batch.column("other")[k].as_py())
+                bucket = batch.column("bucket")[k].as_py()
+                doc, label, held, bands = arrays(batch.column("one")[k].as_py())
+                docs, others, theirs, their_bands = arrays(batch.column("other")[k].as_py())
                 found_a, found_b = [], []
                 for i in range(len(doc)):
                     same = (theirs == held[i]).sum(axis=1)
-                    hit = docs[(same >= SCREEN * REGISTERS) & (others != label[i])]
+                    best = np.lexsort((docs, -same))[: int((same >= SCREEN * REGISTERS).sum())]
+                    best = best[docs[best] != doc[i]][ranks[0] : ranks[1]]
+                    shared = their_bands[best] == bands[i]
+                    first = bands[i][shared.argmax(axis=1)] == bucket
+                    hit = docs[best[(others[best] != label[i]) & first]]
                     found_a.append(np.minimum(hit, doc[i]))
                     found_b.append(np.maximum(hit, doc[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
 
-    pairs = left.join(right, "bucket").select("one", "other").mapInArrow(compare, "a bigint, b bigint").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    return left.join(right, "bucket").select("bucket", "one", "other").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,7 +226,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = with_text(docs, doc_id, text)
     rows = stage(signatures(base))
     copies = stage(rows.groupBy("copy_of").agg(F.min("doc").alias("first"), F.count("*").alias("n")))
-    heads = rows.join(copies.select(F.col("first").alias("doc"), "copy_of"), ["doc", "copy_of"], "left_semi").dropDuplicates(["doc"])
+    heads = stage(rows.join(copies.select(F.col("first").alias("doc"), "copy_of"), ["doc", "copy_of"], "left_semi").dropDuplicates(["doc"]))
     spread = heads.select("doc", F.explode("bands").alias("bucket"))
     centres = spread.groupBy("bucket").agg(F.min("doc").alias("centre"), F.count("*").alias("n")).where("n > 1")
     buckets = stage(spread.join(centres, "bucket").select("bucket", "doc", "centre", "n"))
@@ -217,15 +234,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def texts_for(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-        found = base.join(wanted, F.col("__id") == F.col("doc"), "left_semi")
+        # the same kind of join at every size: a broadcast would make the shuffled bytes jump once it no longer fits
+        found = base.join(wanted.hint("merge"), F.col("__id") == F.col("doc"), "left_semi")
         return stage(found.select(F.col("__id").alias("doc"), F.col("__text").alias("text")).dropDuplicates(["doc"]))
 
     links = stage(verified(stars, texts_for(stars)))
     labels = components(links)
-    rest = stage(leftover_pairs(buckets.where("n > 2").select("bucket", "doc"), heads.select("doc", "registers"), labels, stars))
-    if rest.take(1):
-        more = stage(verified(rest, texts_for(rest)))
-        labels = components(links.unionByName(more))
+    tried, several = stars, buckets.where("n > 2").select("bucket", "doc")
+    for ranks in ROUNDS:
+        rest = stage(leftover_pairs(several, heads, labels, ranks).join(tried, ["a", "b"], "left_anti"))
+        if rest.take(1):
+            links = links.unionByName(stage(verified(rest, texts_for(rest))))
+            tried, labels = tried.unionByName(rest), components(links)
     of_copy = rows.select("doc", "copy_of").join(copies, "copy_of").select("doc", "first")
     # documents of one id with different texts meet in their id
     bridges = of_copy.where("doc <> first").select(F.col("doc").alias("node"), "first")
