@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from .. import fixed_values as fv
 from .oracle_parts import (
     ORACLES, VERDICT, case, fmt, language_of, lit, oracle, part, short_id, stripped, title, values,
@@ -455,7 +457,20 @@ oracle("tail_events", """
     UNION ALL SELECT review_id, seq, 1, '{"done":true,"status":"' || status || '"}' FROM job_events WHERE status IN ('complete', 'failed')""")
 oracle("events_since", """
     SELECT * FROM (SELECT review_id, seq, status, row_number() OVER (PARTITION BY review_id ORDER BY ts, seq) AS position FROM job_events) WHERE position > 5""")
-oracle("verified_events", "SELECT false AS ok, count(*) AS n FROM events")
+def _pads(key: bytes) -> tuple[str, str]:
+    """The padded keys of the two nested digests, as SQL blobs."""
+    whole = (hashlib.sha256(key).digest() if len(key) > 64 else key) + bytes(64)
+    return tuple(f"unhex('{bytes(b ^ pad for b in whole[:64]).hex()}')" for pad in (0x36, 0x5C))
+
+
+_signed = " UNION ALL ".join(
+    f"""SELECT {len(key)} AS key_length, event_id, 'sha256=' || sha256({outer} || unhex(sha256({inner} || encode(payload)))) AS signature
+    FROM (SELECT event_id, '{{"event":' || event_id || ',"kind":"' || event_type || '"}}' AS payload FROM events)"""
+    for key in (b"key", b"long" * 20) for inner, outer in [_pads(key)])
+oracle("verified_events", f"""
+    SELECT key_length, event_id % 4 = 0 AS ok, count(*) AS n, min(given) AS least, max(given) AS greatest
+    FROM (SELECT key_length, event_id, CASE event_id % 4 WHEN 0 THEN signature WHEN 1 THEN 'sha256=00'
+          WHEN 2 THEN replace(signature, 'sha256=', 'sha1=') END AS given FROM ({_signed})) GROUP BY ALL""")
 oracle("validated_fixes", "SELECT review_id, item, fixed, valid AS validated FROM made_fixes")
 oracle("answer_source", """
     SELECT p.review_id, p.file_ord, p.filename, a.answer FROM parsed p JOIN quality_answers a USING (review_id, filename)""")

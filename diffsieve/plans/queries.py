@@ -17,7 +17,7 @@ from .. import fixed_values as fv
 from .. import schemas
 from ..functions import text as tx
 from ..functions.answers import parse_answer
-from ..functions.python_checks import signature_valid
+from ..functions.python_checks import signature_of, signature_valid
 from ..functions.severity import severity_rank
 from ..functions.stats import wilson_bounds
 from ..operators import classify, evaluate, report, scan, triage, units, worklist
@@ -1027,9 +1027,19 @@ def events_since(spark, folder):
 
 @query
 def verified_events(spark, folder):
-    deliveries = _payloads(spark, folder).withColumn("signature", F.when(F.col("review_id") % 2 == 0, F.lit("sha256=00")))
-    signed = deliveries.withColumn("ok", signature_valid(F.col("payload"), F.col("signature"), "key"))
-    return signed.groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+    """Right, wrong, missing and wrongly prefixed signatures, with a short and a long key."""
+    number = F.col("event_id")
+    payload = F.concat(F.lit('{"event":'), number.cast("string"), F.lit(',"kind":"'), F.col("event_type"), F.lit('"}'))
+    parts = []
+    for key in ("key", "long" * 20):
+        right = signature_of(payload, key)
+        given = F.when(number % 4 == 0, right).when(number % 4 == 1, F.lit("sha256=00")).when(
+            number % 4 == 2, F.regexp_replace(right, "^sha256", "sha1"))
+        signed = table(spark, folder, "events").select(payload.alias("payload"), given.alias("signature"))
+        ok = signature_valid(F.col("payload"), F.col("signature"), key)
+        parts.append(signed.select(F.length(F.lit(key)).alias("key_length"), ok.alias("ok"), "signature"))
+    return parts[0].unionByName(parts[1]).groupBy("key_length", "ok").agg(
+        F.count(F.lit(1)).alias("n"), F.min("signature").alias("least"), F.max("signature").alias("greatest"))
 
 
 @query
