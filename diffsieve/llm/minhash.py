@@ -161,16 +161,35 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-#: Of the members of a block that pass the screen, these are verified in a first, second and last round, best agreement first.
-#: A round only looks at documents that are still in different components, so that most of a large group never becomes pairs.
-ROUNDS = ((0, 4), (4, 32), (32, 1 << 30))
+#: Of the members of a block that pass the screen, these are verified in a first and a last round, best agreement first.
+#: A round only looks at documents that are still in different components.
+ROUNDS = ((0, 4), (4, 1 << 30))
+
+
+def _halves(size: str) -> str:
+    """How often a group of ``size`` rows is halved to leave about BLOCK in a part."""
+    return f"CAST(greatest(0, ceil(log2({size} / {BLOCK}))) AS INT)"
+
+
+def _part(doc: str, size: str) -> str:
+    """The part of a group that a document falls in. Parts of a larger group cut those of a smaller one, never across."""
+    return f"(xxhash64({doc}) & (shiftleft(1L, {_halves(size)}) - 1))"
+
+
+def cells(stars: DataFrame) -> DataFrame:
+    """``(doc, cell)``: documents that chains of common buckets connect, in parts of about BLOCK."""
+    groups = components(stars)
+    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    return groups.join(sizes, "component").select(
+        F.col("node").alias("doc"), F.expr(f"xxhash64(component, {_part('node', 'size')})").alias("cell"))
 
 
 def leftover_pairs(buckets: DataFrame, heads: DataFrame, labels: DataFrame, ranks: tuple[int, int]) -> DataFrame:
     """Pairs of one bucket in different components whose registers agree enough, by their rank in a block.
 
     In every bucket the largest component is the main one; members of others are compared with all members, in
-    blocks of registers. A pair of several buckets comes from the first of their bands only.
+    blocks of registers. A pair of several buckets comes from the first of their bands only. The pairs of two cells
+    stay packed in one row ``cell_a, cell_b, a, b`` (ids as bytes), so that a large group never becomes a row per pair.
     """
     member = buckets.join(labels, buckets.doc == labels.node, "left").select(
         "bucket", "doc", F.coalesce("component", "doc").alias("label"))
@@ -180,36 +199,101 @@ def leftover_pairs(buckets: DataFrame, heads: DataFrame, labels: DataFrame, rank
     ).where("labels > 1 AND size > 2")
     rows = stage(
         member.join(mixed.select("bucket", "size", "main"), "bucket")
-        .join(heads.select("doc", "registers", "bands"), "doc")
-        .select("bucket", "doc", "label", "registers", "bands", (F.col("label") != F.col("main")).alias("outside"),
-                F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK)).alias("block")))
-    packed = F.collect_list(F.struct("doc", "label", "registers", "bands"))
+        .join(heads.select("doc", "cell", "registers", "bands"), "doc")
+        .select("bucket", "doc", "cell", "label", "registers", "bands", (F.col("label") != F.col("main")).alias("outside"),
+                F.expr(_part("doc", "size")).alias("block")))
+    packed = F.collect_list(F.struct("doc", "cell", "label", "registers", "bands"))
     left = rows.where("outside").groupBy("bucket", "block").agg(packed.alias("one")).drop("block")
     right = rows.groupBy("bucket", "block").agg(packed.alias("other")).drop("block")
 
     def arrays(items: list[dict]) -> tuple[np.ndarray, ...]:
         held = np.frombuffer(b"".join(x["registers"] for x in items), "<u2").reshape(len(items), REGISTERS)
-        return np.array([x["doc"] for x in items]), np.array([x["label"] for x in items]), held, np.array([x["bands"] for x in items])
+        return *(np.array([x[c] for x in items], np.int64) for c in ("doc", "cell", "label")), held, np.array([x["bands"] for x in items])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for k in range(batch.num_rows):
                 bucket = batch.column("bucket")[k].as_py()
-                doc, label, held, bands = arrays(batch.column("one")[k].as_py())
-                docs, others, theirs, their_bands = arrays(batch.column("other")[k].as_py())
-                found_a, found_b = [], []
+                doc, cell, label, held, bands = arrays(batch.column("one")[k].as_py())
+                docs, their_cells, others, theirs, their_bands = arrays(batch.column("other")[k].as_py())
+                found = []
                 for i in range(len(doc)):
                     same = (theirs == held[i]).sum(axis=1)
                     best = np.lexsort((docs, -same))[: int((same >= SCREEN * REGISTERS).sum())]
                     best = best[docs[best] != doc[i]][ranks[0] : ranks[1]]
-                    shared = their_bands[best] == bands[i]
-                    first = bands[i][shared.argmax(axis=1)] == bucket
-                    hit = docs[best[(others[best] != label[i]) & first]]
-                    found_a.append(np.minimum(hit, doc[i]))
-                    found_b.append(np.maximum(hit, doc[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
+                    first = bands[i][(their_bands[best] == bands[i]).argmax(axis=1)] == bucket
+                    best = best[(others[best] != label[i]) & first]
+                    b, cell_b = docs[best], their_cells[best]
+                    later = doc[i] > b
+                    found.append(np.stack([
+                        np.where(later, cell_b, cell[i]), np.where(later, cell[i], cell_b), np.minimum(doc[i], b), np.maximum(doc[i], b)]))
+                pairs = np.concatenate(found, axis=1)
+                pairs = pairs[:, np.lexsort(pairs[:2])]
+                begins = np.flatnonzero(np.r_[True, (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)][: pairs.shape[1]])
+                for start, end in zip(begins, np.r_[begins, pairs.shape[1]][1:], strict=True):
+                    out.append((int(pairs[0, start]), int(pairs[1, start]), pairs[2, start:end].tobytes(), pairs[3, start:end].tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["cell_a", "cell_b", "a", "b"])
+
+    return left.join(right, "bucket").select("bucket", "one", "other").mapInArrow(compare, "cell_a bigint, cell_b bigint, a binary, b binary")
+
+
+def pairs_of(packed: list[dict]) -> np.ndarray:
+    """All distinct pairs of the packed ones."""
+    a, b = (np.frombuffer(b"".join(x[c] for x in packed), np.int64) for c in "ab")
+    return np.unique(np.stack([a, b], axis=1), axis=0)
+
+
+def verified_cells(packed: DataFrame, labels: DataFrame, texts_for: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``(a, b)`` among the packed pairs that join what other links of the same two cells have not joined.
+
+    Every text of a cell meets the other cell's texts once, not once a pair; each is cut into shingles once.
+    """
+    cell = ["cell_a", "cell_b"]
+    both = stage(packed.groupBy(*cell).agg(F.collect_list(F.struct("a", "b")).alias("packed")))
 
-    return left.join(right, "bucket").select("bucket", "one", "other").mapInArrow(compare, "a bigint, b bigint").distinct()
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = [np.unique(pairs_of(x)) for x in batch.column("packed").to_pylist()]
+            owner = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cell_a").take(pa.array(owner)), batch.column("cell_b").take(pa.array(owner)),
+                 pa.array(np.concatenate([np.empty(0, np.int64), *docs]))], names=[*cell, "doc"])
+
+    needed = stage(both.mapInArrow(members, "cell_a bigint, cell_b bigint, doc bigint"))
+    known = texts_for(needed).join(labels, F.col("doc") == F.col("node"), "left").select(
+        "doc", "text", F.coalesce("component", "doc").alias("label"))
+    held = needed.join(known.hint("merge"), "doc").groupBy(*cell).agg(F.collect_list(F.struct("doc", "label", "text")).alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            links = []
+            for k in range(batch.num_rows):
+                texts = {x["doc"]: x for x in batch.column("held")[k].as_py()}
+                above = {x["label"]: x["label"] for x in texts.values()}
+                shingles = {}
+
+                def top(doc: int) -> int:
+                    label = texts[doc]["label"]
+                    while above[label] != label:
+                        above[label] = label = above[above[label]]
+                    return label
+
+                for a, b in pairs_of(batch.column("packed")[k].as_py()).tolist():
+                    if (x := top(a)) == (y := top(b)):
+                        continue
+                    for doc in (a, b):
+                        if doc not in shingles:
+                            shingles[doc] = weighted(texts[doc]["text"], hashes)
+                    if probability_jaccard(shingles[a], shingles[b]) >= LEAST:
+                        above[max(x, y)] = min(x, y)
+                        links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return both.join(held.hint("merge"), cell).select("packed", "held").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,7 +305,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Rows that share an id share a class and are all kept or not. Other columns are not read.
 
     A bucket of a band links its members to its least member, never all to all. Members that this leaves in other
-    components are compared by their registers in blocks, so that no link is lost for lack of a common centre.
+    components are compared by their registers in blocks and verified cell against cell, so that no link is lost for lack
+    of a common centre.
     """
     base = with_text(docs, doc_id, text)
     rows = stage(signatures(base))
@@ -232,20 +317,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = stage(spread.join(centres, "bucket").select("bucket", "doc", "centre", "n"))
     stars = stage(buckets.where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct())
 
-    def texts_for(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    def texts_for(members: DataFrame) -> DataFrame:
+        wanted = members.select("doc").distinct()
         # the same kind of join at every size: a broadcast would make the shuffled bytes jump once it no longer fits
         found = base.join(wanted.hint("merge"), F.col("__id") == F.col("doc"), "left_semi")
         return stage(found.select(F.col("__id").alias("doc"), F.col("__text").alias("text")).dropDuplicates(["doc"]))
 
-    links = stage(verified(stars, texts_for(stars)))
+    ends = stars.select(F.col("a").alias("doc")).union(stars.select("b"))
+    links = stage(verified(stars, texts_for(ends)))
     labels = components(links)
-    tried, several = stars, buckets.where("n > 2").select("bucket", "doc")
+    placed = stage(heads.join(cells(stars), "doc"))
+    several = buckets.where("n > 2").select("bucket", "doc")
     for ranks in ROUNDS:
-        rest = stage(leftover_pairs(several, heads, labels, ranks).join(tried, ["a", "b"], "left_anti"))
+        rest = stage(leftover_pairs(several, placed, labels, ranks))
         if rest.take(1):
-            links = links.unionByName(stage(verified(rest, texts_for(rest))))
-            tried, labels = tried.unionByName(rest), components(links)
+            links = links.unionByName(stage(verified_cells(rest, labels, texts_for)))
+            labels = components(links)
     of_copy = rows.select("doc", "copy_of").join(copies, "copy_of").select("doc", "first")
     # documents of one id with different texts meet in their id
     bridges = of_copy.where("doc <> first").select(F.col("doc").alias("node"), "first")
