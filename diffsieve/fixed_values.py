@@ -162,3 +162,11 @@ THRESHOLD_NAMES = [("all severities", 0), ("MEDIUM and above", 1)]
 WILSON_Z = 1.96
 REVIEW_ACTIONS = ["opened", "synchronize", "reopened"]
 FINAL_STATUSES = ["complete", "failed"]
+
+# What a request to the outside reviewer opens with: the task and the answer that is parsed.
+SECURITY_TASK = (
+    "Decide for every numbered finding below whether it is real, and add what the scanners missed. Reply with one JSON object: "
+    '"reviewed" holds {"index": number of the finding, "false_positive": boolean, "fp_reason": text or null, '
+    '"exploitation_context": text}; "additional_issues" holds {"filename", "line", "severity", "category", "description"}. '
+    "The start of the file, then the findings:"
+)

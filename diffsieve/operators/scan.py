@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.lookup import BROADCAST_ROWS, broadcast_if_small
 from ..functions.severity import lookup, pattern_scanner_severity, rule_scanner_severity
 from ..functions.text import last_part, percent, prefix, short_id, title_case, unix_lines
 from ..schemas import FINDING_COLUMNS
@@ -26,12 +25,12 @@ def ruleset_of(language: Column) -> Column:
 
 def ruleset_for_language(files: DataFrame, rulesets: DataFrame) -> DataFrame:
     """Files with the ruleset of their language (columns language, ruleset); files without one drop out."""
-    return files.join(broadcast_if_small(rulesets), "language")
+    return files.join(rulesets, "language")
 
 
-def attach_lookup(rows: DataFrame, key: str, table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join with a lookup table; null where the key is absent."""
-    return rows.join(broadcast_if_small(table, limit), key, "left")
+def attach_lookup(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """Left join with a lookup table; null where the key is absent. Spark broadcasts the table if its bytes allow it."""
+    return rows.join(table, key, "left")
 
 
 def source_lines(files: DataFrame) -> DataFrame:

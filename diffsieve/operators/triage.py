@@ -147,14 +147,13 @@ def top_report_rows(findings: DataFrame, files: DataFrame) -> DataFrame:
 def review_requests(listed: DataFrame, files: DataFrame) -> DataFrame:
     """Requests to an outside reviewer: the start of a file's source and the numbered findings of its name.
 
-    Every file gets one row. A list longer than BLOCK findings continues in further rows (`part` 1, 2, ...)
+    The first row names the task and the answer that `apply_verdicts` reads. Every file gets one row. A list longer than BLOCK findings continues in further rows (`part` 1, 2, ...)
     that stand once per name, so neither a row nor the number of rows grows beyond the findings themselves.
     """
     snippet = F.substring(F.coalesce("code_snippet", F.lit("")), 1, fv.REQUEST_SNIPPET)
     block = F.format_string(
-        "\n[%d] File: %s | Line: %d\n    Category: %s | Severity: %s\n"
-        "    Source: %s | Description: %s\n    Snippet: %s\n",
-        "position", "filename", "line", "category", "severity", "source", "description", snippet,
+        "\n#%d %s at %s:%d, rated %s by %s\n%s\n> %s\n",
+        "position", "category", "filename", "line", "severity", "source", "description", snippet,
     )
     blocks_in_order = F.sort_array(F.collect_list(F.struct("position", "block")))
     parts = (
@@ -170,7 +169,7 @@ def review_requests(listed: DataFrame, files: DataFrame) -> DataFrame:
         "review_id", "file_ord", F.col("filename").alias("host"),
         F.substring("content", 1, fv.REQUEST_SOURCE).alias("head"),
     )
-    heading = F.concat(F.lit("SOURCE CODE (first 3000 characters):\n"), F.col("head"), F.lit("\n\nFINDINGS:\n"))
+    heading = F.concat(F.lit(fv.SECURITY_TASK + "\n"), F.col("head"), F.lit("\n===\n"))
     first = sources.join(parts.filter(F.col("part") == 0), ["review_id", "host"]).select(
         "review_id", "file_ord", F.col("host").alias("filename"), "part",
         F.concat(heading, F.col("findings")).alias("request"),

@@ -224,10 +224,17 @@ def blocks(parsed: DataFrame) -> DataFrame:
 
 def _parameters(signature: Column) -> Column:
     """Number of parameters; a bare `*` and `/` are none."""
-    inner = F.regexp_extract(signature, r"^[^(]*\((.*)$", 1)
-    for _ in range(6):
-        inner = F.regexp_replace(inner, r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", "")
-    inner = F.regexp_replace(F.regexp_extract(inner, r"^[^)]*", 0), r"lambda[^:]*:", "")
+    pieces = F.regexp_extract_all(F.regexp_extract(signature, r"^[^(]*\((.*)$", 1), F.lit(r"[()\[\]{}]|[^()\[\]{}]+"), F.lit(0))
+
+    def step(state: Column, piece: Column) -> Column:
+        """Keeps what stands directly inside the outer bracket; depth -1 is behind it."""
+        depth = state["depth"]
+        change = F.when((depth < 0), 0).when(piece.isin("(", "[", "{"), 1).when(piece.isin(")", "]", "}"), -1).otherwise(0)
+        text = F.when((depth == 0) & (change == 0), F.concat(state["kept"], piece)).otherwise(state["kept"])
+        return F.struct((depth + change).alias("depth"), text.alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+    inner = F.regexp_replace(F.aggregate(pieces, start, step)["kept"], r"lambda[^:]*:", "")
     parts = F.transform(F.split(inner, ","), lambda p: F.trim(p))
     return F.size(F.filter(parts, lambda p: ~p.isin("", "*", "/")))
 

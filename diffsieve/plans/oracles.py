@@ -33,14 +33,22 @@ part("deliveries", """
     SELECT event_id, CASE WHEN event_type = 'error' THEN 'push' ELSE 'pull_request' END AS event,
            CASE event_type WHEN 'view' THEN 'opened' WHEN 'click' THEN 'synchronize' WHEN 'signup' THEN 'reopened' ELSE 'closed' END AS action
     FROM events""")
-HOOKS = """
-    SELECT event_id AS review_id, 'https://host.example/o/r/pull/' || event_id || '/' AS pr_url, 0 AS file_ord,
-           'src/f' || event_id || '.py' AS filename, 'python' AS language, '' AS content,
+_fetched = "CASE WHEN event_id % 3 <> 1 THEN 'kind = ' || event_type ELSE '' END"
+_start = "event_id AS review_id, 'https://host.example/o/r/pull/' || event_id || '/' AS pr_url"
+HOOKS = f"""
+    SELECT {_start}, 0 AS file_ord,
+           'src/f' || event_id || '.py' AS filename, 'python' AS language, {_fetched} AS content,
            'https://host.example/c/' || event_id AS url, '@@' AS patch, CAST(event_id % 50 AS INT) AS additions, 2 AS deletions
-    FROM deliveries WHERE event = 'pull_request' AND action <> 'closed' AND event_id % 3 <> 0
+    FROM deliveries JOIN events USING (event_id) WHERE event = 'pull_request' AND action <> 'closed' AND event_id % 3 <> 0
     UNION ALL
     SELECT event_id, 'https://host.example/o/r/pull/' || event_id || '/', 1, 'README.md', 'python', '', '', '', 0, 0
-    FROM deliveries WHERE event = 'pull_request' AND action <> 'closed' AND event_id % 3 <> 0"""
+    FROM deliveries WHERE event = 'pull_request' AND action <> 'closed' AND event_id % 3 <> 0
+    UNION ALL
+    SELECT {_start}, 0, 'listed/f' || event_id || '.py', 'python', {_fetched}, 'https://host.example/c/' || event_id, '@@ l', 3, 0
+    FROM deliveries JOIN events USING (event_id) WHERE event = 'pull_request' AND action <> 'closed' AND event_id % 6 = 0
+    UNION ALL
+    SELECT {_start}, NULL, '', 'python', '', '', '', 0, 0
+    FROM deliveries WHERE event = 'pull_request' AND action <> 'closed' AND event_id % 6 = 3"""
 oracle("read_pr_events", HOOKS)
 oracle("pr_event_stream", HOOKS)
 oracle("shape_changed_files", """
@@ -310,7 +318,7 @@ oracle("metrics_markdown", f"""
     FROM (SELECT *, {percent_of("k", "n")} AS t FROM kinds) GROUP BY setting, configuration""")
 oracle("seeded_sample", "SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 300")
 oracle("sorted_values", """
-    SELECT quality, toxic, min(doc_id) AS first_id, max(doc_id) AS last_id FROM labels GROUP BY ALL ORDER BY ALL""")
+    SELECT quality, toxic, doc_id, row_number() OVER (PARTITION BY quality, toxic ORDER BY doc_id) AS position FROM labels""")
 oracle("distinct_sources_of_code", "SELECT min(doc_id) AS doc_id, min_by(lang, doc_id) AS lang FROM documents GROUP BY text")
 
 # ---- aggregations and order --------------------------------------------------------------------------------------------------
@@ -344,9 +352,12 @@ oracle("stable_order", "SELECT review_id, first_ord, file_ord, layer, seq, sub,
 oracle("merge_layers", f"SELECT {ITEM}, source FROM raw_findings")
 oracle("append_additional", f"SELECT {ITEM}, description, source, host, copies FROM added")
 oracle("append_quality_answers", f'SELECT {QUALITY} FROM quality WHERE "check" = 4')
+part("every_review", "SELECT DISTINCT doc_id // 20 AS review_id FROM documents")
 oracle("event_union", """
-    SELECT review_id, printf('Found %d quality issue(s)', count(*)) AS message, 'quality' AS agent FROM quality GROUP BY review_id
-    UNION ALL SELECT review_id, printf('Parsed %d file(s)', count(*)), 'parser' FROM parsed GROUP BY review_id""")
+    SELECT review_id, printf('Found %d quality issue(s)', count(q.review_id)) AS message, 'quality' AS agent
+    FROM every_review LEFT JOIN quality q USING (review_id) GROUP BY review_id
+    UNION ALL SELECT review_id, printf('Parsed %d file(s)', count(p.review_id)), 'parser'
+    FROM every_review LEFT JOIN parsed p USING (review_id) GROUP BY review_id""")
 
 # ---- scalar functions -------------------------------------------------------------------------------------------------------------
 
@@ -357,13 +368,13 @@ oracle("prefixes", "SELECT doc_id, " + ", ".join(f"md5(substr(text, 1, {n})) AS
 oracle("window_around_line", """
     SELECT doc_id, CASE WHEN doc_id % 60 * 40 - 200 <= 0 THEN left(text, CAST(doc_id % 60 * 40 + 200 AS INT))
            ELSE substr(text, doc_id % 60 * 40 - 199, 400) END AS shown FROM documents""")
-_block = fmt("\n[%d] File: %s | Line: %d\n    Category: %s | Severity: %s\n    Source: %s | Description: %s\n    Snippet: %s\n",
-             "position", "filename", "line", "category", "severity", "source", "description", "substr(coalesce(code_snippet, ''), 1, 200)")
+_block = fmt("\n#%d %s at %s:%d, rated %s by %s\n%s\n> %s\n",
+             "position", "category", "filename", "line", "severity", "source", "description", "substr(coalesce(code_snippet, ''), 1, 200)")
 part("blocks_of_file", f"""
     SELECT review_id, listed_ord, host, string_agg({_block}, '' ORDER BY position) AS findings FROM expanded GROUP BY ALL""")
-oracle("review_request_text", """
-    SELECT p.review_id, p.file_ord, p.filename, 0 AS part, 'SOURCE CODE (first 3000 characters):' || chr(10) || substr(content, 1, 3000)
-           || chr(10) || chr(10) || 'FINDINGS:' || chr(10) || findings AS request
+oracle("review_request_text", f"""
+    SELECT p.review_id, p.file_ord, p.filename, 0 AS part, {lit(fv.SECURITY_TASK)} || chr(10) || substr(content, 1, 3000)
+           || chr(10) || '===' || chr(10) || findings AS request
     FROM parsed p JOIN blocks_of_file b ON b.review_id = p.review_id AND b.listed_ord = p.file_ord""")
 _shown = """CASE WHEN coalesce(code_snippet, '') <> '' THEN code_snippet
     ELSE CASE WHEN line * 40 <= 200 THEN left(content, line * 40 + 200) ELSE substr(content, line * 40 - 199, 400) END END"""
@@ -415,7 +426,8 @@ part("comment_lines", "SELECT * FROM (" + " UNION ALL ".join([
     lines(4, _foot, "summed"),
 ]) + ") WHERE text IS NOT NULL")
 oracle("comment_markdown", "SELECT * FROM comment_lines")
-oracle("write_markdown", "SELECT unnest(string_split(text, chr(10))) AS value FROM comment_lines")
+oracle("write_markdown", """
+    SELECT unnest(string_split(text || CASE WHEN copies > 1 THEN ' (x ' || copies || ')' ELSE '' END, chr(10))) AS value FROM comment_lines""")
 oracle("pr_url_parts", """
     SELECT page_id, CAST(page_id AS INT) AS number, 'own' || page_id || '/repo' AS repository,
            CASE WHEN len(p) >= 4 THEN p[-4] || '/' || p[-3] WHEN len(p) = 3 THEN p[-3] ELSE '' END AS page_repository

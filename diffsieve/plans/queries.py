@@ -17,6 +17,7 @@ from .. import fixed_values as fv
 from .. import schemas
 from ..functions import text as tx
 from ..functions.answers import parse_answer
+from ..functions.ordering import with_position
 from ..functions.python_checks import signature_of, signature_valid
 from ..functions.severity import severity_rank
 from ..functions.stats import wilson_bounds
@@ -157,6 +158,7 @@ def _payloads(spark, folder) -> DataFrame:
         action.alias("action"),
         F.struct(F.concat(F.lit("https://host.example/o/r/pull/"), s, F.lit("/")).alias("html_url"),
                  i.alias("number"), F.when(i % 3 != 0, inline).alias("files")).alias("pull_request"),
+        F.struct(F.lit("o/r").alias("full_name")).alias("repository"),
     ))
     event = F.when(kind == "error", "push").otherwise("pull_request")
     return table(spark, folder, "events").select(
@@ -164,9 +166,22 @@ def _payloads(spark, folder) -> DataFrame:
     )
 
 
+def _fetched(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """File lists of every other change, and the contents of two thirds of the files, as an outside job would fetch them."""
+    i, s = F.col("event_id"), F.col("event_id").cast("string")
+    events = table(spark, folder, "events")
+    address = F.concat(F.lit("https://host.example/c/"), s)
+    file = F.struct(F.concat(F.lit("listed/f"), s, F.lit(".py")).alias("filename"), address.alias("contents_url"),
+                    F.lit(None).cast("string").alias("raw_url"), F.lit("@@ l").alias("patch"), F.lit(3).alias("additions"),
+                    F.lit(None).cast("int").alias("deletions"))
+    listing = events.where(i % 2 == 0).select(F.lit("o/r").alias("repository"), i.cast("int").alias("number"), F.array(file).alias("files"))
+    contents = events.where(i % 3 != 1).select(address.alias("url"), F.concat(F.lit("kind = "), "event_type").alias("content"))
+    return listing, contents
+
+
 @query
 def read_pr_events(spark, folder):
-    return event_ops.events_to_files(_payloads(spark, folder))
+    return event_ops.events_to_files(_payloads(spark, folder), *_fetched(spark, folder))
 
 
 @query
@@ -712,8 +727,8 @@ def seeded_sample(spark, folder):
 
 @query
 def sorted_values(spark, folder):
-    return table(spark, folder, "labels").groupBy("quality", "toxic").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")) \
-        .orderBy("quality", "toxic")
+    labels = table(spark, folder, "labels").select("quality", "toxic", "doc_id")
+    return with_position(labels, ["quality", "toxic"], F.expr("doc_id div 1000"), ["doc_id"], "position")
 
 
 @query
@@ -825,8 +840,11 @@ def append_quality_answers(spark, folder):
 def event_union(spark, folder):
     """Progress events of two independent stages, one stream of rows."""
     r = review(spark, folder)
-    event = lambda rows, agent, text: rows.groupBy("review_id").agg(F.format_string(text, F.count(F.lit(1))).alias("message")) \
-        .withColumn("agent", F.lit(agent))
+    def event(rows: DataFrame, agent: str, text: str) -> DataFrame:
+        counted = rows.groupBy("review_id").agg(F.count(F.lit(1)).alias("n"))
+        every = r.reviews.join(counted, "review_id", "left")
+        return every.select("review_id", F.format_string(text, F.coalesce("n", F.lit(0))).alias("message"), F.lit(agent).alias("agent"))
+
     return event(r.quality, "quality", fv.EVENT_TEXT[2][1]).unionByName(event(r.parsed, "parser", fv.EVENT_TEXT[0][1]))
 
 
@@ -1000,9 +1018,10 @@ def pr_event_stream(spark, folder):
     base = f"{checkpoint_folder(spark)}/hooks-{uuid.uuid4().hex}"
     _payloads(spark, folder).write.json(f"{base}/in")
     stream = event_ops.read_pr_events(spark, f"{base}/in")
-    write = lambda batch, _: batch.write.mode("append").parquet(f"{base}/out")
-    event_ops.run_reviews(stream, write, f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+    listing, contents = _fetched(spark, folder)
+    event_ops.run_reviews(stream, write, f"{base}/state", listing=listing, contents=contents).awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch")
 
 
 @query

@@ -56,8 +56,8 @@ def drop_rows_@N@(conn, table, key):
 import subprocess
 
 
-def ping_@N@(host):
-    return subprocess.run("ping -c 1 " + host, shell=True)
+def pack_@N@(folder):
+    return subprocess.run("tar cf backup.tar " + folder, shell=True)
 
 
 def wipe_@N@(path):

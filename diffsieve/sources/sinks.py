@@ -19,10 +19,12 @@ def write_report(tables: dict[str, DataFrame], folder: str, fmt: str = "json") -
 def write_markdown(lines: DataFrame, folder: str, order: list[str]) -> None:
     """Write text lines so that the files, read in name order, hold every document in line order.
 
-    Range partitioning on the whole order splits a huge document over several files instead of one task.
+    Range partitioning on the whole order splits a huge document over several files instead of one task. A line that
+    stands ``copies`` times is written once and says how often.
     """
+    repeated = F.when(F.col("copies") > 1, F.format_string(" (x %d)", "copies")).otherwise(F.lit(""))
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select(
-        F.col("text").alias("value")
+        F.concat("text", repeated).alias("value")
     ).write.mode("overwrite").text(folder)
 
 

@@ -26,32 +26,54 @@ def verified_events(deliveries: DataFrame, secret: str) -> DataFrame:
     return deliveries.filter(signature_valid(F.col("payload"), F.col("signature"), secret))
 
 
-def events_to_files(deliveries: DataFrame) -> DataFrame:
-    """Changed files of the deliveries that start a review; one `review_id` per delivery.
-
-    Payloads carry addresses of contents, never contents, so `content` is empty until it is joined by `url`.
-    """
+def started_reviews(deliveries: DataFrame) -> DataFrame:
+    """The deliveries that start a review: `review_id, pr_url, repository, number` and the file list, if the payload has one."""
     parsed = deliveries.withColumn("p", F.from_json("payload", schemas.HOOK_PAYLOAD))
     started = review_events_only(parsed.withColumn("action", F.col("p.action")))
-    rows = started.select(
-        "review_id", F.col("p.pull_request.html_url").alias("pr_url"),
-        F.posexplode("p.pull_request.files").alias("file_ord", "f"),
+    return started.select(
+        "review_id", F.col("p.pull_request.html_url").alias("pr_url"), F.col("p.repository.full_name").alias("repository"),
+        F.col("p.pull_request.number").alias("number"), F.col("p.pull_request.files").alias("files"),
     )
+
+
+def events_to_files(deliveries: DataFrame, listing: DataFrame | None = None, contents: DataFrame | None = None) -> DataFrame:
+    """Changed files of the deliveries that start a review; one `review_id` per delivery.
+
+    Payloads as they arrive name a change by `repository` and `number`; `listing` (those two and `files`, once each) says
+    which files it has. A list inside the payload goes first. `contents` (url, content, each url once) holds the texts;
+    a file without one has empty content. A started review without any known file keeps one row with null `file_ord`
+    and empty name, so that it isn't lost.
+    """
+    started = started_reviews(deliveries)
+    if listing is not None:
+        known = listing.select("repository", "number", F.col("files").cast(started.schema["files"].dataType).alias("listed"))
+        started = started.join(known, ["repository", "number"], "left").withColumn(
+            "files", F.when(F.size("files") > 0, F.col("files")).otherwise(F.col("listed")))
+    rows = started.select("review_id", "pr_url", F.posexplode_outer("files").alias("file_ord", "f"))
+    rows = rows.withColumn("url", F.coalesce("f.contents_url", F.lit("")))
+    texts = F.lit("")
+    if contents is not None:
+        rows = rows.join(contents.select("url", F.col("content").alias("fetched")), "url", "left")
+        texts = F.coalesce("fetched", F.lit(""))
     return with_file_defaults(rows.select(
         "review_id", "pr_url", "file_ord",
         F.coalesce("f.filename", F.lit("")).alias("filename"),
         F.lit("python").alias("language"),
-        F.lit("").alias("content"),
-        F.coalesce("f.contents_url", F.lit("")).alias("url"),
+        texts.alias("content"),
+        "url",
         "f.patch", "f.additions", "f.deletions",
     ))
 
 
 def run_reviews(
-    deliveries: DataFrame, review: Callable[[DataFrame, int], None], checkpoint: str, secret: str = ""
+    deliveries: DataFrame, review: Callable[[DataFrame, int], None], checkpoint: str, secret: str = "",
+    listing: DataFrame | None = None, contents: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Runs ``review(files, batch_id)`` on every micro-batch of verified deliveries until the input is drained."""
-    files = events_to_files(verified_events(deliveries, secret))
+    """Runs ``review(files, batch_id)`` on every micro-batch of verified deliveries until the input is drained.
+
+    Spark may repeat a batch after a failure; ``review`` has to replace what it wrote for the same ``batch_id``.
+    """
+    files = events_to_files(verified_events(deliveries, secret), listing, contents)
     return (
         files.writeStream.foreachBatch(review)
         .option("checkpointLocation", checkpoint)

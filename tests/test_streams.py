@@ -34,8 +34,9 @@ def deliveries():
 
 def test_signatures_filter_and_shape(spark, tmp_path):
     batch = spark.createDataFrame(deliveries(), schemas.HOOK_DELIVERY)
-    files = lambda df: sorted((r.review_id, r.file_ord, r.filename, r.url, r.content, r.additions) for r in df.collect())
-    want = [(0, 0, "f0.py", "c0", "", 0), (0, 1, "f1.py", "c1", "", 1), (3, 0, "f0.py", "c0", "", 0)]
+    files = lambda df: sorted(((r.review_id, r.file_ord, r.filename, r.url, r.content, r.additions) for r in df.collect()), key=str)
+    # delivery 4 starts a review too, though nothing is known about its files
+    want = [(0, 0, "f0.py", "c0", "", 0), (0, 1, "f1.py", "c1", "", 1), (3, 0, "f0.py", "c0", "", 0), (4, None, "", "", "", 0)]
     assert files(events.events_to_files(events.verified_events(batch, SECRET))) == want
     everything = files(events.events_to_files(events.verified_events(batch, "")))
     assert len(everything) == len(want) + 9
@@ -49,6 +50,32 @@ def test_signatures_filter_and_shape(spark, tmp_path):
     assert files(spark.read.parquet(out)) == want
 
 
+def test_files_and_contents_come_from_tables(spark, tmp_path):
+    """Payloads as they are really sent: no file list. A repeated batch replaces what it wrote."""
+    body = lambda n, **more: json.dumps({"action": "opened", "repository": {"full_name": "o/r"}, "pull_request": {"html_url": "u", "number": n, **more}})
+    rows = [(n, "pull_request", signed(text), text) for n, text in [
+        (1, body(1)), (2, body(2, files=[])), (3, body(3)), (4, body(4, files=[{"filename": "own.py", "contents_url": "c4"}]))]]
+    batch = spark.createDataFrame(rows, schemas.HOOK_DELIVERY)
+    file = "array<struct<filename string, contents_url string, raw_url string, patch string, additions int, deletions int>>"
+    listing = spark.createDataFrame(
+        [("o/r", n, [(f"l{n}.py", f"c{n}", None, None, None, None)]) for n in (1, 2, 4)] + [("other/r", 3, [])],
+        f"repository string, number int, files {file}")
+    contents = spark.createDataFrame([("c1", "x = 1"), ("c4", "y = 2")], "url string, content string")
+    want = [(1, 0, "l1.py", "x = 1"), (2, 0, "l2.py", ""), (3, None, "", ""), (4, 0, "own.py", "y = 2")]
+    files = lambda df: sorted(((r.review_id, r.file_ord, r.filename, r.content) for r in df.collect()), key=str)
+    assert files(events.events_to_files(batch, listing, contents)) == want
+
+    batch.write.json(str(tmp_path / "in"))
+
+    def write(df, number):
+        for _ in range(2):
+            df.write.mode("overwrite").parquet(str(tmp_path / f"out/batch={number}"))
+
+    stream = events.read_pr_events(spark, str(tmp_path / "in"))
+    events.run_reviews(stream, write, str(tmp_path / "state"), SECRET, listing, contents).awaitTermination()
+    assert files(spark.read.parquet(str(tmp_path / "out"))) == want
+
+
 def test_status_tail_and_cursor(spark, tmp_path):
     rows = [(1, 1, "queued", None), (1, 2, "running", None), (1, 3, "failed", "boom"), (2, 1, "queued", None), (2, 2, "running", None)]
     table = spark.createDataFrame(rows, "review_id BIGINT, seq BIGINT, status STRING, error STRING").selectExpr(

@@ -129,8 +129,8 @@ def test_requests_continue_in_parts(spark, monkeypatch):
     listed = triage.findings_for_file(spark.createDataFrame(raw, FINDING), files)
     rows = triage.review_requests(listed, files).orderBy("part", "file_ord").collect()
     assert [(r.part, r.file_ord) for r in rows] == [(0, 0), (0, 1), (1, 0), (2, 0)]
-    assert "src" in rows[0].request and "[2] File" in rows[0].request and "[3]" not in rows[0].request
-    assert "[5] File" in rows[3].request
+    assert "src" in rows[0].request and "#2 C at" in rows[0].request and "#3 " not in rows[0].request
+    assert "#5 C at" in rows[3].request
 
 
 def test_cut_comes_before_the_function_check(spark):

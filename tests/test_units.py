@@ -4,6 +4,8 @@ import ast
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from diffsieve.operators import units
 
 SOURCES = {
@@ -217,3 +219,11 @@ class A:
     rows = {r.name: r.complexity for r in units.complexity(units.blocks(parsed)).collect()}
     # f: 1 + if, and, or, for, if, for, for-else, ternary if = 9; g: 1 + except, and inner: 1 + while, assert = 5
     assert rows == {"f": 9, "g": 5, "A": (9 + 5 + 1) // 2 + 1}
+
+
+def test_parameters_in_brackets_of_any_depth(spark):
+    deep = "(" * 10 + "1, 2" + ",)" * 10
+    signatures = ["def f()", "def f(a)", "def f(a, b=[1, {2: (3, 4)}], *, c: Dict[str, int]=None) -> Tuple[int, str]", f"def f(a, b={deep}, c=1)",
+                  "def f[T, U](a: T, /, b: U)", "def f(key=lambda a: a, *rest, **more)", "class A"]
+    rows = spark.createDataFrame([(s,) for s in signatures], "s string").select(units._parameters(F.col("s")).alias("n")).collect()
+    assert [r.n for r in rows] == [0, 1, 3, 3, 2, 3, 0]
