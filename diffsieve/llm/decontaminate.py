@@ -1,10 +1,8 @@
 """Documents that hold benchmark items, found by edit distance.
 
-Symbols are words (runs of word characters, lower case). Windows as long as an item are cut from a document wherever
-one of the item's anchors, rare pairs of adjacent words, stands. A window and its item take the same random walk (CGK):
-each step writes the current symbol and moves on if a random bit of step and symbol says so, which turns few edits into
-few differing positions. Repeated samples of positions are compared; windows that agree in one sample are verified by
-exact edit distance.
+Symbols are words (runs of word characters, lower case). An item that may take k edits is cut into k + 1 segments; k edits
+leave one of them whole, so a document that holds the item has that segment word for word. A window is placed wherever a
+segment stands. Windows that share enough words with their item are verified by exact edit distance.
 """
 
 from __future__ import annotations
@@ -19,19 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from diffsieve.llm.common import add_columns, explode_texts, mix, seed_of, with_text
+from diffsieve.llm.common import add_columns, mix
 
 WORD = re.compile(r"\w+")
 #: Edits allowed, as a share of the item's words (rounded down).
 EDITS = 0.2
-#: Rarest word pairs of an item that place windows. With a fifth of the words edited, all are hit with chance 0.36^10 = 4e-5.
-ANCHORS = 10
-#: Samples and positions in each. Walks that agree in 60 % of positions meet with chance 1 - (1 - 0.6^3)^24 = 0.997.
-REPEATS, POSITIONS = 24, 3
 #: Bytes of items that one pass over the documents takes; more items take more passes.
 ITEM_BYTES = 16_000_000
-#: Windows that are walked at once.
-HELD = 50_000
+#: Words of windows that are looked at at once.
+HELD = 2_000_000
 _PRIME = np.uint64(0x100000001B3)
 _REMEMBERED = 1_000_000
 
@@ -49,30 +43,45 @@ def symbols_of(text: str, hashes: WordHashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
-def pairs_of(symbols: np.ndarray) -> np.ndarray:
-    return mix((symbols[:-1] * _PRIME) ^ symbols[1:])
+def chained(hashes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Hashes of runs that are one symbol longer: each run with the symbol behind it."""
+    return mix((hashes * _PRIME) ^ symbols)
 
 
-class PairIndex:
-    """Places of pairs in a sorted array; a bitmap of their low bits turns most others away first."""
+def runs_of(symbols: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The hashes of all runs of 1, 2, ... ``longest`` adjacent symbols, by their first place."""
+    hashes = mix(symbols)
+    for size in range(1, min(longest, len(symbols)) + 1):
+        if size > 1:
+            hashes = chained(hashes[:-1], symbols[size - 1 :])
+        yield size, hashes
+
+
+def inside(symbols: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Hashes of symbols as words of their items."""
+    return mix(symbols ^ mix(item.astype(np.uint64) + np.uint64(1)))
+
+
+class HashIndex:
+    """Places of hashes in a sorted array; a bitmap of their low bits turns most others away first."""
 
     BITS = np.uint64(2**22 - 1)
 
-    def __init__(self, pairs: np.ndarray) -> None:
-        self.pairs = pairs
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
         self.bitmap = np.zeros(2**22, bool)
-        self.bitmap[pairs & self.BITS] = True
+        self.bitmap[hashes & self.BITS] = True
 
-    def find(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of ``pairs`` are here, and their places."""
-        at = np.flatnonzero(self.bitmap[pairs & self.BITS])
-        place = np.minimum(np.searchsorted(self.pairs, pairs[at]), len(self.pairs) - 1)
-        hit = self.pairs[place] == pairs[at]
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashes`` are here, and their places."""
+        at = np.flatnonzero(self.bitmap[hashes & self.BITS])
+        place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        hit = self.hashes[place] == hashes[at]
         return at[hit], place[hit]
 
 
 class Items:
-    """Benchmark items as symbols, their word pairs, and (once the pairs are counted) anchors and samples."""
+    """Benchmark items as symbols, and their segments by size."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         hashes = WordHashes()
@@ -80,43 +89,24 @@ class Items:
         self.ids = np.array([i for i, _ in kept], np.int64)
         self.symbols = [s for _, s in kept]
         self.sizes = np.array([len(s) for s in self.symbols], np.int64)
-        self.pairs = np.unique(np.concatenate([np.empty(0, np.uint64), *map(pairs_of, self.symbols)]))
-
-    def anchor(self, counts: dict[int, int]) -> None:
-        """Chooses each item's rarest pairs; ``counts`` has the corpus count of pairs by their place in ``pairs``."""
-        number = np.array([counts.get(k, 0) for k in range(len(self.pairs))], np.int64)
-        anchors = []
-        for item, symbols in enumerate(self.symbols):
-            places = np.searchsorted(self.pairs, pairs_of(symbols))
-            rare = np.argsort(number[places], kind="stable")[:ANCHORS]
-            anchors += [(self.pairs[places[o]], item, o) for o in rare.tolist()]
-        anchors.sort()
-        self.anchor_pairs, first = np.unique(np.array([a for a, _, _ in anchors], np.uint64), return_index=True)
-        self.anchor_ends = np.r_[first, len(anchors)].astype(np.int64)
-        self.anchor_items = np.array([i for _, i, _ in anchors], np.int64)
-        self.anchor_offsets = np.array([o for _, _, o in anchors], np.int64)
-        noise = mix(np.arange(REPEATS * POSITIONS, dtype=np.uint64) ^ seed_of(6, 1)).reshape(REPEATS, 1, POSITIONS)
-        # walks advance half a word a step: an item of n words ends after 2n steps on average, 3n at most matter
-        self.samples = np.sort((noise % (2 * self.sizes.astype(np.uint64))[None, :, None]).astype(np.int64), axis=2)
-        flat = np.concatenate([*self.symbols, np.empty(0, np.uint64)])
-        begins = np.cumsum(self.sizes) - self.sizes
-        every = np.arange(len(self.ids))
-        self.keys = [walk(flat, begins, begins + self.sizes, self.samples[r], every, r) for r in range(REPEATS)]
-
-
-def walk(flat: np.ndarray, begins: np.ndarray, ends: np.ndarray, samples: np.ndarray, items: np.ndarray, repeat: int) -> np.ndarray:
-    """Of every window, the hash of the symbols that walk number ``repeat`` writes at its item's sampled steps."""
-    at = begins.copy()
-    wanted = samples[items]
-    key = np.zeros(len(items), np.uint64)
-    for step in range(int(wanted.max(initial=-1)) + 1):
-        inside = at < ends
-        symbol = np.where(inside, flat[np.minimum(at, len(flat) - 1)], np.uint64(0))
-        for p in range(POSITIONS):
-            here = wanted[:, p] == step
-            key[here] = mix((key[here] * _PRIME) ^ symbol[here])
-        at += inside & ((mix(symbol ^ seed_of(6, 2, repeat, step)) & np.uint64(1)) == 1)
-    return key
+        self.most = np.array([int(EDITS * len(s)) for s in self.symbols], np.int64)
+        segments: dict[int, list[tuple[int, int, int]]] = {}
+        for item, (symbols, most) in enumerate(zip(self.symbols, self.most.tolist(), strict=True)):
+            ends = [len(symbols) * j // (most + 1) for j in range(most + 2)]
+            longest = max(b - a for a, b in zip(ends[:-1], ends[1:], strict=True))
+            runs = dict(runs_of(symbols, longest))
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                segments.setdefault(b - a, []).append((int(runs[b - a][a]), item, a))
+        #: By segment size: the distinct hashes, where the segments of each begin and end, their items and offsets.
+        self.segments: dict[int, tuple[np.ndarray, ...]] = {}
+        for size, found in segments.items():
+            found.sort()
+            distinct, first = np.unique(np.array([h for h, _, _ in found], np.uint64), return_index=True)
+            self.segments[size] = (
+                distinct, np.r_[first, len(found)].astype(np.int64),
+                np.array([i for _, i, _ in found], np.int64), np.array([o for _, _, o in found], np.int64))
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.words = np.unique(inside(np.concatenate([np.empty(0, np.uint64), *self.symbols]), owner))
 
 
 def edit_distance_within(item: list[int], text: list[int], most: int) -> bool:
@@ -145,73 +135,67 @@ def edit_distance_within(item: list[int], text: list[int], most: int) -> bool:
     return False
 
 
-def count_pairs(docs: DataFrame, items: Items) -> dict[int, int]:
-    """How often each pair of the items occurs in all documents. At most one row a pair comes to the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(items.pairs)
-
-    def begin() -> Callable:
-        hashes, index = WordHashes(), PairIndex(shared.value)
-
-        def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            total = np.zeros(len(index.pairs), np.int64)
-            for text in part.column("__text").to_pylist():
-                _, place = index.find(pairs_of(symbols_of(text or "", hashes)))
-                np.add.at(total, place, 1)
-            at = np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
-
-        return work
-
-    if not len(items.pairs):
-        return {}
-    rows = explode_texts(docs.select("__text"), "__text", "pair bigint, n bigint", begin).groupBy("pair").agg(F.sum("n"))
-    return {pair: n for pair, n in rows.collect()}
-
-
 def finder(items: Items) -> Callable[[list[str]], list[list[int]]]:
     """A function from texts to the sorted ids of the items that each holds."""
     hashes = WordHashes()
-    index = PairIndex(items.anchor_pairs)
+    indexes = {size: HashIndex(distinct) for size, (distinct, *_) in items.segments.items()}
+    words = HashIndex(items.words)
 
     def find(texts: list[str]) -> list[list[int]]:
         held = [symbols_of(x, hashes) for x in texts]
         result: list[set[int]] = [set() for _ in texts]
         if not len(items.ids):
             return [[] for _ in texts]
-        flat = np.concatenate([*held, np.zeros(1, np.uint64)])
+        flat = np.concatenate([*held, np.empty(0, np.uint64)])
         sizes = np.array([len(x) for x in held], np.int64)
         begins = np.cumsum(sizes) - sizes
         doc_of = np.repeat(np.arange(len(held)), sizes)
-        at, place = index.find(pairs_of(flat[: len(doc_of)]))
-        inner = doc_of[at] == doc_of[at + 1]
-        at, place = at[inner], place[inner]
-        many = items.anchor_ends[place + 1] - items.anchor_ends[place]
-        cuts = np.r_[0, np.flatnonzero(np.diff(np.cumsum(many) // HELD)) + 1, len(at)]
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if a < b:
-                look(flat, begins, sizes, doc_of, at[a:b], place[a:b], many[a:b], result)
+        for size, runs in runs_of(flat, max(indexes)):
+            if size not in indexes:
+                continue
+            _, ends, *_ = items.segments[size]
+            at, place = indexes[size].find(runs)
+            inner = doc_of[at] == doc_of[at + size - 1]
+            at, place = at[inner], place[inner]
+            many = ends[place + 1] - ends[place]
+            # a run of many items is looked at in parts, too
+            total = np.cumsum(many)
+            for low in range(0, int(total[-1]) if len(total) else 0, HELD // 16):
+                look(size, flat, begins, sizes, doc_of, at, place, total - many, np.arange(low, min(low + HELD // 16, int(total[-1]))), result)
         return [sorted(int(items.ids[k]) for k in x) for x in result]
 
-    def look(flat, begins, sizes, doc_of, at, place, many, result) -> None:
-        row = np.repeat(np.arange(len(at)), many)
-        anchor = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + items.anchor_ends[place[row]]
-        item, doc = items.anchor_items[anchor], doc_of[at[row]]
-        start = at[row] - items.anchor_offsets[anchor]
-        window = np.unique(np.stack([doc, item, start], axis=1), axis=0)
+    def look(size, flat, begins, sizes, doc_of, at, place, before, numbers, result) -> None:
+        """The windows with these ``numbers``; ``before`` are counted before each place."""
+        _, ends, of_item, offsets = items.segments[size]
+        row = np.searchsorted(before, numbers, "right") - 1
+        segment = ends[place[row]] + numbers - before[row]
+        item, doc = of_item[segment], doc_of[at[row]]
+        window = np.unique(np.stack([doc, item, at[row] - offsets[segment]], axis=1), axis=0)
         doc, item, start = window.T
-        first, last = begins[doc], begins[doc] + sizes[doc]
-        begin, end = np.maximum(start, first), np.minimum(start + items.sizes[item], last)
-        meets = np.zeros(len(window), bool)
-        for r in range(REPEATS):
-            todo = np.flatnonzero(~meets)
-            meets[todo] = walk(flat, begin[todo], end[todo], items.samples[r], item[todo], r) == items.keys[r][item[todo]]
-        for k in np.flatnonzero(meets).tolist():
-            d, i = int(doc[k]), int(item[k])
-            if i not in result[d]:
-                most = int(EDITS * items.sizes[i])
-                stretch = flat[max(first[k], start[k] - most) : min(last[k], start[k] + items.sizes[i] + most)]
-                if edit_distance_within(items.symbols[i].tolist(), stretch.tolist(), most):
-                    result[d].add(i)
+        low = np.maximum(start - items.most[item], begins[doc])
+        high = np.minimum(start + items.sizes[item] + items.most[item], begins[doc] + sizes[doc])
+        # an item within its edits shares all but so many words with the window
+        shares = np.zeros(len(window), bool)
+        total = np.cumsum(high - low)
+        cuts = np.unique(np.r_[0, np.searchsorted(total, np.arange(HELD, int(total[-1]), HELD)) + 1, len(window)])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            lengths = high[a:b] - low[a:b]
+            owner = np.repeat(np.arange(b - a), lengths)
+            places = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + low[a:b][owner]
+            hit, _ = words.find(inside(flat[places], item[a:b][owner]))
+            shared = np.bincount(owner[hit], minlength=b - a)
+            shares[a:b] = shared >= (items.sizes - items.most)[item[a:b]]
+        doc, item, low, high = doc[shares], item[shares], low[shares], high[shares]
+        # overlapping windows of an item are one stretch
+        k = 0
+        while k < len(doc):
+            d, i, begin, end = int(doc[k]), int(item[k]), int(low[k]), int(high[k])
+            k += 1
+            while k < len(doc) and doc[k] == d and item[k] == i and low[k] <= end:
+                end = max(end, int(high[k]))
+                k += 1
+            if i not in result[d] and edit_distance_within(items.symbols[i].tolist(), flat[begin:end].tolist(), int(items.most[i])):
+                result[d].add(i)
 
     return find
 
@@ -233,14 +217,12 @@ def find_items(
 
     Items of fewer than two words, null or empty items match nothing; null and empty texts hold none. Repeated
     items are found each (one id twice counts once), repeated rows repeat their result. All columns are kept.
-    Items come to the driver in slices of a bounded size; every slice is one pass of counting and one of search.
+    Items come to the driver in slices of a bounded size; every slice is one pass of search.
     """
     given = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text"))
     made, steps = docs, []
     for k, rows in enumerate(slices_of(given.where("item_id IS NOT NULL"))):
-        items = Items(rows)
-        items.anchor(count_pairs(with_text(docs, doc_id, text), items))
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared = docs.sparkSession.sparkContext.broadcast(Items(rows))
 
         def begin(shared=shared) -> Callable:
             find = finder(shared.value)

@@ -383,6 +383,21 @@ def test_items_are_found_within_their_edits(spark, odd):
     assert decontaminate.contaminated(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("share", [0.15, 0.2])
+def test_items_leaked_once_as_an_edited_copy_are_found(share):
+    """No pair of an item stands in any other document, so the pairs that the edits broke are as rare as those they left."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"i{k}w{rng.randrange(10**6)}" for _ in range(rng.randrange(10, 160)))) for k in range(300)]
+    texts = []
+    for _, text in rows:
+        body = text.split()
+        for n, p in enumerate(rng.sample(range(len(body)), int(share * len(body)))):
+            body[p] = f"edit{n}"
+        host = [f"h{rng.randrange(500)}" for _ in range(100)]
+        texts.append(" ".join(host[:50] + body + host[50:]))
+    assert decontaminate.finder(decontaminate.Items(rows))(texts) == [[k] for k, _ in rows]
+
+
 # ---- URLs ------------------------------------------------------------------------------------------------------------
 
 
