@@ -162,8 +162,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 #: Of the members of a block that pass the screen, these are verified in a first and a last round, best agreement first.
-#: A round only looks at documents that are still in different components.
-ROUNDS = ((0, 4), (4, 1 << 30))
+#: A round only looks at documents that are still in different components. The last one takes all ranks: a bucket's main
+#: component can be another one by then, whose members it no longer ranks from their side.
+ROUNDS = ((0, 4), (0, 1 << 30))
 
 
 def _halves(size: str) -> str:

@@ -298,6 +298,27 @@ def test_classes_equal_brute_force(spark, odd):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rounds_see_all_ranks_when_the_main_component_changes(spark):
+    """6 has five nearer neighbours than 9. In round one 9 is the main component; in round two 1 to 6 are, and 9 looks at 6 first."""
+    registers, bands = minhash.REGISTERS, [7] + list(range(100, 99 + minhash.BANDS))
+    held = {d: np.full(registers, 50 + d, "<u2") for d in (0, 9)}
+    held |= {d: np.zeros(registers, "<u2") for d in range(1, 7)}
+    far = int(0.2 * registers)
+    held[9][far:] = 0  # agrees with 6 in 80 %, with the copies of 6 in less than the screen
+    for d in range(1, 6):
+        held[d][far : far + registers // 8] = 60 + d
+    assert (held[9] == held[1]).mean() < minhash.SCREEN < (held[9] == held[6]).mean() < (held[1] == held[6]).mean()
+    rows = [(d, 1, bytearray(x.tobytes()), bands) for d, x in held.items()]
+    heads = spark.createDataFrame(rows, "doc bigint, cell bigint, registers binary, bands array<bigint>")
+    buckets = spark.createDataFrame([(7, d) for d in held], "bucket bigint, doc bigint")
+    joined = [[], [(d, 1) for d in range(1, 7)]]
+    seen = set()
+    for ranks, labels in zip(minhash.ROUNDS, joined):
+        found = minhash.leftover_pairs(buckets, heads, spark.createDataFrame(labels, "node bigint, component bigint"), ranks)
+        seen |= {tuple(p) for r in found.collect() for p in minhash.pairs_of([{"a": r.a, "b": r.b}]).tolist()}
+    assert (6, 9) in seen
+
+
 # ---- embeddings ------------------------------------------------------------------------------------------------------
 
 
