@@ -1,10 +1,11 @@
 """Near duplicates of vectors through an inverted multi-index.
 
 Unit vectors are cut into two halves with a codebook each; a vector's cell is the pair of its nearest centres, so K centres a
-half make a grid of K * K cells. A vector visits cells in order of the sum of its squared distances to the two centres, beginning with its
-own, until the sum passes its bound; the bound is set so that a partner at the threshold lies in a visited cell
-with the target recall. Visited cells are compared by exact cosines in double precision, block against block; a block
-pair gives counts and a spanning forest of its links, never all pairs.
+half make a grid of K * K cells. A partner at the threshold is at most a known distance away, in whatever direction. In each
+half, the distance from a vector to the plane between its own centre and another is the least that a partner of the
+other centre must be away. A vector visits all cells whose two least distances together are within that distance, so
+every partner lies in a visited cell. Visited cells are compared by exact cosines in double precision, block against block; a
+block pair gives counts and a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from diffsieve.llm.common import components
 from diffsieve.staging import stage
 
 COSINE = 0.9
-#: Share of partners at exactly the threshold that lie in visited cells. Nearer partners are found more surely.
-RECALL = 0.995
-#: Vectors that fit the codebooks, by a hash of their id, and partners drawn for the bound.
-SAMPLE, TRIALS = 8_192, 4_096
+#: Square of the distance of unit vectors at the threshold, and room for rounding.
+REACH, ROUNDING = 2 - 2 * COSINE, 1e-9
+#: Vectors that fit the codebooks, by a hash of their id.
+SAMPLE = 8_192
 #: Vectors that a cell has on average, and rows of a block.
 CELL, BLOCK = 512, 512
 ROUNDS, SEED = 8, 2
@@ -53,8 +54,17 @@ def codebook(rows: np.ndarray, size: int, random: np.random.Generator) -> np.nda
     return centres
 
 
+def least_distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squares of the least distances from each row to points that are nearer to each centre than to the row's own."""
+    d = distances(rows, centres)
+    own = d.argmin(axis=1)
+    apart = np.sqrt(distances(centres, centres))[own]
+    beyond = np.maximum(d - d[np.arange(len(rows)), own][:, None], 0)
+    return np.divide(beyond, 2 * apart, out=np.zeros_like(beyond), where=apart > ROUNDING) ** 2
+
+
 class Grid:
-    """Two codebooks and the bound of the traversal, for vectors of one length."""
+    """Two codebooks and the visits of the grid, for vectors of one length."""
 
     def __init__(self, sample: np.ndarray, size: int) -> None:
         random = np.random.default_rng(SEED)
@@ -64,35 +74,24 @@ class Grid:
         self.size = size
         if size == 1:
             self.left, self.right = np.zeros((1, self.cut)), np.zeros((1, rows.shape[1] - self.cut))
-            self.bound = np.inf
             return
         self.left, self.right = codebook(rows[:, : self.cut], size, random), codebook(rows[:, self.cut :], size, random)
-        # partners at exactly the threshold, in random directions
-        base = rows[random.integers(len(rows), size=TRIALS)]
-        aside = random.standard_normal(base.shape)
-        aside = unit(aside - (aside * base).sum(axis=1, keepdims=True) * base)
-        partner = COSINE * base + np.sqrt(1 - COSINE**2) * aside
-        a, b = self.sums(base)
-        x, y = self.cells(partner)
-        over = a[np.arange(TRIALS), x] + b[np.arange(TRIALS), y] - a.min(axis=1) - b.min(axis=1)
-        self.bound = float(np.quantile(over, RECALL)) + 1e-9
-
-    def sums(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return distances(rows[:, : self.cut], self.left), distances(rows[:, self.cut :], self.right)
 
     def cells(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.sums(rows)
+        a, b = distances(rows[:, : self.cut], self.left), distances(rows[:, self.cut :], self.right)
         return a.argmin(axis=1), b.argmin(axis=1)
 
+    def least(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return least_distances(rows[:, : self.cut], self.left), least_distances(rows[:, self.cut :], self.right)
+
     def visits(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Multi-sequence traversal, all rows at once: rank by rank of the first half, the ranks of the second that keep
-        the sum within the bound. Yields (row, cell)."""
-        a, b = self.sums(rows)
-        limit = a.min(axis=1) + b.min(axis=1) + self.bound
+        """All rows at once: rank by rank of the first half, the centres of the second that keep the sum of the least
+        distances within REACH. Yields (row, cell)."""
+        a, b = self.least(rows)
         order = a.argsort(axis=1, kind="stable")
         for rank in range(self.size):
             x = order[:, rank]
-            room = limit - a[np.arange(len(rows)), x]
+            room = REACH + ROUNDING - a[np.arange(len(rows)), x]
             row, y = np.nonzero(b <= room[:, None])
             if not len(row):
                 return
@@ -100,8 +99,8 @@ class Grid:
 
     def visited(self, rows: np.ndarray, cell: int) -> np.ndarray:
         """Which rows visit ``cell``."""
-        a, b = self.sums(rows)
-        return a[:, cell // self.size] + b[:, cell % self.size] <= a.min(axis=1) + b.min(axis=1) + self.bound
+        a, b = self.least(rows)
+        return a[:, cell // self.size] + b[:, cell % self.size] <= REACH + ROUNDING
 
 
 def usable(vector: Column) -> Column:
@@ -143,7 +142,7 @@ def near_duplicates(
 
     Links are pairs of different rows with cosine of COSINE or more; vectors of different lengths are never linked, and
     neither are null, empty and zero vectors and those with null or non-finite components (0 links, own component).
-    With a recall of RECALL for pairs at the threshold. Equal vectors are copies: one stands for all in the search, and all are counted. A null id stays null, with a null
+    Every such pair is found. Equal vectors are copies: one stands for all in the search, and all are counted. A null id stays null, with a null
     component, and is kept; it counts as a linked row of others. Rows that share an id are counted each.
     """
     base = vectors.select(

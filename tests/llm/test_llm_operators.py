@@ -352,6 +352,23 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("size", "power"), [(64, 0.5), (64, 1.0), (384, 1.0)])
+def test_cells_of_anisotropic_partners_are_visited(size, power):
+    """Partners that differ along the main directions of the data, as those of trained embeddings do."""
+    rng = np.random.default_rng(9)
+    spectrum = np.arange(1, size + 1) ** -power
+    rows = embeddings.unit(rng.standard_normal((4000, size)) * spectrum)
+    base = rows[:1500]
+    aside = rng.standard_normal(base.shape) * spectrum
+    aside = embeddings.unit(aside - (aside * base).sum(axis=1, keepdims=True) * base)
+    partner = 0.901 * base + np.sqrt(1 - 0.901**2) * aside
+    grid = embeddings.Grid(rows, 16)
+    x, y = grid.cells(partner)
+    visits = {(int(i), int(c)) for row, cell in grid.visits(base) for i, c in zip(row, cell)}
+    assert all((i, c) in visits for i, c in enumerate((x * grid.size + y).tolist()))
+    assert all(grid.visited(base[i : i + 1], c)[0] for i, c in enumerate((x * grid.size + y).tolist()))
+
+
 # ---- decontamination -------------------------------------------------------------------------------------------------
 
 
