@@ -3,8 +3,8 @@
 Words (blanks and what follows them) are runs in one flat array of symbols. An agenda step takes each run's best
 candidate: the adjacent pair whose piece has the highest score, the leftmost of equals. A hash with a key decides whether
 the candidate is skipped; a skipped one leaves the agenda until a neighbour changes. Otherwise the pair is merged.
-The key holds the seed, the document's variant, the word, the place and the pair, so a segmentation depends
-on nothing else: not on partitions, order or retries.
+The key holds the seed, the document, the word's number in it, the word, the place and the pair, so every occurrence of a
+word draws its own cuts, and a segmentation depends on nothing else: not on partitions, order or retries.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ BLANK = "▁"
 #: A word: blanks and the characters up to the next blank. No piece has a blank behind another character.
 WORD = re.compile(" *[^ ]+| +")
 NEVER = np.int64(2**40)
-#: Words of all variants that a worker remembers; emptied when full.
+#: Words that a worker remembers the pieces without dropout of; emptied when full.
 REMEMBERED = 1_500_000
+#: Characters of words that are cut in one set of arrays under dropout, one word at least.
+CUT_CHARS = 1_000_000
 
 
 class Pieces:
@@ -89,12 +91,18 @@ class Pieces:
 
     def segment(self, words: list[str], variants: list[int], dropout: float, seed: int) -> list[bytes]:
         """The pieces of each non-empty word in its variant, as 32-bit numbers."""
+        flat, counts = self.segments(words, np.array(variants, np.uint64), dropout, seed)
+        flat, ends = flat.tobytes(), 4 * np.cumsum(counts)
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def segments(self, words: list[str], variants: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all non-empty words, each in its variant, one after the other, and how many each has."""
         lengths = np.array([len(w) for w in words], np.int64)
         run = np.repeat(np.arange(len(words)), lengths)
         symbols = self.symbol_of[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         key = mix(np.array([xxhash.xxh64_intdigest(w.encode(), 0) for w in words], np.uint64)
-                  ^ mix(np.array(variants, np.uint64) ^ seed_of(seed)))
+                  ^ mix(variants ^ seed_of(seed)))
         bar = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
 
         def offers(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,32 +154,43 @@ class Pieces:
         symbols, run = (np.concatenate(x) for x in zip(*ready, strict=True))
         order = np.argsort(run, kind="stable")
         symbols, run = self.as_bytes(symbols[order], run[order])
-        flat = symbols.astype("<i4").tobytes()
-        ends = 4 * np.cumsum(np.bincount(run, minlength=len(words)))
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return symbols.astype("<i4"), np.bincount(run, minlength=len(words))
 
 
-#: What a worker process has segmented, by model, dropout, seed and variant. Only a memory: every entry can be made anew.
-_KNOWN: dict[tuple, dict[str, bytes]] = {}
+#: What a worker process has segmented without dropout, by model. Only a memory: every entry can be made anew.
+_KNOWN: dict[str, dict[str, bytes]] = {}
 
 
 def encoder(pieces: Pieces, dropout: float, seed: int) -> Callable[[list[str], list[int]], list[np.ndarray]]:
-    """A function from texts and their variants to pieces, with a bounded memory of words."""
+    """A function from texts and the numbers of their documents to pieces. Under dropout every occurrence of a word is cut by
+    itself; without, words are remembered up to a bound."""
 
-    def encode(texts: list[str], variants: list[int]) -> list[np.ndarray]:
+    def plain(cut: list[list[str]]) -> list[np.ndarray]:
         if sum(map(len, _KNOWN.values())) > REMEMBERED:
             _KNOWN.clear()
-        of = {v: _KNOWN.setdefault((pieces.name, dropout, seed, v), {}) for v in set(variants)}
+        known = _KNOWN.setdefault(pieces.name, {})
+        if new := list(set().union(*cut).difference(known)):
+            known.update(zip(new, pieces.segment(new, [0] * len(new), 0.0, seed), strict=True))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), "<i4") for words in cut]
+
+    def varied(cut: list[list[str]], numbers: list[int]) -> list[np.ndarray]:
+        sizes = np.array([len(words) for words in cut], np.int64)
+        words = [w for x in cut for w in x]
+        if not words:
+            return [np.empty(0, "<i4") for _ in cut]
+        of_doc = mix(np.array([x % 2**64 for x in numbers], np.uint64) ^ seed_of(seed, 1))
+        number = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        variants = mix(np.repeat(of_doc, sizes) ^ number.astype(np.uint64))
+        step = np.cumsum([len(w) for w in words]) // CUT_CHARS
+        ends = [*(np.flatnonzero(np.diff(step)) + 1).tolist(), len(words)]
+        made = [pieces.segments(words[a:b], variants[a:b], dropout, seed) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        flat, counts = (np.concatenate(x) for x in zip(*made, strict=True))
+        before = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(sizes)]]
+        return [flat[a:b] for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+
+    def encode(texts: list[str], numbers: list[int]) -> list[np.ndarray]:
         cut = [WORD.findall(" " + x) if x else [] for x in texts]
-        new: list[tuple[str, int]] = []
-        for v, known in of.items():
-            fresh = set().union(*(words for words, u in zip(cut, variants, strict=True) if u == v)).difference(known)
-            new += [(w, v) for w in fresh]
-        if new:
-            made = pieces.segment([w for w, _ in new], [v for _, v in new], dropout, seed)
-            for (w, v), ids in zip(new, made, strict=True):
-                of[v][w] = ids
-        return [np.frombuffer(b"".join(map(of[v].__getitem__, words)), "<i4") for words, v in zip(cut, variants, strict=True)]
+        return varied(cut, numbers) if dropout > 0 else plain(cut)
 
     return encode
 
@@ -182,21 +201,16 @@ def decode(pieces: Pieces, ids: list[int]) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def variants_of(doc_ids: list[int | None], variants: int, seed: int) -> list[int]:
-    numbers = np.array([0 if d is None else d for d in doc_ids], np.int64).astype(np.uint64)
-    return (mix(numbers ^ seed_of(seed, 1)) % np.uint64(variants)).astype(int).tolist()
-
-
 def encode_documents(
-    docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 17, variants: int = 4,
+    docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 17,
     doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """``doc_id, pieces, n_pieces, lossless`` for every row of ``docs``, whole texts.
 
-    ``pieces`` are ids under dropout, ``lossless`` says whether decoding gives the text again (it does for every text). Documents are dealt into ``variants`` segmentations by a hash of their id,
-    so equal texts of different documents can be cut differently. Dropout 0 gives the library's own pieces, but for
+    ``pieces`` are ids under dropout, ``lossless`` says whether decoding gives the text again (it does for every text). Every occurrence of a word is cut by draws of its own,
+    from its document's id and its number in the text. Dropout 0 gives the library's own pieces, but for
     texts that hold the sign U+2581 itself, which goes out as bytes here and would be lost there. A null or empty text
-    has no pieces and is lossless; a null ``doc_id`` counts as 0 for its variant; repeated rows repeat their
+    has no pieces and is lossless; a null ``doc_id`` counts as 0 in the draws; repeated rows repeat their
     result; other columns are not read. The model file is read on the driver (a few MB) and sent to the tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(path))
@@ -212,7 +226,7 @@ def encode_documents(
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             ids, texts = part.column("__id"), [x or "" for x in part.column("__text").to_pylist()]
-            made = varied(texts, variants_of(ids.to_pylist(), variants, seed))
+            made = varied(texts, [d or 0 for d in ids.to_pylist()])
             lengths = np.array([len(x) for x in made], np.int64)
             flat = np.concatenate([np.empty(0, np.int32), *made])
             rows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(flat))

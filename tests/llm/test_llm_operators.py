@@ -122,6 +122,21 @@ def test_agenda_equals_a_plain_one():
         assert [np.frombuffer(x, "<i4").tolist() for x in made] == [plain(w, variant) for w in words]
 
 
+def test_every_occurrence_of_a_word_draws_its_own_cuts():
+    """Neither the occurrences in a document nor the documents share a few segmentations."""
+    pieces = sentence_pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    cut = sentence_pieces.encoder(pieces, 0.4, 7)
+    word = "internationalization"
+    texts = [word, " ".join([word] * 300)]
+    one = {tuple(cut([word], [d])[0].tolist()) for d in range(300)}
+    assert len(one) > 20
+    starts = lambda ids: [k for k, i in enumerate(ids) if pieces.bytes_of[i][:1] == b" "] + [len(ids)]
+    many = cut(texts, [5, 6])[1].tolist()
+    assert len({tuple(many[a:b]) for a, b in zip(starts(many), starts(many)[1:])}) > 20
+    # the same whatever stands in the batch
+    assert many == cut(texts[1:], [6])[0].tolist() != cut(texts[1:], [-6])[0].tolist()
+
+
 # ---- secrets ---------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
