@@ -50,9 +50,9 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.S,
 )
-#: A tag is sought within so many characters. Beyond that the search goes to the page's end, LONG_TAGS times at most, so
-#: that a page of open tags and quotes costs no quadratic time; what is then still no tag is text.
-TAG_CHARS, LONG_TAGS = 8_192, 50
+#: A tag is sought by pattern within so many characters; ends of longer tags come from LongTags.
+TAG_CHARS = 8_192
+NAME_END, MARK = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 #: Elements nested deeper than this become siblings, as in browsers.
 DEEPEST = 500
 
@@ -75,13 +75,62 @@ def attributes_of(rest: str) -> dict[str, str]:
     return found
 
 
+class LongTags:
+    """Finds ends of tags of any length in time linear in the page, however many searches fail.
+
+    Outside quotes only the next mark (``>`` or a quote) decides how a search goes on, so the outcome at every mark is
+    remembered and no stretch is walked twice. Tags are asked for in the order of the page.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.outcome: dict[int, int] = {}
+        self.ahead: dict[re.Pattern, int] = {}
+
+    def next(self, pattern: re.Pattern, at: int) -> int:
+        """The first match at or behind ``at``, the page's size if there is none; ``at`` never falls by pattern."""
+        if self.ahead.get(pattern, -1) < at:
+            m = pattern.search(self.page, at)
+            self.ahead[pattern] = m.start() if m else len(self.page)
+        return self.ahead[pattern]
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose attributes begin at ``at``; -1 if none does."""
+        mark, path = self.next(MARK, at), []
+        while mark not in self.outcome:
+            path.append(mark)
+            if mark >= len(self.page):
+                self.outcome[mark] = -1
+            elif self.page[mark] == ">":
+                self.outcome[mark] = mark
+            elif (closing := self.page.find(self.page[mark], mark + 1)) < 0:
+                self.outcome[mark] = -1
+            else:
+                m = MARK.search(self.page, closing + 1)
+                mark = m.start() if m else len(self.page)
+        for passed in path:
+            self.outcome[passed] = self.outcome[mark]
+        return self.outcome[mark]
+
+    def tag(self, at: int) -> tuple[str, str, str, int] | None:
+        """``/`` or nothing, name, attributes and end of the tag at ``at``."""
+        slash = self.page[at + 1 : at + 2] == "/"
+        first = at + 1 + slash
+        letter = self.page[first : first + 1]
+        if not (letter.isascii() and letter.isalpha()):
+            return None
+        name_end = self.next(NAME_END, first + 1)
+        end = self.end(name_end)
+        return None if end < 0 else ("/" * slash, self.page[first:name_end], self.page[name_end:end], end + 1)
+
+
 def parse(page: str) -> Element:
     """The tree of a page. Never fails: what is no tag is text, open elements end with the page."""
     root = Element("#root", {})
     stack = [root]
     at = 0
     size = len(page)
-    long_tags = 0
+    long_tags, by_marks = LongTags(page), False
     while at < size:
         tag = page.find("<", at)
         if tag < 0:
@@ -90,24 +139,30 @@ def parse(page: str) -> Element:
         if tag > at:
             stack[-1].children.append(html.unescape(page[at:tag]))
         special = page[tag + 1 : tag + 2] in ("!", "?")
-        m = TOKEN.match(page, tag) if special else TOKEN.match(page, tag, tag + TAG_CHARS)
-        if m is None and not special and tag + TAG_CHARS < size and page[tag + 1 : tag + 2].isalpha() and long_tags < LONG_TAGS:
-            long_tags += 1
+        if special:
             m = TOKEN.match(page, tag)
+        else:
+            m = None if by_marks else TOKEN.match(page, tag, tag + TAG_CHARS)
         if m is None:
-            stack[-1].children.append("<")
-            at = tag + 1
-            continue
-        at = m.end()
-        if m["data"] is not None:
-            stack[-1].children.append(m["data"])
-        if m["name"] is None:
-            continue
-        name = m["name"].lower()
-        if m["end"]:
+            by_marks = True  # the page has long or open tags: the pattern would walk TAG_CHARS for each
+            found = None if special else long_tags.tag(tag)
+            if found is None:
+                stack[-1].children.append("<")
+                at = tag + 1
+                continue
+            ends, name, rest, at = found
+        else:
+            at = m.end()
+            if m["data"] is not None:
+                stack[-1].children.append(m["data"])
+            if m["name"] is None:
+                continue
+            ends, name, rest = m["end"], m["name"], m["rest"]
+        name = name.lower()
+        if ends:
             close(stack, name)
             continue
-        open_element(stack, name, attributes_of(m["rest"]) if m["rest"] else {})
+        open_element(stack, name, attributes_of(rest) if rest else {})
         if name in RAW:
             done = re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             text = page[at : done.start()] if done else page[at:]

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -201,6 +202,33 @@ def test_pages_with_odd_rows(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_tags_of_any_length_and_number():
+    data = "data:image/png;base64," + "iVBO>'Rw0<b" * 1000
+    image = f'<img alt="pic" src="{data}">'
+    page = "".join(f"<p>text {k} {image}</p><div title='{'x' * 9000}' style=\"display:none\">gone</div {'y' * 9000}>" for k in range(120))
+    assert html_text.visible_text(page) == "\n\n".join(f"text {k} pic" for k in range(120))
+
+
+def test_long_tags_equal_the_pattern():
+    rng = random.Random(3)
+    for _ in range(3000):
+        page = "".join(rng.choices(["<", "a", "/", " ", "'", '"', ">", "="], [4, 6, 1, 2, 1, 1, 1, 1], k=rng.randrange(1, 60)))
+        long_tags = html_text.LongTags(page)
+        at = page.find("<")
+        while at >= 0:
+            m = html_text.TOKEN.match(page, at)
+            found = long_tags.tag(at)
+            assert found == (m and (m["end"], m["name"], m["rest"], m.end()))
+            at = page.find("<", found[3] if found else at + 1)
+
+
+def test_open_long_tags_cost_linear_time():
+    began = time.perf_counter()
+    for part in ("<a '", '<a "x" ', "<a", "<a b='\"' "):
+        html_text.visible_text(part * (400_000 // len(part)))
+    assert time.perf_counter() - began < 60
+
+
 # ---- line chunks -----------------------------------------------------------------------------------------------------
 
 
