@@ -1,9 +1,9 @@
 """Removal of repeated chunks of lines.
 
 A text is cut into lines: at line breaks, and behind sentence ends, so that a passage pasted into the middle of a long
-line still has whole lines. A rolling hash over the hashes of the last lines chooses chunk boundaries, so a passage has the
-same boundaries wherever it stands. Chunks are compared over all documents; the first occurrence stays. Of the others
-those go that, with the repeated chunks next to them, make up a stretch of several lines.
+line still has whole lines. Every line that is not blank ends a chunk, so all whole lines of a passage are chunks of
+their own wherever it stands, whatever lines are around it. Chunks are compared over all documents; the first occurrence stays. Of the others
+those go that, with the repeated chunks next to them, make up a stretch of several lines, or hold one long line.
 """
 
 from __future__ import annotations
@@ -11,23 +11,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from diffsieve.llm.common import explode_texts, mix, seed_of, with_text
+from diffsieve.llm.common import explode_texts, with_text
 from diffsieve.staging import stage
 
 LINE = re.compile(r"[^\n.!?]*(?:\n|[.!?]+(?:\s|\Z)?|\Z)")
-#: Lines that the rolling hash covers, and the share of hashes that make a boundary.
-WINDOW = 2
-BOUNDARY = 0.75
-#: A repeated stretch is removed if it has so many lines and words.
+#: A repeated stretch is removed if it has so many lines and words, or a line of more than LONG_LINE words.
 LEAST_LINES = 2
 LEAST_WORDS = 16
+LONG_LINE = 50
 
 
 def lines_of(text: str) -> list[str]:
@@ -40,20 +36,9 @@ def bare(line: str) -> str:
 
 
 def chunks_of(lines: list[str]) -> list[int]:
-    """Ends (exclusive) of the chunks. Blank lines count for no hash, so that empty lines shift nothing."""
-    if not lines:
-        return []
-    full = [i for i, x in enumerate(lines) if not x.isspace()]
-    if not full:
-        return [len(lines)]
-    hashes = mix(np.array([xxhash.xxh64_intdigest(bare(lines[i])) for i in full], np.uint64) ^ seed_of(10))
-    rolled = hashes.copy()
-    for back in range(1, WINDOW):
-        older = np.r_[np.zeros(min(back, len(hashes)), np.uint64), hashes[: max(0, len(hashes) - back)]]
-        rolled ^= (older << np.uint64(back)) | (older >> np.uint64(64 - back))
-    cut = mix(rolled) < np.uint64(int(BOUNDARY * 2**64))
-    ends = [full[j] + 1 for j in np.flatnonzero(cut).tolist()]
-    if not ends or ends[-1] < len(lines):
+    """Ends (exclusive) of the chunks: behind every line that is not blank. Blank lines at the end are a chunk of their own."""
+    ends = [i + 1 for i, x in enumerate(lines) if not x.isspace()]
+    if lines and (not ends or ends[-1] < len(lines)):
         ends.append(len(lines))
     return ends
 
@@ -100,8 +85,9 @@ def without(text: str, repeated: set[int]) -> tuple[str, int, int]:
     def settle() -> None:
         nonlocal gone_lines, gone_words
         full = [x for x in run if not x.isspace()]
-        words = sum(len(x.split()) for x in full)
-        if len(full) >= LEAST_LINES and words >= LEAST_WORDS:
+        sizes = [len(x.split()) for x in full]
+        words = sum(sizes)
+        if (len(full) >= LEAST_LINES and words >= LEAST_WORDS) or max(sizes, default=0) > LONG_LINE:
             gone_lines, gone_words = gone_lines + len(full), gone_words + words
             # what stands before and after must not run together
             if out and not out[-1][-1:].isspace():

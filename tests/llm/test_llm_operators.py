@@ -275,6 +275,16 @@ def test_repeated_passages_go_and_the_first_stays(spark):
     assert out[52] == "short. text."
 
 
+def test_short_passages_go_whatever_stands_around_them():
+    """Three whole sentences as lines of their own, and one long sentence, in many hosts."""
+    rng = random.Random(10)
+    for k in range(200):
+        passage = sentences(rng, 3) if k % 2 else [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) + "."]
+        rows = [(d, "\n".join([*sentences(rng, 4), *passage, *sentences(rng, 4)])) for d in range(2)]
+        out = plain_dedup(rows)
+        assert out[0] == rows[0][1] and not any(x in out[1] for x in passage)
+
+
 def test_line_dedup_keeps_odd_rows(spark, odd):
     out = line_chunks.deduplicated(odd)
     assert collections.Counter((r.doc_id, r.text) for r in out.collect() if r.doc_id != 5) == collections.Counter(
