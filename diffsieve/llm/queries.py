@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from diffsieve.llm import decontaminate, embeddings, html_text, line_chunks, minhash, secret_scan, sentence_pieces, token_counts, toxicity, url_filter
+from diffsieve.llm import (
+    decontaminate,
+    embeddings,
+    html_text,
+    language_spans,
+    line_chunks,
+    minhash,
+    secret_scan,
+    sentence_pieces,
+    token_alignment,
+    token_counts,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 from diffsieve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,5 +68,22 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.deduplicated(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_html_text, op2_embedding_grid, op3_secret_scan, op4_minhash, op5_merge_dropout, op6_decontaminate, op7_url_filter, op8_token_counts, op9_toxicity, op10_line_chunks)}
-ORACLES: dict[str, str] = {}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.alignment_digest(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_spans.languages(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_html_text, op2_embedding_grid, op3_secret_scan, op4_minhash, op5_merge_dropout, op6_decontaminate, op7_url_filter,
+    op8_token_counts, op9_toxicity, op10_line_chunks, op11_token_alignment, op12_vector_codes, op13_language_spans,
+)
+QUERIES: dict[str, Query] = {q.__name__: q for q in _ALL}
+ORACLES: dict[str, str] = {"op12_vector_codes": vector_codes.oracle_sql()}
