@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from diffsieve.llm.common import with_text
-from diffsieve.llm.token_counts import printable_bytes
+from diffsieve.llm.token_counts import PRE_TOKEN, printable_bytes
 from diffsieve.staging import stage
 
 #: Merge steps of a piece.
@@ -38,6 +38,8 @@ LISTED = 4_096
 B_BITS = 20
 #: A blank where both vocabularies always cut: none of their tokens has a blank behind another character.
 CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+#: Characters besides ASCII and Latin letters, and rare control characters.
+OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f]")
 
 
 class Vocabularies:
@@ -48,11 +50,14 @@ class Vocabularies:
 
         self.file_a, self.file_b = Path(path_a).read_text(encoding="utf-8"), Path(path_b).read_bytes()
         byte_of = {c: b for b, c in printable_bytes().items()}
-        entries = json.loads(self.file_a)["model"]["vocab"]
+        file = json.loads(self.file_a)
+        entries, special = file["model"]["vocab"], {t["id"] for t in file.get("added_tokens", [])}
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             if all(c in byte_of for c in entry):
                 self.bytes_a[i] = bytes(byte_of[c] for c in entry)
+        # pairs merge in the order of the ids they make
+        self.ranks_a = {x: i for i, x in enumerate(self.bytes_a) if x and i not in special}
         model = sentencepiece.SentencePieceProcessor(model_proto=self.file_b)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes_b = [
@@ -60,18 +65,34 @@ class Vocabularies:
         if len(self.bytes_b) >= 1 << B_BITS:
             raise ValueError(f"more than {1 << B_BITS} pieces")
 
-    def encoders(self) -> tuple[Callable[[str], list[int]], Callable[[str], list[int]]]:
-        """Ids of blank + text by A, and of text by B, which adds the blank. Very long texts go in stretches that
-        end where both always cut, so that memory does not follow the text."""
+    def gives_back(self, text: str, a: list[int], b: list[int]) -> bool:
+        whole = b" " + text.encode()
+        return b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
+
+    def encoder(self) -> Callable[[list[str]], list[tuple[list[int], list[int]]]]:
+        """A function from texts to the ids of blank + text by A, and of the text by B, which adds the blank; a text
+        that is empty or that either does not give back has none. Very long texts go in stretches that end where both
+        always cut, so that memory does not follow the text.
+
+        Texts in Latin letters go through a second library that reads the same vocabulary several times faster. For other
+        characters the two libraries' tables of letters and white space may differ, so those go through the first.
+        """
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
-        a = Tokenizer.from_str(self.file_a)
-        a.encode_special_tokens = True
-        a.no_truncation()
-        a.no_padding()
-        b = sentencepiece.SentencePieceProcessor(model_proto=self.file_b)
+        model_a = Tokenizer.from_str(self.file_a)
+        model_a.encode_special_tokens = True
+        model_a.no_truncation()
+        model_a.no_padding()
+        fast_a = tiktoken.Encoding("a", pat_str=PRE_TOKEN, mergeable_ranks=self.ranks_a, special_tokens={})
+        model_b = sentencepiece.SentencePieceProcessor(model_proto=self.file_b)
+
+        def by_a(text: str) -> list[int]:
+            if OTHER.search(text):
+                return model_a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+            return fast_a.encode_ordinary(" " + text)
 
         def stretches(text: str) -> Iterator[str]:
             start = 0
@@ -80,15 +101,17 @@ class Vocabularies:
                 start = cut.end()
             yield text[start:]
 
-        def by_a(text: str) -> list[int]:
+        def encode(text: str) -> tuple[list[int], list[int]]:
+            if not text:
+                return [], []
             if len(text) <= LONG:
-                return a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
-            return [i for part in stretches(text) for i in a.encode_batch_fast([" " + part], add_special_tokens=False)[0].ids]
-
-        def by_b(text: str) -> list[int]:
-            return b.encode(text) if len(text) <= LONG else [i for part in stretches(text) for i in b.encode(part)]
+                a, b = by_a(text), model_b.encode(text)
+            else:
+                parts = [(by_a(part), model_b.encode(part)) for part in stretches(text)]
+                a, b = ([i for part in parts for i in part[k]] for k in (0, 1))
+            return (a, b) if self.gives_back(text, a, b) else ([], [])
 
-        return by_a, by_b
+        return lambda texts: [encode(text) for text in texts]
 
 
 def crossings(a: np.ndarray, b: np.ndarray, work: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,21 +169,12 @@ class Aligned:
 
 def aligner(files: Vocabularies) -> Callable[[list[str]], Aligned]:
     """A function from texts to their alignment; texts that are empty or that either vocabulary does not give back have no tokens."""
-    by_a, by_b = files.encoders()
-    bytes_a, bytes_b = files.bytes_a, files.bytes_b
-    lengths_a, lengths_b = (np.array([len(x) for x in y], np.int64) for y in (bytes_a, bytes_b))
+    encode = files.encoder()
+    lengths_a, lengths_b = (np.array([len(x) for x in y], np.int64) for y in (files.bytes_a, files.bytes_b))
 
     def align(texts: list[str]) -> Aligned:
-        ids_a, ids_b = [], []
-        for text in texts:
-            a, b = (by_a(text), by_b(text)) if text else ([], [])
-            whole = b" " + text.encode()
-            if text and not (
-                b"".join(map(bytes_a.__getitem__, a)) == whole and b"".join(map(bytes_b.__getitem__, b)) == whole):
-                a, b = [], []
-            ids_a.append(a)
-            ids_b.append(b)
-        return Aligned(ids_a, ids_b, lengths_a, lengths_b)
+        ids = encode(texts)
+        return Aligned([a for a, _ in ids], [b for _, b in ids], lengths_a, lengths_b)
 
     return align
 

@@ -133,11 +133,12 @@ def test_merge_pieces_of_any_work_agree(work):
 
 
 def test_long_texts_in_stretches_and_large_groups(spark, monkeypatch):
-    text = "words and, more words 123 " * 30 + "=" * 40 + " end"
+    text = "words and,  more words 123 " * 30 + "=" * 40 + " end"
     files = token_alignment.Vocabularies(A, B)
-    whole = [f(text) for f in files.encoders()]
-    monkeypatch.setattr(token_alignment, "LONG", 50)
-    assert [f(text) for f in files.encoders()] == whole
+    ids_a, _, ids_b, _ = plain_tokens(text)
+    for long in (50, 10**6):
+        monkeypatch.setattr(token_alignment, "LONG", long)
+        assert files.encoder()([text, ""]) == [(ids_a, ids_b), ([], [])]
     x = token_alignment.aligner(files)([text, "", "=-" * 200 + "é" * 300])
     few = Counter()
     for t, p, n in zip(*token_alignment.links_of(x)):
@@ -149,6 +150,19 @@ def test_long_texts_in_stretches_and_large_groups(spark, monkeypatch):
     assert few == many
 
 
+def test_both_libraries_give_the_ids_of_the_vocabulary(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    rng = random.Random(8)
+    pool = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250))] + list("    \n\n''") + ["'re", "'S", "the ", "tion", "<|endoftext|>", "00"]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(1, 80))) for _ in range(1500)]
+    assert not any(token_alignment.OTHER.search(t) for t in texts)
+    encode = token_alignment.Vocabularies(A, B).encoder()
+    assert [a for a, _ in encode(texts)] == [library.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_alignment_of_an_empty_table(spark):
     empty = docs_of(spark, [(1, "a", None)]).where("false")
     assert token_alignment.alignment_digest(empty, A, B).collect() == []
