@@ -53,3 +53,20 @@ def first_n(df: DataFrame, group: list[str], order: list, n: int, name: str = "_
     """The first n rows of every group; Spark cuts each task's share before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+
+
+def with_running_max(
+    df: DataFrame, group: list[str], slice_by: Column, order: list, value: Column, name: str, current: bool = True
+) -> DataFrame:
+    """Add ``name``: the greatest ``value`` of the group's rows before this one, and of this one if ``current``; null if there
+    is none. Slices are as in ``with_running_total``."""
+    sliced = df.withColumn("_slice", slice_by).withColumn("_value", value)
+    tops = sliced.groupBy(*group, "_slice").agg(F.max("_value").alias("_top"))
+    earlier = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select(*group, "_slice", F.max("_top").over(earlier).alias("_before"))
+    inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if current else -1)
+    return (
+        join_on(sliced, before, [*group, "_slice"])
+        .withColumn(name, F.greatest("_before", F.max("_value").over(inside)))
+        .drop("_slice", "_value", "_before")
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 from .. import fixed_values as fv
+from ..operators.dedupe import FAMILIES
 from .oracle_parts import (
     ORACLES, VERDICT, case, fmt, language_of, lit, oracle, part, short_id, stripped, title, values,
 )
@@ -486,3 +487,108 @@ oracle("verified_events", f"""
 oracle("validated_fixes", "SELECT review_id, item, fixed, valid AS validated FROM made_fixes")
 oracle("answer_source", """
     SELECT p.review_id, p.file_ord, p.filename, a.answer FROM parsed p JOIN quality_answers a USING (review_id, filename)""")
+
+# ---- merged findings, guarded dismissals, re-scanned fixes ----------------------------------------------------------------
+
+RANK = case("severity", {s: 5 - i for i, s in enumerate(fv.SEVERITIES)}, "0")
+
+
+def family(column: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({column}), {lit(k)}) THEN {lit(v)}" for k, v in FAMILIES) + f" ELSE lower({column}) END"
+
+
+part("ranged", f"""
+    SELECT f.*, {family("category")} AS family, f.line AS first_line,
+           CASE WHEN f.layer = 3 THEN greatest(f.line, coalesce(u.end_line, f.line)) ELSE f.line END AS last_line
+    FROM finals f LEFT JOIN units u ON f.layer = 3 AND u.review_id = f.review_id AND u.file_ord = f.file_ord AND u.unit_ord = f.seq""")
+part("reaching", """
+    SELECT *, max(last_line) OVER (PARTITION BY review_id, file_ord, filename, family, false_positive ORDER BY first_line, last_line, layer, seq, sub
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ranged""")
+part("clustered", """
+    SELECT *, count(*) FILTER (reach IS NULL OR first_line > reach) OVER (
+        PARTITION BY review_id, file_ord, filename, family, false_positive ORDER BY first_line, last_line, layer, seq, sub ROWS UNBOUNDED PRECEDING) AS cluster
+    FROM reaching""")
+_place = "review_id, file_ord, filename, family, false_positive, cluster"
+part("merged_findings", f"""
+    SELECT * FROM (
+        SELECT c.* EXCLUDE (first_line, last_line, reach), m.first_line, m.last_line, m.merged, m.n_layers,
+               row_number() OVER (PARTITION BY {", ".join(f"c.{x}" for x in _place.split(", "))} ORDER BY {RANK} DESC, c.layer, c.seq, c.sub) AS place
+        FROM clustered c JOIN (
+            SELECT {_place}, min(first_line) AS first_line, max(last_line) AS last_line, count(*) AS merged, count(DISTINCT layer) AS n_layers
+            FROM clustered GROUP BY ALL) m USING ({_place})
+        WHERE NOT c.false_positive) WHERE place = 1""")
+oracle("dedupe_findings", f"""
+    SELECT {ITEM}, source, copies, family, first_line, last_line, merged, CAST(n_layers AS INT) AS n_layers FROM merged_findings""")
+_both = ", ".join(
+    f"CAST(coalesce(sum(copies) FILTER (t = {lit(w)} AND severity = {lit(s)}), 0) AS BIGINT) AS {w}_{s}" for w in ("before", "after") for s in fv.SEVERITIES)
+oracle("deduped_breakdown", f"""
+    SELECT review_id, {_both} FROM all_reviews LEFT JOIN (
+        SELECT review_id, severity, copies, 'before' AS t FROM finals WHERE NOT false_positive
+        UNION ALL SELECT review_id, severity, copies, 'after' FROM merged_findings) USING (review_id) GROUP BY review_id""")
+oracle("guard_dismissals", f"""
+    SELECT {ITEM}, CASE WHEN (SELECT count(DISTINCT o.layer) FROM clustered o WHERE o.false_positive AND o.review_id = c.review_id
+                              AND o.file_ord = c.file_ord AND o.filename = c.filename AND o.family = c.family AND o.cluster = c.cluster) > 1
+                OR (length(trim(coalesce(fp_reason, ''))) > 0 AND fp_reason <> {lit(fv.DEFAULT_REASON)}) THEN 'kept' ELSE 'refused' END AS guard,
+           fp_reason, copies
+    FROM clustered c WHERE false_positive AND severity IN ('critical', 'high')""")
+
+NL = "chr(10)"
+part("sought", f"""
+    SELECT t.review_id, t.item, t.filename, t.original, t.fixed, i.file_ord, i.line, i.category, i.severity, p.content,
+           string_split(coalesce(p.content, ''), {NL}) AS lines, len(string_split(t.original, {NL})) AS height,
+           regexp_matches(t.original, '\\S') AND p.content IS NOT NULL AS usable
+    FROM fix_table t JOIN fix_items i USING (review_id, item)
+    LEFT JOIN parsed p ON p.review_id = t.review_id AND p.file_ord = i.file_ord AND p.filename = t.filename""")
+part("exactly", f"""
+    SELECT *, CASE WHEN usable THEN CASE WHEN instr(substr(content, behind + 1), original) > 0 THEN behind + instr(substr(content, behind + 1), original) - 1
+                                         WHEN instr(content, original) > 0 THEN instr(content, original) - 1 END END AS exact
+    FROM (SELECT *, CASE WHEN least(line, len(lines)) > 1 THEN length(array_to_string(lines[1:least(line, len(lines)) - 1], {NL})) + 1 ELSE 0 END AS behind FROM sought)""")
+part("nearly", f"""
+    SELECT review_id, item, min({{'distance': levenshtein(w, original), 'line': l}}) AS near
+    FROM (SELECT review_id, item, original, l, array_to_string(lines[l:l + height - 1], {NL}) AS w
+          FROM exactly, unnest(range(1, len(lines) - height + 2)) u(l) WHERE usable AND exact IS NULL)
+    WHERE abs(length(w) - length(original)) <= floor(length(original) * 0.2) AND levenshtein(w, original) <= floor(length(original) * 0.2)
+    GROUP BY ALL""")
+part("placed", f"""
+    SELECT *, start + CASE WHEN how = 'exact' THEN length(original) ELSE length(array_to_string(lines[near.line:near.line + height - 1], {NL})) END AS stop
+    FROM (SELECT e.*, near, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN near IS NOT NULL THEN 'near' END AS how,
+                 CASE WHEN exact IS NOT NULL THEN 0 ELSE near.distance END AS distance,
+                 coalesce(exact, CASE WHEN near.line > 1 THEN length(array_to_string(lines[1:near.line - 1], {NL})) + 1 WHEN near.line = 1 THEN 0 END) AS start
+          FROM exactly e LEFT JOIN nearly USING (review_id, item))""")
+part("fitting", """
+    SELECT review_id, file_ord, list_reduce(
+        list({'stop': stop, 'start': start, 'items': [item]} ORDER BY stop, start, item),
+        lambda done, x: CASE WHEN x.start >= done.stop THEN {'stop': x.stop, 'start': done.start, 'items': list_concat(done.items, x.items)} ELSE done END).items AS items
+    FROM placed WHERE how IS NOT NULL GROUP BY ALL""")
+part("fix_states", f"""
+    SELECT p.*, {family("category")} AS family,
+           CASE WHEN how IS NULL THEN 'not found' WHEN list_contains(items, item) THEN 'applied' ELSE 'conflict' END AS state
+    FROM placed p LEFT JOIN fitting f USING (review_id, file_ord)""")
+part("pieces", """
+    SELECT *, substr(content, before + 1, start - before) AS gap FROM (
+        SELECT *, coalesce(lag(stop) OVER (PARTITION BY review_id, file_ord ORDER BY start), 0) AS before FROM fix_states WHERE state = 'applied')""")
+_nl = lambda x: f"(length({x}) - length(replace({x}, {NL}, '')))"
+part("changed_lines", f"""
+    SELECT *, first_line + {_nl("fixed")} AS last_line, string_split(
+           string_agg(gap || fixed, '' ORDER BY start) OVER (PARTITION BY review_id, file_ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+           || substr(content, max(stop) OVER (PARTITION BY review_id, file_ord) + 1), {NL}) AS new_lines
+    FROM (SELECT *, 1 + {_nl("gap")} + coalesce(sum({_nl("gap")} + {_nl("fixed")}) OVER (
+              PARTITION BY review_id, file_ord ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_line FROM pieces)""")
+part("rescanned", f"""
+    SELECT c.review_id, c.item, count(*) FILTER (hit = family) AS n_same, count(*) FILTER (hit <> family) AS n_other
+    FROM (SELECT c.*, {family(title("regexp_extract(r.name, '[^.]*$')"))} AS hit
+          FROM (SELECT c.review_id, c.item, c.family, {case("p.language", fv.RULESET_OF_LANGUAGE)} AS ruleset, new_lines[l] AS text
+                FROM changed_lines c JOIN parsed p USING (review_id, file_ord), unnest(range(CAST(first_line AS BIGINT), CAST(last_line AS BIGINT) + 1)) u(l)) c
+          JOIN pack r ON r.ruleset = c.ruleset AND regexp_matches(c.text, r.pattern)) c GROUP BY ALL""")
+part("fix_results", """
+    SELECT s.review_id, s.item, s.file_ord, s.filename, s.category, s.severity, s.family, s.state, s.how, CAST(s.distance AS INT) AS distance,
+           CAST(c.first_line AS INT) AS first_line, CAST(c.last_line AS INT) AS last_line,
+           CASE WHEN s.state = 'applied' THEN coalesce(n_same, 0) = 0 END AS cleared, CASE WHEN s.state = 'applied' THEN coalesce(n_other, 0) END AS n_other
+    FROM fix_states s LEFT JOIN changed_lines c ON c.review_id = s.review_id AND c.item = s.item
+    LEFT JOIN rescanned r ON r.review_id = s.review_id AND r.item = s.item""")
+oracle("rescan_fixes", "SELECT * FROM fix_results")
+oracle("cleared_share", """
+    SELECT review_id, count(item) AS n_fixes, count(*) FILTER (state = 'applied') AS n_applied, count(*) FILTER (state = 'conflict') AS n_conflict,
+           count(*) FILTER (state = 'not found') AS n_not_found, count(*) FILTER (cleared) AS n_cleared,
+           round(count(*) FILTER (cleared) / nullif(count(*) FILTER (state = 'applied'), 0), 9) AS share
+    FROM all_reviews LEFT JOIN fix_results USING (review_id) GROUP BY review_id""")

@@ -21,7 +21,7 @@ from ..functions.ordering import with_position
 from ..functions.python_checks import signature_of, signature_valid
 from ..functions.severity import severity_rank
 from ..functions.stats import wilson_bounds
-from ..operators import classify, evaluate, report, scan, triage, units, worklist
+from ..operators import classify, dedupe, evaluate, report, rescan, scan, triage, units, worklist
 from ..operators import files as file_ops
 from ..operators import quality as quality_ops
 from ..operators.rules import RULE_PACK, TEXT_PACK, rule_table
@@ -1071,3 +1071,36 @@ def answer_source(spark, folder):
     r = review(spark, folder)
     joined = r.parsed.join(r.quality_answers, ["review_id", "filename"])
     return joined.select("review_id", "file_ord", "filename", "answer")
+
+
+# ---- merged findings, guarded dismissals, re-scanned fixes ----------------------------------------------------------------
+
+
+@query
+def dedupe_findings(spark, folder):
+    return review(spark, folder).deduped.select(
+        *ITEM, "source", "copies", "family", "first_line", "last_line", "merged", "n_layers")
+
+
+@query
+def deduped_breakdown(spark, folder):
+    r = review(spark, folder)
+    return dedupe.deduped_breakdown(r.findings, r.deduped, r.reviews)
+
+
+@query
+def guard_dismissals(spark, folder):
+    r = review(spark, folder)
+    return dedupe.guard_audit(dedupe.guard_dismissals(r.findings, r.units))
+
+
+@query
+def rescan_fixes(spark, folder):
+    r = review(spark, folder)
+    return rescan.rescan_fixes(r.fixes, r.fix_items, r.parsed)
+
+
+@query
+def cleared_share(spark, folder):
+    r = review(spark, folder)
+    return rounded(rescan.cleared_share(rescan.rescan_fixes(r.fixes, r.fix_items, r.parsed), r.reviews), "share")

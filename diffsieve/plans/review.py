@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import files as file_ops
 from ..operators import quality as quality_ops
 from ..operators import report as report_ops
-from ..operators import scan, triage, units, worklist
+from ..operators import dedupe, scan, triage, units, worklist
 from ..operators.rules import RULE_PACK, Rule
 from ..staging import stage
 
@@ -71,6 +71,11 @@ class Review:
             return triage.finding_position(self.listed)
         return stage(triage.triaged(self.listed, self.security_answers))
 
+    @cached_property
+    def deduped(self) -> DataFrame:
+        """The real findings, one per place and weakness family."""
+        return stage(dedupe.dedupe_findings(self.findings, self.units))
+
     @cached_property
     def quality(self) -> DataFrame:
         found = quality_ops.metric_gates(self.blocks)

@@ -317,6 +317,10 @@ FIX_ANSWERS = [
     '{"fixed": "def broken(:"}',
     '```json\n{"description": "Drop the call", "original": "x()", "fixed": ""}\n```',
     'cannot fix',
+    '{"fixed": "checked_@N@()", "explanation": "replaced"}',
+    '{"original": "return eval(reply.text), random.random()", "fixed": "return json.loads(reply.text)"}',
+    '{"original": "    return subprocess.run(\\"tar cf backups.tar \\" + folders, shell=True)", "fixed": "    return pack(folder)"}',
+    '{"fixed": "value = eval(os.popen(name_@N@)), password=\\"p\\""}',
 ]
 TEST_ANSWERS = [
     '{"filename": "test_@N@.py", "content": "def test_ok():\\n    assert True\\n", "covers": ["load", "add"]}',
