@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 from .. import fixed_values as fv
 from ..operators.dedupe import FAMILIES
@@ -592,3 +593,12 @@ oracle("cleared_share", """
            count(*) FILTER (state = 'not found') AS n_not_found, count(*) FILTER (cleared) AS n_cleared,
            round(count(*) FILTER (cleared) / nullif(count(*) FILTER (state = 'applied'), 0), 9) AS share
     FROM all_reviews LEFT JOIN fix_results USING (review_id) GROUP BY review_id""")
+
+# ---- reviews on streams --------------------------------------------------------------------------------------------------
+
+oracle("streamed_reviews", """
+    SELECT review_id, verdict, summary, n_files AS files_reviewed,
+           CASE WHEN review_id NOT IN (SELECT review_id FROM well_formed) THEN 'no file known' END AS error FROM summed""")
+oracle("late_listings", re.sub(r"CASE WHEN event_id % 3 <> 1 THEN 'kind = ' \|\| event_type ELSE '' END", "''", HOOKS))
+ORACLES["streamed_job_status"] = ORACLES["job_status"]
+

@@ -30,6 +30,7 @@ from ..sources import files as file_source
 from ..sources import scanner_json, sinks
 from ..staging import checkpoint_folder
 from ..streaming import events as event_ops
+from ..streaming import reviews as review_streams
 from .review import Review, merge_branches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1104,3 +1105,82 @@ def rescan_fixes(spark, folder):
 def cleared_share(spark, folder):
     r = review(spark, folder)
     return rounded(rescan.cleared_share(rescan.rescan_fixes(r.fixes, r.fix_items, r.parsed), r.reviews), "share")
+
+
+# ---- reviews on streams --------------------------------------------------------------------------------------------------
+
+
+def _review_arrivals(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """One delivery per review with the names of its well-formed files, every third sent twice; and the files' contents by address."""
+    files = file_ops.reject_malformed(review(spark, folder).pr_files)[0]
+    address = F.concat(F.lit("c/"), F.col("review_id").cast("string"), F.lit("/"), F.col("file_ord").cast("string"))
+    none = F.lit(None).cast("string")
+    entry = F.struct("file_ord", "filename", address.alias("contents_url"), none.alias("raw_url"), "patch", "additions", "deletions")
+    listed = files.groupBy("review_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    rows = review(spark, folder).reviews.join(listed, "review_id", "left")
+    shaped = F.transform("entries", lambda e: F.struct(*[e[c].alias(c) for c in ("filename", "contents_url", "raw_url", "patch", "additions", "deletions")]))
+    payload = F.to_json(F.struct(
+        F.lit("opened").alias("action"),
+        F.struct(F.concat(F.lit("u"), F.col("review_id").cast("string")).alias("html_url"), F.col("review_id").cast("int").alias("number"),
+                 shaped.alias("files")).alias("pull_request"),
+        F.struct(F.lit("o/r").alias("full_name")).alias("repository")))
+    sent = F.explode(F.when(F.col("review_id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again")
+    arrivals = rows.select(
+        "review_id", F.lit("pull_request").alias("event"), F.lit(None).cast("string").alias("signature"), payload.alias("payload"),
+        F.concat(F.lit("d"), F.col("review_id").cast("string")).alias("delivery_id"), sent,
+    ).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("review_id") % 1000 + F.col("again") * 60))
+    return arrivals, files.select(address.alias("url"), "content")
+
+
+HEADER = (
+    "review_id BIGINT, verdict STRING, summary STRING, "
+    "severity_breakdown STRUCT<critical: BIGINT, high: BIGINT, medium: BIGINT, low: BIGINT, info: BIGINT>, files_reviewed BIGINT, error STRING")
+
+
+@query
+def streamed_reviews(spark, folder):
+    """Deliveries, some of them repeated, reviewed in two batches; the headers that the commits published."""
+    base = f"{checkpoint_folder(spark)}/reviews-{uuid.uuid4().hex}"
+    arrivals, contents = _review_arrivals(spark, folder)
+    arrivals.where("again = 0").drop("again").coalesce(1).write.json(f"{base}/in")
+    arrivals.where("again = 1").drop("again").coalesce(1).write.mode("append").json(f"{base}/in")
+    answers = [corpus_source.answers(documents_of(spark, folder), s) for s in ("security", "quality", "fix", "test")]
+    review_streams.stream_reviews(
+        review_streams.read_arrivals(spark, f"{base}/in", max_files=1), f"{base}/out", f"{base}/state", contents=contents,
+        make_review=lambda files: Review(files, *answers)).awaitTermination()
+    return review_streams.read_reports(spark, f"{base}/out", "header", HEADER).select("review_id", "verdict", "summary", "files_reviewed", "error")
+
+
+@query
+def late_listings(spark, folder):
+    """Deliveries and their file lists as two streams; the lists of even numbers come half an hour later, others never."""
+    base = f"{checkpoint_folder(spark)}/late-{uuid.uuid4().hex}"
+    ts = table(spark, folder, "events").select(F.col("event_id").alias("review_id"), F.col("ts").cast("timestamp").alias("ts"))
+    # one more delivery and listing, far ahead, moves the watermarks past all others
+    end = F.timestamp_seconds(F.lit(4_000_000_000))
+    rows = _payloads(spark, folder).join(ts, "review_id").withColumn("delivery_id", F.col("review_id").cast("string"))
+    last = rows.where("event = 'pull_request'").limit(1).select(
+        F.lit(-1).cast("bigint").alias("review_id"), "event", "signature", "payload", F.lit("end").alias("delivery_id"), end.alias("ts"))
+    rows.unionByName(last).select("review_id", "event", "signature", "payload", "delivery_id", "ts").write.json(f"{base}/in")
+    listing, _ = _fetched(spark, folder)
+    timed = listing.join(ts.select(F.col("review_id").cast("int").alias("number"), (F.col("ts") + F.expr("interval 30 minutes")).alias("listed_ts")), "number")
+    final = timed.limit(1).withColumns({"number": F.lit(-1), "listed_ts": end})
+    timed.unionByName(final).write.json(f"{base}/lists")
+    lists = spark.readStream.schema(timed.schema).json(f"{base}/lists")
+    arrivals = review_streams.read_arrivals(spark, f"{base}/in")
+    files = review_streams.listed_later(arrivals, lists)
+    files.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    return spark.read.schema(files.schema).parquet(f"{base}/out").where("review_id >= 0")
+
+
+@query
+def streamed_job_status(spark, folder):
+    """Job events in three batches, out of order, merged into one table of last states."""
+    base = f"{checkpoint_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    events = _job_events(spark, folder)
+    for k in (1, 2, 0):
+        events.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").json(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    review_streams.stream_job_status(stream, f"{base}/out", f"{base}/state").awaitTermination()
+    return review_streams.job_states(spark, f"{base}/out")
+

@@ -44,5 +44,6 @@ HOOK_PAYLOAD = (
     "repository STRUCT<full_name STRING>"
 )
 HOOK_DELIVERY = "review_id BIGINT, event STRING, signature STRING, payload STRING"
+HOOK_ARRIVAL = f"{HOOK_DELIVERY}, delivery_id STRING, ts TIMESTAMP"
 JOB_EVENT = "review_id BIGINT, seq BIGINT, status STRING, error STRING, ts TIMESTAMP"
 PROGRESS_EVENT = "review_id BIGINT, agent STRING, message STRING, ts DOUBLE"

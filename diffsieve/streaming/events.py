@@ -26,13 +26,15 @@ def verified_events(deliveries: DataFrame, secret: str) -> DataFrame:
     return deliveries.filter(signature_valid(F.col("payload"), F.col("signature"), secret))
 
 
-def started_reviews(deliveries: DataFrame) -> DataFrame:
-    """The deliveries that start a review: `review_id, pr_url, repository, number` and the file list, if the payload has one."""
+def started_reviews(deliveries: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The deliveries that start a review: `review_id, pr_url, repository, number` and the file list, if the payload has one,
+    and the columns to `keep`."""
     parsed = deliveries.withColumn("p", F.from_json("payload", schemas.HOOK_PAYLOAD))
     started = review_events_only(parsed.withColumn("action", F.col("p.action")))
     return started.select(
         "review_id", F.col("p.pull_request.html_url").alias("pr_url"), F.col("p.repository.full_name").alias("repository"),
         F.col("p.pull_request.number").alias("number"), F.col("p.pull_request.files").alias("files"),
+        *(keep or []),
     )
 
 
