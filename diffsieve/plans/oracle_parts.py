@@ -73,8 +73,8 @@ def short_id(*parts: str) -> str:
 # ---- changed files ------------------------------------------------------------------------------------------------
 
 part("tpl", "SELECT * FROM " + values(
-    (i, end, body + c.OPEN[how], c.CLOSE[how], how != "none") for i, (end, how, body) in enumerate(c.TEMPLATES)
-) + " v(template, ending, head, tail, embeds)")
+    (i, end, body + c.OPEN[how], c.CLOSE[how]) for i, (end, how, body) in enumerate(c.TEMPLATES)
+) + " v(template, ending, head, tail)")
 part("named", f"""
     SELECT d.*, d.doc_id // 20 AS review_id, t.*,
            'pkg' || (d.doc_id // 20) || '/m' || (CASE WHEN d.doc_id % 40 = 37 THEN d.doc_id - 16 ELSE d.doc_id END)
@@ -83,13 +83,15 @@ part("named", f"""
 part("pr_files", """
     SELECT review_id, CAST(doc_id % 20 AS INT) AS file_ord, filename,
            CASE WHEN doc_id % 31 = 7 THEN 'cobol' WHEN doc_id % 3 = 0 THEN 'python' END AS language,
-           CASE WHEN doc_id % 37 <> 5 THEN CASE WHEN embeds
-                THEN replace(head, '@N@', CAST(doc_id AS VARCHAR)) || replace(text, '\"\"\"', '\"') || tail ELSE '' END
-           END AS content,
+           replace(head, '@N@', CAST(doc_id AS VARCHAR)) || replace(text, '\"\"\"', '\"') || tail AS content,
            CASE WHEN doc_id % 4 <> 0 THEN '@@ m' || doc_id END AS patch,
            CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 90 AS INT) END AS additions,
            CAST(NULL AS INT) AS deletions
-    FROM named""")
+    FROM named
+    UNION ALL
+    SELECT review_id, CAST(20 + doc_id % 20 AS INT), 'pkg' || review_id || '/x' || doc_id || '.py', 'python',
+           CASE WHEN doc_id % 37 <> 5 THEN '' END, NULL, NULL, NULL
+    FROM named WHERE doc_id % 37 = 5 OR doc_id % 16 = 12""")
 
 
 def language_of(column: str) -> str:

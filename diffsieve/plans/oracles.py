@@ -55,9 +55,10 @@ oracle("read_pr_events", HOOKS)
 oracle("pr_event_stream", HOOKS)
 oracle("shape_changed_files", """
     SELECT doc_id AS review_id, 0 AS file_ord, CASE WHEN doc_id % 5 <> 0 THEN 'm' || doc_id || '.js' ELSE '' END AS filename,
-           'python' AS language, CASE WHEN doc_id % 4 <> 1 THEN text ELSE '' END AS content,
+           'python' AS language, text AS content,
            CASE WHEN doc_id % 2 = 0 THEN '@@' ELSE '' END AS patch, CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END AS additions,
-           0 AS deletions FROM documents""")
+           0 AS deletions FROM documents
+    UNION ALL SELECT doc_id, 1, '', 'python', '', '', 0, 0 FROM documents""")
 oracle("read_labelled_jsonl", """
     SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN 'pattern' END AS kind, toxic AS label, text AS code
     FROM labels JOIN documents USING (doc_id)""")
@@ -67,25 +68,24 @@ oracle("unpivot_pairs", """
     SELECT item_id || '__safe', CASE WHEN item_id % 3 = 0 THEN 'semantic' ELSE 'pattern' END, 0, reverse(text) FROM benchmark""")
 _RULE = "['B105', 'B602', 'B999', 'B324'][doc_id % 4 + 1]"
 _RAW = "['HIGH', 'medium', 'LOW', 'ODD'][doc_id % 4 + 1]"
-_USABLE = "doc_id % 7 <> 3 AND doc_id % 11 <> 4"
 oracle("normalize_rule_scanner", f"""
     SELECT doc_id AS file_id, 0 AS pos, 'f' || doc_id || '.py' AS filename, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 40 AS INT) ELSE 0 END AS line,
            ['high', 'medium', 'low', 'low'][doc_id % 4 + 1] AS severity,
            CASE WHEN doc_id % 6 <> 0 THEN 'Hard Coded B64Decode Use' ELSE 'Unknown' END AS category,
            {case(_RULE, fv.CWE_OF_RULE)} AS cwe_id, {case(_RULE, fv.OWASP_OF_RULE)} AS owasp, 'issue in ' || doc_id AS description,
-           'bandit' AS source, {stripped("text")} AS code_snippet FROM documents WHERE {_USABLE}
+           'bandit' AS source, {stripped("text")} AS code_snippet FROM documents
     UNION ALL
-    SELECT doc_id, 1, 'f' || doc_id || '.py', 3, 'low', 'Plain', NULL, NULL, '', 'bandit', '' FROM documents WHERE {_USABLE}""")
+    SELECT doc_id, 1, 'f' || doc_id || '.py', 3, 'low', 'Plain', NULL, NULL, '', 'bandit', '' FROM documents""")
 oracle("normalize_pattern_scanner", f"""
     SELECT doc_id AS file_id, 0 AS pos, 'f' || doc_id || '.py' AS filename, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 40 AS INT) ELSE 0 END AS line,
            ['high', 'medium', 'low', 'medium', 'medium'][doc_id % 5 + 1] AS severity, 'Eval Used ' || (doc_id % 3) AS category,
            CAST(NULL AS VARCHAR) AS cwe_id, CAST(NULL AS VARCHAR) AS owasp, 'message' AS description, 'semgrep' AS source,
-           {stripped("text")} AS code_snippet FROM documents WHERE {_USABLE}""")
+           {stripped("text")} AS code_snippet FROM documents""")
 oracle("batch_scan_input", f"""
-    SELECT 'item' || doc_id || '.py' AS name, [2, 1, 0, 0][doc_id % 4 + 1] AS sev, {_RULE} AS id, 'rules' AS tool FROM documents WHERE {_USABLE}
-    UNION ALL SELECT '__init__.py', 0, NULL, 'rules' FROM documents WHERE {_USABLE}
+    SELECT 'item' || doc_id || '.py' AS name, [2, 1, 0, 0][doc_id % 4 + 1] AS sev, {_RULE} AS id, 'rules' AS tool FROM documents
+    UNION ALL SELECT '__init__.py', 0, NULL, 'rules' FROM documents
     UNION ALL SELECT 'item' || doc_id || '.py', [2, 1, 0, 0, 0][doc_id % 5 + 1], 'eval_used-' || (doc_id % 3), 'patterns'
-    FROM documents WHERE {_USABLE}""")
+    FROM documents""")
 EVENTS = " UNION ALL ".join(
     f"SELECT review_id, {i} AS stage, {lit(agent)} AS agent, {fmt(text, value)} AS message FROM summed"
     for i, ((agent, text), value) in enumerate(
@@ -121,7 +121,7 @@ oracle("score_threshold", f"""
 oracle("length_band", """
     SELECT min(doc_id) AS doc_id, min_by(source, doc_id) AS source, text FROM documents
     WHERE length(text) > 300 AND length(text) < 3000 GROUP BY text""")
-part("turn_units", "SELECT conv_id, turn, text FROM conversations WHERE turn % 3 <> 0 AND regexp_matches(text, '\\S')")
+part("turn_units", "SELECT conv_id, turn, text FROM conversations WHERE regexp_matches(text, '\\S')")
 oracle("blank_unit_filter", """
     SELECT conv_id, turn, CAST(length(text) AS INT) AS n_chars, coalesce(max(w.weight), 0.0) AS score
     FROM turn_units LEFT JOIN weighted w ON regexp_matches(text, w.pattern) GROUP BY conv_id, turn, text""")
@@ -416,7 +416,7 @@ def lines(section: int, texts: list[str], source: str, copies: str = "1") -> str
 part("file_groups", "SELECT review_id, filename, count(*) AS n FROM final WHERE NOT false_positive GROUP BY ALL")
 part("listed_real", "SELECT * FROM finals WHERE NOT false_positive")
 part("made_fixes", "SELECT * FROM fix_table JOIN valid_fixes USING (fixed)")
-part("valid_fixes", "SELECT DISTINCT fixed, fixed <> 'def broken(:' AS valid FROM fix_table")
+part("valid_fixes", "SELECT DISTINCT fixed, fixed <> 'def broken(:' AND NOT starts_with(fixed, ' ') AS valid FROM fix_table")
 part("comment_lines", "SELECT * FROM (" + " UNION ALL ".join([
     lines(0, _head, "summed"),
     lines(1, ["''", "'**' || filename || '** -- ' || n || ' issue(s)'", "''"], "file_groups"), lines(1, ["''"], "file_groups"),

@@ -189,14 +189,18 @@ def read_pr_events(spark, folder):
 def shape_changed_files(spark, folder):
     docs = documents_of(spark, folder)
     doc = F.col("doc_id").cast("string")
+    none = F.lit(None)
+    unfetched = F.struct(
+        none.cast("string").alias("filename"), F.concat(F.lit("gone/"), doc).alias("raw_url"), none.cast("string").alias("patch"),
+        none.cast("int").alias("additions"), none.cast("int").alias("deletions"))
     listing = docs.select(F.col("doc_id").alias("review_id"), F.array(F.struct(
         F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("m"), doc, F.lit(".js"))).alias("filename"),
         F.concat(F.lit("raw/"), doc).alias("raw_url"),
         F.when(F.col("doc_id") % 2 == 0, F.lit("@@")).alias("patch"),
         F.when(F.col("doc_id") % 3 == 0, F.lit(4)).alias("additions"),
         F.lit(None).cast("int").alias("deletions"),
-    )).alias("files"))
-    contents = docs.filter(F.col("doc_id") % 4 != 1).select(F.concat(F.lit("raw/"), doc).alias("url"), F.col("text").alias("content"))
+    ), unfetched).alias("files"))
+    contents = docs.select(F.concat(F.lit("raw/"), doc).alias("url"), F.col("text").alias("content"))
     return file_source.shape_changed_files(listing, contents)
 
 
@@ -249,11 +253,11 @@ def _bodies(spark, folder, shape: str) -> DataFrame:
                              (doc % 5 + 1).cast("int")).alias("severity"),
                 F.lit("message").alias("message"), F.concat(F.lit(" "), code).alias("lines")).alias("extra"),
         ))
-    body = F.to_json(F.struct(F.when(doc % 7 != 3, results).alias("results")))
+    body = F.to_json(F.struct(results.alias("results")))
+    empty = F.when(doc % 7 == 3, F.lit("{}")).when(doc % 11 == 4, F.lit("not json"))
+    bodies = F.explode(F.array_compact(F.array(body, empty))).alias("body")
     return documents_of(spark, folder).select(
-        doc.alias("file_id"), F.concat(F.lit("f"), doc.cast("string"), F.lit(".py")).alias("filename"),
-        F.when(doc % 11 == 4, F.lit("not json")).otherwise(body).alias("body"),
-    )
+        doc.alias("file_id"), F.concat(F.lit("f"), doc.cast("string"), F.lit(".py")).alias("filename"), bodies)
 
 
 @query
@@ -364,8 +368,9 @@ def length_band(spark, folder):
 
 @query
 def blank_unit_filter(spark, folder):
-    rows = scan.unit_scores(table(spark, folder, "conversations").select(
-        "conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.lit(" \n\t")).otherwise(F.col("text")).alias("source")))
+    turns = table(spark, folder, "conversations")
+    blank = turns.where("turn % 3 = 0").select("conv_id", F.col("turn") + 1_000_000, F.lit(" \n\t"))
+    rows = scan.unit_scores(turns.select("conv_id", "turn", F.col("text").alias("source")).union(blank))
     return rows.select("conv_id", "turn", F.length("source").alias("n_chars"), "score")
 
 

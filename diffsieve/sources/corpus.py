@@ -1,8 +1,9 @@
 """Review tables derived from the text tables.
 
 The given tables hold prose, not source code. Each document becomes one changed file: a code template chosen by
-``doc_id``, with the whole document text embedded as a string literal. 20 documents make one review, so the
-review tables grow with the documents. Answers of outside reviewers are derived from the same ids.
+``doc_id``, and behind it a function that returns the whole document text, so that units grow with the texts too. 20 documents
+make one review, so the review tables grow with the documents. Files without content come on top, as rows of their own. Answers of
+outside reviewers are derived from the same ids.
 """
 
 from __future__ import annotations
@@ -180,7 +181,7 @@ password = "not code"
 '''),
     (".min.js", "raw", '''var a=@N@;eval(a);
 '''),
-    (".py", "none", ""),
+    (".py", "py", ""),
     (".py", "py", '''def grade_@N@(a, b, c, d, e):
     if a and b or c:
         return 1
@@ -237,14 +238,15 @@ end
 ]
 N_TEMPLATES = len(TEMPLATES)
 
-OPEN = {"py": '\n\nNOTES = r"""\n', "js": "\n\nconst notes = `\n", "raw": "\n", "none": ""}
-CLOSE = {"py": '\n"""\n', "js": "\n`;\n", "raw": "\n", "none": ""}
+OPEN = {
+    "py": '\n\ndef notes_@N@():\n    """What the change says."""\n    return r"""\n', "js": "\n\nconst notes = `\n", "raw": "\n"}
+CLOSE = {"py": '\n"""\n', "js": "\n`;\n", "raw": "\n"}
 
 
 def _templates(spark: SparkSession) -> DataFrame:
     """The templates as a table of fixed size: key, file name ending, text before and after the document."""
-    rows = [(i, end, body + OPEN[how], CLOSE[how], how != "none") for i, (end, how, body) in enumerate(TEMPLATES)]
-    return spark.createDataFrame(rows, "template BIGINT, ending STRING, head STRING, tail STRING, embeds BOOLEAN")
+    rows = [(i, end, body + OPEN[how], CLOSE[how]) for i, (end, how, body) in enumerate(TEMPLATES)]
+    return spark.createDataFrame(rows, "template BIGINT, ending STRING, head STRING, tail STRING")
 
 
 def _with_templates(documents: DataFrame) -> DataFrame:
@@ -269,21 +271,30 @@ def _review() -> Column:
 
 
 def corpus(documents: DataFrame) -> DataFrame:
-    """`pr_files`: one changed file per document, some of them malformed on purpose."""
+    """`pr_files`: one changed file per document, and for some documents another whose content is missing or empty. Some
+    files declare a language that is none."""
     doc_id = F.col("doc_id")
     text = F.replace(F.col("text"), F.lit('"""'), F.lit('"'))
     head = F.replace(F.col("head"), F.lit("@N@"), doc_id.cast("string"))
-    content = F.when(F.col("embeds"), F.concat(head, text, F.col("tail"))).otherwise(F.lit(""))
-    return _with_templates(documents).select(
+    files = _with_templates(documents).select(
         "review_id",
         (doc_id % FILES_PER_REVIEW).cast("int").alias("file_ord"),
         "filename",
         F.when(doc_id % 31 == 7, F.lit("cobol")).when(doc_id % 3 == 0, F.lit("python")).alias("language"),
-        F.when(doc_id % 37 != 5, content).alias("content"),
+        F.concat(head, text, F.col("tail")).alias("content"),
         F.when(doc_id % 4 != 0, F.concat(F.lit("@@ m"), doc_id.cast("string"))).alias("patch"),
         F.when(doc_id % 5 != 0, (doc_id % 90).cast("int")).alias("additions"),
         F.lit(None).cast("int").alias("deletions"),
     )
+    odd = documents.filter((doc_id % 37 == 5) | (doc_id % N_TEMPLATES == 12)).select(
+        _review().alias("review_id"),
+        (FILES_PER_REVIEW + doc_id % FILES_PER_REVIEW).cast("int").alias("file_ord"),
+        F.concat(F.lit("pkg"), _review().cast("string"), F.lit("/x"), doc_id.cast("string"), F.lit(".py")).alias("filename"),
+        F.lit("python").alias("language"),
+        F.when(doc_id % 37 != 5, F.lit("")).alias("content"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("patch", "string"), ("additions", "int"), ("deletions", "int"))],
+    )
+    return files.unionByName(odd)
 
 
 # Answers of the outside reviewer, per file; @N@ is the document id, @F@ the file name. Case = doc_id % 7.
@@ -320,7 +331,7 @@ FIX_ANSWERS = [
     '{"fixed": "checked_@N@()", "explanation": "replaced"}',
     '{"original": "return eval(reply.text), random.random()", "fixed": "return json.loads(reply.text)"}',
     '{"original": "    return subprocess.run(\\"tar cf backups.tar \\" + folders, shell=True)", "fixed": "    return pack(folder)"}',
-    '{"fixed": "value = eval(os.popen(name_@N@)), password=\\"p\\""}',
+    '{"fixed": "value = eval(os.popen(name_@N@)); password = \\"p\\""}',
 ]
 TEST_ANSWERS = [
     '{"filename": "test_@N@.py", "content": "def test_ok():\\n    assert True\\n", "covers": ["load", "add"]}',
