@@ -12,9 +12,10 @@ from .. import fixed_values as fv
 from ..functions.severity import lookup, pattern_scanner_severity, rule_scanner_severity
 from ..functions.text import last_part, percent, prefix, short_id, title_case, unix_lines
 from ..schemas import FINDING_COLUMNS
+from .literals import compiled, matching_rules
 from .rules import Rule, rule_table
 
-# Rules of a user's table that are compiled into one projection.
+# Rules of a user's table without a required text that are compiled into one projection.
 RULES_PER_PASS = 300
 
 
@@ -73,21 +74,23 @@ def _matches(rule: Rule) -> Column:
 def table_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Lines with the rules of a user's table that they match, with what the rules say.
 
-    The table is configuration: it is read once and compiled in like any pack, RULES_PER_PASS rules a projection, however
-    many there are. Only patterns decide; needles of a user's rules are not used, as nothing says that they are
-    implied by the pattern.
+    The table is configuration: numbers and patterns are read once. Rules whose patterns name a text that matches must contain are found by
+    one pass over the lines, however many there are (see `literals`); the others are compiled in like any pack, RULES_PER_PASS a
+    projection. Only patterns decide; needles of a user's rules are not used, as nothing says that they are implied.
     """
-    rows = rules.orderBy("rule_ord").collect()
-    numbered = [(r["rule_ord"], Rule(*[r[f] for f in Rule._fields if f in r])._replace(needles=())) for r in rows]
-    meanings = rule_meanings(rules)
-    parts = [numbered[at : at + RULES_PER_PASS] for at in range(0, len(numbered), RULES_PER_PASS)]
-    if not parts:
-        return lines.withColumn("rule_ord", F.lit(None).cast(rules.schema["rule_ord"].dataType)).join(meanings, "rule_ord")
-    hits = []
-    for part in parts:
+    rows = rules.select("rule_ord", *[f for f in Rule._fields if f in rules.columns]).orderBy("rule_ord").collect()
+    texts, without = compiled([(r["rule_ord"], r["pattern"]) for r in rows])
+    hits = [matching_rules(lines, rules, texts)] if texts else []
+    everywhere = set(without)
+    numbered = [
+        (r["rule_ord"], Rule(*[r[f] for f in Rule._fields if f in r])._replace(needles=())) for r in rows if r["rule_ord"] in everywhere]
+    for at in range(0, len(numbered), RULES_PER_PASS):
+        part = numbered[at : at + RULES_PER_PASS]
         own = F.element_at(F.array(*[F.lit(number) for number, _ in part]), F.col("rule_ord"))
         hits.append(rule_hits(lines, [rule for _, rule in part]).withColumn("rule_ord", own))
-    return reduce(DataFrame.unionByName, hits).join(meanings, "rule_ord")
+    if not hits:
+        hits = [lines.limit(0).withColumn("rule_ord", F.lit(None).cast(rules.schema["rule_ord"].dataType))]
+    return reduce(DataFrame.unionByName, hits).join(rule_meanings(rules), "rule_ord")
 
 
 def rule_meanings(rules: DataFrame) -> DataFrame:

@@ -602,3 +602,17 @@ oracle("streamed_reviews", """
 oracle("late_listings", re.sub(r"CASE WHEN event_id % 3 <> 1 THEN 'kind = ' \|\| event_type ELSE '' END", "''", HOOKS))
 ORACLES["streamed_job_status"] = ORACLES["job_status"]
 
+# ---- large rule tables -----------------------------------------------------------------------------------------------------
+
+part("longest_words", """
+    SELECT word, CAST(min(doc_id) AS INT) AS rule_ord FROM (
+        SELECT doc_id, w AS word, row_number() OVER (PARTITION BY doc_id ORDER BY length(w) DESC, w) AS place
+        FROM documents, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) u(w)) WHERE place = 1 GROUP BY word""")
+part("words_of_lines", """
+    SELECT DISTINCT doc_id, line, w AS word
+    FROM (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+         unnest(regexp_extract_all(lower(text), '[a-z]+')) u(w)""")
+oracle("large_rule_table", """
+    SELECT rule_ord, count(*) AS n_lines, count(DISTINCT doc_id) AS n_documents, min(upper(word[1]) || word[2:]) AS category
+    FROM longest_words JOIN words_of_lines USING (word) GROUP BY rule_ord""")
+
