@@ -10,12 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..functions.ordering import join_on, with_running_total
+from ..functions.ordering import join_on, with_range_total
 from ..functions.stats import rate, rate_text, wilson_ci
 
-# Running totals are built in slices: of 1/SCORE_SLICES of the score range, and of LENGTH_SLICE lengths.
-SCORE_SLICES, LENGTH_SLICE = 1 << 18, 1024
-
 
 def snippet_evidence(
     snippets: DataFrame,
@@ -121,14 +118,13 @@ def recall_by_kind(flags: DataFrame) -> DataFrame:
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve of (label, score), ties counted half; null if only one class occurs.
 
-    Rows are first added up per distinct score. Running totals are built slice by slice of the score range, so
-    no task has to sort all scores.
+    Rows are first added up per distinct score, whatever range the scores come from. Running totals are built range by range of
+    the distinct scores, so no task has to sort all of them.
     """
     per_score = scored.groupBy("score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
-    slice_by = F.floor(F.col("score") * SCORE_SLICES)
-    ranked = with_running_total(per_score, [], slice_by, ["score"], F.col("neg"), "neg_so_far")
+    ranked = with_range_total(per_score, [], ["score"], "neg", "neg_so_far")
     exact = lambda c: c.cast("decimal(19,0)")
     doubled = exact(F.col("pos")) * exact(2 * F.col("neg_so_far") - F.col("neg"))
     sums = ranked.agg(
@@ -185,13 +181,13 @@ def saturation(scored: DataFrame, group: list[str]) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, group: list[str], value: str) -> DataFrame:
-    """The element n div 2 (from 0) of the sorted whole numbers of each group.
+    """The element n div 2 (from 0) of the sorted values of each group, which may be of any type that has an order.
 
-    Values are counted before anything is ordered, and the counts are run through in slices of the value range.
+    Values are counted before anything is ordered, and the counts are run through in ranges of the values.
     """
     counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
     totals = counts.groupBy(*group).agg(F.sum("_c").alias("n"))
-    running = with_running_total(counts, group, F.expr(f"{value} div {LENGTH_SLICE}"), [value], F.col("_c"), "_upto")
+    running = with_range_total(counts, group, [value], "_c", "_upto")
     return (
         join_on(running, totals, group)
         .filter(F.col("_upto") > F.expr("n div 2"))

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from diffsieve.functions.ordering import with_position
+from diffsieve.functions.ordering import in_ranges, with_position, with_range_total
 from diffsieve.operators import classify, evaluate
 
 PUBLISHED = [
@@ -131,3 +131,27 @@ def test_classifier_learns_a_plain_signal(spark):
 def test_null_groups_are_kept(spark):
     rows = spark.createDataFrame([(None, 3), (None, 9), ("a", 1)], "g STRING, v INT")
     assert {r.g: r.upper_median for r in evaluate.upper_median(rows, ["g"], "v").collect()} == {None: 9, "a": 1}
+
+
+def test_auc_of_scores_of_any_range(spark):
+    rng = random.Random(12)
+    rows = [(rng.randint(0, 1), rng.choice([rng.uniform(-1e9, 1e9), rng.gauss(0, 1e-9), -0.5, 1e9])) for _ in range(3000)]
+    pos, neg = sorted(s for y, s in rows if y), sorted(s for y, s in rows if not y)
+    want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert evaluate.roc_auc(spark.createDataFrame(rows, "label INT, score DOUBLE")).first().auc == pytest.approx(want, abs=1e-12)
+    assert evaluate.roc_auc(spark.createDataFrame([], "label INT, score DOUBLE")).first().auc is None
+
+
+def test_ranges_are_of_about_equal_size_and_totals_run_through(spark):
+    rng = random.Random(2)
+    values = [*{rng.gauss(0, 1) ** 9 for _ in range(8000)}, *range(10**9, 10**9 + 500)]  # dense around 0, far outliers
+    rows = spark.createDataFrame([(float(v), 1) for v in values], "v DOUBLE, n INT")
+    sizes = [r["count"] for r in in_ranges(rows, ["v"], 16).groupBy("_range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2.5 * len(values) / 16
+    got = sorted((r.v, r.upto) for r in with_range_total(rows, [], ["v"], "n", "upto", 16).collect())
+    assert got == [(float(v), i) for i, v in enumerate(sorted(values), 1)]
+    grouped = spark.createDataFrame([(i % 3 or None, float(v)) for i, v in enumerate(values[:900])], "g INT, v DOUBLE")
+    medians = {r.g: r.upper_median for r in evaluate.upper_median(grouped, ["g"], "v").collect()}
+    for g in (None, 1, 2):
+        own = sorted(float(v) for i, v in enumerate(values[:900]) if (i % 3 or None) == g)
+        assert medians[g] == own[len(own) // 2]
