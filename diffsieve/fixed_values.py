@@ -170,3 +170,24 @@ SECURITY_TASK = (
     '"exploitation_context": text}; "additional_issues" holds {"filename", "line", "severity", "category", "description"}. '
     "The start of the file, then the findings:"
 )
+FIX_TASK = (
+    "Repair the weakness below with as small a change as will do. Reply with one JSON object: "
+    '"description": what was changed, in a sentence; "original": the text to replace, letter by letter as it stands in the file; '
+    '"fixed": the text to put there; "explanation": why the weakness is gone.'
+)
+TEST_TASK = (
+    "Write one test file for the functions below: usual input, odd input (empty, missing, huge), and input by which a repaired weakness "
+    "could be used. Replace what reaches outside by stand-ins. Reply with one JSON object: "
+    '"filename": name of the test file; "content": its whole text; "covers": list of the functions tested.'
+)
+QUALITY_TASK = (
+    "Name faults in this source that counting cannot find: misleading names, mixed duties, repeated code, errors that nobody handles, logic "
+    "that is hard to follow. Leave out matters of taste. Reply with one JSON object: "
+    '"issues" holds {"line": number, "severity": critical, high, medium, low or info, "category": text, "description": text}.'
+)
+
+# Heads of the two result tables of an evaluation.
+EVALUATION_HEADS = (
+    ("| Configuration | Precision | Recall | False-positive rate | TP/FP/FN/TN |", "|---|---|---|---|---|"),
+    ("| Configuration | Pattern-style | Semantic (logic/authz) |", "|---|---|---|"),
+)

@@ -252,3 +252,41 @@ def metrics_markdown(matrix: DataFrame, by_kind: DataFrame) -> DataFrame:
     text = F.concat(F.lit("| "), F.concat_ws(" | ", "configuration", "p", "s"), F.lit(" |"))
     second = rows.select("setting", F.lit(2).alias("part"), place.alias("line_no"), text.alias("text"))
     return first.unionByName(second)
+
+
+def evaluation_markdown(flags: DataFrame, scored: DataFrame, name: str, primary: str) -> DataFrame:
+    """The whole evaluation text as ordered lines (block, setting, part, line_no, text): title and benchmark with its counts, per setting
+    a heading and the two tables under their heads, and the scores: area under the curve and mean score of either class.
+
+    The lines are bounded by settings and configurations. ``primary`` marks a setting; ``scored`` has label and score, null scores are left out.
+    """
+    spark = flags.sparkSession
+    tables = metrics_markdown(confusion_matrix(flags), recall_by_kind(flags))
+    sizes = flags.select("id", "label").distinct().agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("v"))
+    title = spark.createDataFrame([(0, "# Detector evaluation"), (1, "")], "line_no INT, text STRING")
+    benchmark = sizes.select(
+        F.posexplode(F.array(F.format_string(f"## Benchmark: {name} (%d snippets, %d vulnerable)", "n", "v"), F.lit(""))).alias("line_no", "text"))
+    settings = flags.select("setting").distinct()
+    star = F.when(F.col("setting") == primary, F.lit(" (primary)")).otherwise(F.lit(""))
+    heads = [
+        F.array(F.concat(F.lit("### Severity filter: "), F.col("setting"), star), F.lit(""), *map(F.lit, fv.EVALUATION_HEADS[0])),
+        F.array(F.lit(""), F.lit("Recall by weakness type:"), F.lit(""), *map(F.lit, fv.EVALUATION_HEADS[1])),
+        F.array(F.lit("")),
+    ]
+    framed = None
+    for k, head in enumerate(heads):  # heads stand before the rows of their table, which are numbered from 0
+        rows = settings.select("setting", F.lit(k + 1).alias("part"), F.posexplode(head).alias("line_no", "text")).withColumn(
+            "line_no", F.col("line_no") - (100 if k < 2 else 0))
+        framed = rows if framed is None else framed.unionByName(rows)
+    known = scored.filter(F.col("score").isNotNull())
+    mean = lambda label: F.coalesce(F.format_string("%.3f", F.avg(F.when(F.col("label") == label, F.col("score")))), F.lit("n/a"))
+    means = known.agg(mean(1).alias("bad"), mean(0).alias("good"), F.count(F.lit(1)).alias("n"))
+    curve = roc_auc(known).select(F.when(F.col("auc").isNotNull(), F.format_string("%.3f", "auc")).otherwise(F.lit("n/a")).alias("auc"))
+    scores = means.filter("n > 0").crossJoin(curve).select(F.posexplode(F.array(  # one row each
+        F.lit("Scores of the units:"), F.lit(""),
+        F.format_string("- ROC-AUC on this benchmark: **%s** (0.5 = chance)", "auc"),
+        F.format_string("- Mean P(vulnerable): vulnerable snippets %s, safe snippets %s", "bad", "good"), F.lit(""))).alias("line_no", "text"))
+    whole = lambda block, rows: rows.select(
+        F.lit(block).alias("block"), F.lit("").alias("setting"), F.lit(0).alias("part"), F.col("line_no"), "text")
+    body = framed.unionByName(tables).select(F.lit(2).alias("block"), "setting", "part", "line_no", "text")
+    return whole(0, title).unionByName(whole(1, benchmark)).unionByName(body).unionByName(whole(3, scores))

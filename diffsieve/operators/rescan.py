@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.reduce import keep_likely
 from ..functions.text import unix_lines
 from .dedupe import family_of
 from .rules import RULE_PACK, Rule, rule_table
@@ -49,7 +50,8 @@ def place_fixes(fixes: DataFrame, items: DataFrame, files: DataFrame) -> DataFra
     characters ``start`` (0-based) to ``stop`` (behind the last)."""
     wanted = items.select("review_id", "item", "file_ord", F.col("filename").alias("_named"), "line", "category", "severity")
     asked = fixes.select("review_id", "item", "filename", "original", "fixed").join(wanted, ["review_id", "item"])
-    texts = files.select(*FILE, unix_lines(F.col("content")).alias("content"))
+    wanted_files = asked.select("review_id", "file_ord")
+    texts = keep_likely(files.select(*FILE, unix_lines(F.col("content")).alias("content")), wanted_files, ["review_id", "file_ord"])
     joined = asked.drop("_named").join(texts, FILE, "left")
     lines = _lines(F.coalesce("content", F.lit("")))
     offset = _before(lines, F.least("line", F.size(lines)))

@@ -242,9 +242,9 @@ def _parameters(signature: Column) -> Column:
 def _has_docstring() -> Column:
     """Whether the first statement of the body is nothing but a string literal."""
     # Blank and comment lines may stand before the first statement.
-    body = F.slice(
-        F.arrays_zip("texts", "codes"), F.col("body_line"), F.greatest(F.col("end_line") - F.col("body_line") + 1, F.lit(0))
-    )
+    size = F.greatest(F.col("end_line") - F.col("body_line") + 1, F.lit(0))
+    own = lambda name: F.slice(name, F.col("body_line"), size)  # cut first: a file may have many blocks
+    body = F.zip_with(own("texts"), own("codes"), lambda text, code: F.struct(text.alias("texts"), code.alias("codes")))
     first = F.get(F.filter(body, lambda x: x["texts"].rlike(r"^[ \t]*[^# \t\n]")), F.lit(0))
     literal = first["texts"].rlike(r"^[ \t]*[rRuU]?[\"']") & F.trim(first["codes"]).isin("", "r", "R", "u", "U")
     last = F.col("body_line") - 2

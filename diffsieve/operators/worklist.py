@@ -10,6 +10,7 @@ from .. import schemas
 from ..functions.answers import parse_answer
 from ..functions.ordering import first_n
 from ..functions.python_checks import syntax_valid
+from ..functions.reduce import keep_likely
 from ..functions.text import last_part, window_around_line
 from .triage import NAME, first_listed, names_in_review, real_findings
 
@@ -38,11 +39,12 @@ def match_guidance(category: Column) -> Column:
 def attach_content(items: DataFrame, files: DataFrame) -> DataFrame:
     """Items with the text of the named file ('' if unknown; of a repeated name the last file counts).
 
-    The last file of a name is found on the keys alone; texts are joined by file, and only for these.
+    The last file of a name is found on the keys alone; texts are joined by file, and those that no item wants are left where they are.
     """
     last = names_in_review(files).select(*NAME, F.col("last_ord").alias("_ord"))
     texts = files.select("review_id", F.col("file_ord").alias("_ord"), "content")
     named = items.join(last, NAME, "left")
+    texts = keep_likely(texts, named.select("review_id", "_ord"), ["review_id", "_ord"])
     joined = named.join(texts, ["review_id", "_ord"], "left").drop("_ord")
     return joined.withColumn("content", F.coalesce("content", F.lit("")))
 
@@ -58,7 +60,7 @@ def fix_requests(items: DataFrame, files: DataFrame) -> DataFrame:
         "ISSUE:\n  File: %s\n  Line: %d\n  Category: %s\n  Severity: %s\n  Description: %s\n\nCODE:\n%s\n\nGUIDANCE: %s\n",
         "filename", "line", "category", "severity", "description", "shown", match_guidance(F.col("category")),
     )
-    return shown.select("review_id", "item", "id", "filename", text.alias("request"))
+    return shown.select("review_id", "item", "id", "filename", F.concat(F.lit(fv.FIX_TASK + "\n\n"), text).alias("request"))
 
 
 def fix_rows(items: DataFrame, answers: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def test_requests(eligible: DataFrame) -> DataFrame:
         framework(F.col("language")), "filename", "language", F.array_join(_names(), ", "), "n_fixes",
         F.substring(source, 1, fv.TEST_SOURCE),
     )
-    return eligible.select("review_id", "file_ord", "filename", text.alias("request"))
+    return eligible.select("review_id", "file_ord", "filename", F.concat(F.lit(fv.TEST_TASK + "\n\n"), text).alias("request"))
 
 
 def test_rows(eligible: DataFrame, answers: DataFrame) -> DataFrame:
@@ -145,6 +147,6 @@ def test_rows(eligible: DataFrame, answers: DataFrame) -> DataFrame:
 
 def quality_requests(files: DataFrame) -> DataFrame:
     text = F.concat(
-        F.lit("FILE: "), F.col("filename"), F.lit("\nSOURCE:\n"), F.substring("content", 1, fv.REQUEST_SOURCE), F.lit("\n")
+        F.lit(fv.QUALITY_TASK + "\n\nFILE: "), F.col("filename"), F.lit("\nSOURCE:\n"), F.substring("content", 1, fv.REQUEST_SOURCE), F.lit("\n")
     )
     return files.filter(F.col("content") != "").select("review_id", "file_ord", "filename", text.alias("request"))

@@ -59,6 +59,7 @@ oracle("shape_changed_files", """
            CASE WHEN doc_id % 2 = 0 THEN '@@' ELSE '' END AS patch, CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END AS additions,
            0 AS deletions FROM documents
     UNION ALL SELECT doc_id, 1, '', 'python', '', '', 0, 0 FROM documents""")
+oracle("read_source_text", "SELECT doc_id, CAST(length(coalesce(text, '')) AS INT) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents")
 oracle("read_labelled_jsonl", """
     SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN 'pattern' END AS kind, toxic AS label, text AS code
     FROM labels JOIN documents USING (doc_id)""")
@@ -92,7 +93,10 @@ EVENTS = " UNION ALL ".join(
         zip(fv.EVENT_TEXT, ["n_files", "n_real + n_dismissed", "n_quality", "n_fixes", "n_tests", "verdict"]), 1)
 )
 oracle("event_log", EVENTS)
-oracle("write_report", "SELECT review_id, verdict, n_files AS files_reviewed FROM summed")
+oracle("write_report", """
+    SELECT s.review_id, verdict, n_files AS files_reviewed, CAST(1 AS BIGINT) AS n_header,
+           (SELECT count(*) FROM finals x WHERE x.review_id = s.review_id) AS n_security_issues,
+           (SELECT count(*) FROM quality x WHERE x.review_id = s.review_id) AS n_quality_issues, n_fixes, n_tests FROM summed s""")
 
 # ---- projections, filters, predicates ------------------------------------------------------------------------------------
 
@@ -383,14 +387,14 @@ _shown = """CASE WHEN coalesce(code_snippet, '') <> '' THEN code_snippet
 _request = fmt("ISSUE:\n  File: %s\n  Line: %d\n  Category: %s\n  Severity: %s\n  Description: %s\n\nCODE:\n%s\n\nGUIDANCE: %s\n",
                "filename", "line", "category", "severity", "description", _shown, _guidance)
 oracle("fix_request_text", f"""
-    SELECT review_id, item, id, filename, {_request} AS request
+    SELECT review_id, item, id, filename, {lit(fv.FIX_TASK)} || chr(10) || chr(10) || {_request} AS request
     FROM (SELECT i.*, coalesce((SELECT max_by(p.content, p.file_ord) FROM parsed p
                                 WHERE p.review_id = i.review_id AND p.filename = i.filename), '') AS content FROM fix_items i)""")
 _request = fmt("FRAMEWORK: %s\nFILE: %s\nLANGUAGE: %s\nFUNCTIONS: %s\nFIXED ISSUES: %d\n\nSOURCE:\n%s\n",
                "CASE WHEN language = 'python' THEN 'pytest' ELSE 'jest' END", "filename", "language", "listed", "n_fixes", "substr(sources, 1, 2500)")
-oracle("test_request_text", f"SELECT review_id, file_ord, filename, {_request} AS request FROM test_units")
-oracle("quality_request_text", """
-    SELECT review_id, file_ord, filename, 'FILE: ' || filename || chr(10) || 'SOURCE:' || chr(10) || substr(content, 1, 3000) || chr(10) AS request
+oracle("test_request_text", f"SELECT review_id, file_ord, filename, {lit(fv.TEST_TASK)} || chr(10) || chr(10) || {_request} AS request FROM test_units")
+oracle("quality_request_text", f"""
+    SELECT review_id, file_ord, filename, {lit(fv.QUALITY_TASK)} || chr(10) || chr(10) || 'FILE: ' || filename || chr(10) || 'SOURCE:' || chr(10) || substr(content, 1, 3000) || chr(10) AS request
     FROM parsed WHERE content <> ''""")
 oracle("parse_answers", """
     SELECT review_id, filename, js IS NOT NULL AS readable, CAST(coalesce(json_array_length(js, '$.reviewed'), 0) AS INT) AS n_reviewed,
@@ -616,3 +620,25 @@ oracle("large_rule_table", """
     SELECT rule_ord, count(*) AS n_lines, count(DISTINCT doc_id) AS n_documents, min(upper(word[1]) || word[2:]) AS category
     FROM longest_words JOIN words_of_lines USING (word) GROUP BY rule_ord""")
 
+# ---- the whole evaluation text ---------------------------------------------------------------------------------------------
+
+_heads = [
+    f"['### Severity filter: ' || setting || CASE WHEN setting = 'all severities' THEN ' (primary)' ELSE '' END, '', {lit(fv.EVALUATION_HEADS[0][0])}, {lit(fv.EVALUATION_HEADS[0][1])}]",
+    f"['', 'Recall by weakness type:', '', {lit(fv.EVALUATION_HEADS[1][0])}, {lit(fv.EVALUATION_HEADS[1][1])}]",
+    "['']",
+]
+part("result_tables", ORACLES["metrics_markdown"])
+_settings = " UNION ALL ".join(
+    f"SELECT 2 AS block, setting, {k} AS part, CAST(i - {101 if k < 3 else 1} AS INT) AS line_no, ({h})[i] AS text FROM (SELECT DISTINCT setting FROM flags), unnest(range(1, len({h}) + 1)) u(i)"
+    for k, h in enumerate(_heads, 1))
+oracle("evaluation_markdown", f"""
+    SELECT 0 AS block, '' AS setting, 0 AS part, 0 AS line_no, '# Detector evaluation' AS text UNION ALL SELECT 0, '', 0, 1, ''
+    UNION ALL SELECT 1, '', 0, 0, '## Benchmark: labelled documents (' || count(*) || ' snippets, ' || count(*) FILTER (label = 1) || ' vulnerable)'
+    FROM (SELECT DISTINCT id, label FROM flags) UNION ALL SELECT 1, '', 0, 1, ''
+    UNION ALL {_settings}
+    UNION ALL SELECT 2, setting, part, line_no, text FROM result_tables
+    UNION ALL SELECT 3, '', 0, CAST(i - 1 AS INT), ['Scores of the units:', '', '- ROC-AUC on this benchmark: **' || auc || '** (0.5 = chance)',
+                     '- Mean P(vulnerable): vulnerable snippets ' || bad || ', safe snippets ' || good, ''][i]
+    FROM (SELECT printf('%.3f', avg(score) FILTER (label = 1)) AS bad, printf('%.3f', avg(score) FILTER (label = 0)) AS good FROM scored),
+         (SELECT printf('%.3f', avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0.0 END)) AS auc
+          FROM scored p CROSS JOIN scored n WHERE p.label = 1 AND n.label = 0), unnest(range(1, 6)) u(i)""")

@@ -134,9 +134,12 @@ def read_pr_files(spark, folder):
 
 @query
 def read_source_text(spark, folder):
+    """Every document as a file of its own, read back by name."""
     target = f"{checkpoint_folder(spark)}/texts-{uuid.uuid4().hex}"
-    documents_of(spark, folder).select("text").write.text(target)
-    return file_source.read_source_text(spark, target).select(F.length("content").alias("n_chars"))
+    documents_of(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("doc_id").text(target, lineSep="\u0001")
+    number = F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint")
+    return file_source.read_source_text(spark, target).select(
+        number.alias("doc_id"), (F.length("content") - 1).alias("n_chars"), F.md5(F.rtrim("content", F.lit("\u0001"))).alias("digest"))
 
 
 def _payloads(spark, folder) -> DataFrame:
@@ -279,9 +282,19 @@ def batch_scan_input(spark, folder):
 
 @query
 def write_report(spark, folder):
+    """All reports written, every third review written again, and all five tables read back."""
     target = f"{checkpoint_folder(spark)}/report-{uuid.uuid4().hex}"
-    sinks.write_report(review(spark, folder).report, target, "parquet")
-    return spark.read.parquet(f"{target}/header").select("review_id", "verdict", "files_reviewed")
+    r = review(spark, folder)
+    tables = r.report
+    sinks.replace_report(tables, r.reviews, target)
+    again = r.reviews.where("review_id % 3 = 0")
+    sinks.replace_report({n: t.where("review_id % 3 = 0") for n, t in tables.items()}, again, target)
+    header, *others = (sinks.read_report(spark, target, n, t.schema).withColumn("_of", F.lit(n)) for n, t in tables.items())
+    rows = header.select("review_id", "_of")
+    for other in others:
+        rows = rows.unionByName(other.select("review_id", "_of"))
+    counts = rows.groupBy("review_id").agg(*[F.count_if(F.col("_of") == n).alias(f"n_{n}") for n in tables])
+    return header.select("review_id", "verdict", "files_reviewed").join(counts, "review_id")
 
 
 @query
@@ -726,6 +739,11 @@ def metrics_markdown(spark, folder):
     return evaluate.metrics_markdown(evaluate.confusion_matrix(flags), evaluate.recall_by_kind(flags))
 
 
+@query
+def evaluation_markdown(spark, folder):
+    return evaluate.evaluation_markdown(_flags(spark, folder), _scored(spark, folder), "labelled documents", "all severities")
+
+
 @query
 def seeded_sample(spark, folder):
     return evaluate.seeded_sample(documents_of(spark, folder).select("doc_id", "source"), "doc_id", 42, 300)
@@ -985,6 +1003,13 @@ def train_text_classifier(spark, folder):
     return classify.train_text_classifier(_quality_rows(spark, folder), "doc_id", "text")[1]
 
 
+@query
+def calibrated_classifier(spark, folder):
+    """Out-of-fold scores of the labelled documents before and after calibration: calibration error and confusion counts."""
+    scored = classify.out_of_fold(_quality_rows(spark, folder), "doc_id", "text")[1]
+    return rounded(classify.calibration_report(classify.calibrated_out_of_fold(scored)), "calibration_error")
+
+
 @query
 def score_units(spark, folder):
     """Function units scored by a classifier trained on the labelled documents."""

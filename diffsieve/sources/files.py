@@ -30,9 +30,9 @@ def read_pr_files(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
 
 
 def read_source_text(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files, one row each."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")
+    """Whole text files in all folders below ``path``, one row each, by file and name. A file must fit a task; many small ones share one."""
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("content")
     )
 
 

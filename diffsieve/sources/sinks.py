@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..streaming.commits import committed, replace_keys
 
 
 def write_report(tables: dict[str, DataFrame], folder: str, fmt: str = "json") -> None:
@@ -16,6 +19,17 @@ def write_report(tables: dict[str, DataFrame], folder: str, fmt: str = "json") -
         table.write.mode("overwrite").format(fmt).save(f"{folder}/{name}")
 
 
+def replace_report(tables: dict[str, DataFrame], reviews: DataFrame, folder: str) -> None:
+    """Write the tables of ``reviews`` into a store of reports; what the store held of these reviews goes, in all tables at once."""
+    replace_keys(tables, reviews.select("review_id").distinct(), folder)
+
+
+def read_report(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """A table of the store as the last commits left it; ``schema`` is that of the table written."""
+    part = StructType.fromDDL("part BIGINT")
+    return committed(spark, folder, name, StructType([*schema.fields, *part.fields])).drop("part")
+
+
 def write_markdown(lines: DataFrame, folder: str, order: list[str]) -> None:
     """Write text lines so that the files, read in name order, hold every document in line order.
 

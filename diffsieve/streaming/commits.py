@@ -33,7 +33,8 @@ def write_attempt(tables: dict[str, DataFrame], folder: str, batch: int, by_part
     """Writes all tables of a batch and returns the attempt's name; nothing is visible yet."""
     attempt = f"a{uuid.uuid4().hex}"
     for name, table in tables.items():
-        writer = table.write.partitionBy("part") if by_part else table.write
+        # buckets meet in few tasks, so that a bucket is few files; large ones are split again at run time
+        writer = table.hint("rebalance", F.col("part")).write.partitionBy("part") if by_part else table.write
         writer.parquet(f"{folder}/{name}/batch={batch}/attempt={attempt}")
     return attempt
 
@@ -52,14 +53,15 @@ def current(spark: SparkSession, folder: str) -> DataFrame:
     return _manifest(spark, folder).groupBy("part").agg(latest).select("part", "x.batch", "x.attempt")
 
 
-def committed(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """The rows of a table that commits have published. ``schema`` is the table's, as DDL."""
-    keys = "batch BIGINT, attempt STRING"
+def committed(spark: SparkSession, folder: str, name: str, schema: str | StructType) -> DataFrame:
+    """The rows of a table that commits have published. ``schema`` is the table's, without ``batch`` and ``attempt``."""
+    kept = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    keys = StructType.fromDDL("batch BIGINT, attempt STRING")
     live = current(spark, folder)
-    by_part = "part" in StructType.fromDDL(schema).names
+    by_part = "part" in kept.names
     if not live.take(1):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, {keys}").parquet(f"{folder}/{name}")
+        return spark.createDataFrame([], kept)
+    rows = spark.read.schema(StructType([*kept.fields, *keys.fields])).parquet(f"{folder}/{name}")
     on = ["batch", "attempt", "part"] if by_part else ["batch", "attempt"]
     return rows.join(live.select(*on), on, "left_semi").drop("batch", "attempt")
 
@@ -87,3 +89,21 @@ def upsert(changes: DataFrame, folder: str, batch: int, name: str, key: str, ord
     merged = old.unionByName(new).groupBy("part", key).agg(F.max_by(F.struct(*columns), order).alias("x")).select("part", "x.*")
     attempt = write_attempt({name: merged}, folder, batch, by_part=True)
     publish(spark, folder, batch, attempt, spark.read.parquet(f"{folder}/{name}/batch={batch}/attempt={attempt}").select("part"))
+
+
+def replace_keys(tables: dict[str, DataFrame], keys: DataFrame, folder: str) -> None:
+    """Puts the rows of ``tables`` in the place of all earlier rows of the same keys; rows of other keys stay.
+
+    ``keys`` has one column, which all tables have; a key without any row loses its earlier ones. Only the buckets of these keys are
+    written again, and all tables change in one commit.
+    """
+    spark, (key,) = keys.sparkSession, keys.columns
+    open_tables(spark, folder)
+    touched = keys.select(bucket(F.col(key)).alias("part")).distinct()
+    merged = {}
+    for name, table in tables.items():
+        new = table.withColumn("part", bucket(F.col(key)))
+        old = committed(spark, folder, name, new.schema).join(F.broadcast(touched), "part", "left_semi")  # BUCKETS rows at most
+        merged[name] = old.join(keys, key, "left_anti").select(new.columns).unionByName(new)
+    batch = time.time_ns()
+    publish(spark, folder, batch, write_attempt(merged, folder, batch, by_part=True), touched)

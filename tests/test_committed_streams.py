@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from diffsieve import schemas
 from diffsieve.plans.review import Review
+from diffsieve.sources import sinks
 from diffsieve.streaming import commits, reviews
 
 START = datetime(2024, 1, 1)
@@ -148,3 +149,24 @@ def test_last_states_of_jobs_out_of_order(spark, tmp_path):
         reviews.stream_job_status(stream, f"{base}/out", f"{base}/state").awaitTermination()
     got = sorted((r.review_id, r.seq, r.status, r.error) for r in reviews.job_states(spark, f"{base}/out").collect())
     assert got == [(1, 3, "complete", None), (2, 2, "failed", "boom"), (3, 7, "running", None)]
+
+
+def test_a_review_written_again_replaces_only_itself(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    heads = lambda *rows: spark.createDataFrame(rows, "review_id bigint, verdict string")
+    found = lambda *rows: spark.createDataFrame(rows, "review_id bigint, line int")
+    keys = lambda *ids: spark.createDataFrame([(i,) for i in ids], "review_id bigint")
+
+    def read():
+        tables = {"header": heads().schema, "findings": found().schema}
+        return {n: sorted(tuple(r) for r in sinks.read_report(spark, folder, n, s).collect()) for n, s in tables.items()}
+
+    many = range(1, 200)  # more reviews than buckets
+    sinks.replace_report({"header": heads(*[(i, "a") for i in many]), "findings": found(*[(i, 1) for i in many], (7, 2))}, keys(*many), folder)
+    sinks.replace_report({"header": heads((7, "b")), "findings": found((7, 9))}, keys(7), folder)
+    got = read()
+    assert got["header"] == sorted([(i, "a") for i in many if i != 7] + [(7, "b")])
+    assert got["findings"] == sorted([(i, 1) for i in many if i != 7] + [(7, 9)])
+    sinks.replace_report({"header": heads((8, "c")), "findings": found().limit(0)}, keys(8), folder)  # its findings are gone
+    got = read()
+    assert (8, "c") in got["header"] and (8, 1) not in got["findings"] and len(got["findings"]) == len(many) - 1
