@@ -9,14 +9,28 @@ and positions are plain row numbers over whole groups.
 
 from __future__ import annotations
 
+import keyword
 import re
+import token
 
 from .. import fixed_values as fv
 from ..functions.masking import PIECES
 from ..operators.rules import RULE_PACK, TEXT_PACK, Rule
-from ..operators.units import _CASE, _DECISIONS, _HEAD, _KEYWORDS, _OPERAND, _OPERATOR
 from ..sources import corpus as c
 
+# Definitions of the metrics, set down from Python's own grammar tables and the published rules, not from the engine.
+_HEAD = (
+    r"^[ \t]*((?:async[ \t]+)?(?:" + "|".join(("def", "for", "with")) + ")|"
+    + "|".join(("class", "if", "elif", "else", "while", "try", "except", "finally")) + r")\b")
+_CASE = r"^[ \t]*(case|match)\b[^=]*:[ \t]*$"
+# A branch, a loop, a handler, a further condition, an assertion, and a function inside add one path each.
+_DECISIONS = r"\b(?:" + "|".join(sorted(("if", "elif", "for", "while", "except", "and", "or", "assert", "def"), reverse=True)) + r")\b"
+_NO_OPERATORS = {"(", ")", "[", "]", "{", "}", ",", ":", ".", ";", "=", "->", "...", ":=", "!"}
+_SIGNS = sorted(set(token.EXACT_TOKEN_TYPES) - _NO_OPERATORS, key=lambda x: (-len(x), x))
+_OPERATOR = "|".join(map(re.escape, _SIGNS)) + r"|\b(?:" + "|".join(("not", "and", "or", "in", "is")) + r")\b"
+_OPERAND = r"\b[A-Za-z_][A-Za-z0-9_]*|\b[0-9][A-Za-z0-9_.]*"
+_KEYWORDS = [k for k in keyword.kwlist if k not in ("None", "True", "False")]
+
 PARTS: dict[str, str] = {}
 ORACLES: dict[str, str] = {}
 
