@@ -24,7 +24,9 @@ from diffsieve.llm.common import explode_texts, mix, seed_of, with_text
 BLANK = "▁"
 #: A word: blanks and the characters up to the next blank. No piece has a blank behind another character.
 WORD = re.compile(" *[^ ]+| +")
-NEVER = np.int64(2**40)
+NEVER = np.int32(2**30)
+#: Places of the table of pairs, a power of two far above their number, so that nearly every look-up ends at its first place.
+TABLE = 1 << 21
 #: Words that a worker remembers the pieces without dropout of; emptied when full.
 REMEMBERED = 1_500_000
 #: Characters of words that are cut in one set of arrays under dropout, one word at least.
@@ -57,14 +59,40 @@ class Pieces:
                 if a is not None and b is not None:
                     table.append((a * n + b, rank_of[made], made))
         self.n = n
-        self.keys, self.ranks, self.made = np.array(sorted(table), np.int64).T.copy()
+        self.keys, ranks, made = np.array(sorted(table), np.int64).T.copy()
+        self.ranks, self.made = ranks.astype(np.int32), made.astype(np.int32)
+        self.places = np.full(TABLE, -1, np.int32)
+        waiting, place = np.arange(len(self.keys)), self.place_of(self.keys)
+        while len(waiting):  # a pair whose place is taken goes one further
+            free = self.places[place] < 0
+            self.places[place[free]] = waiting[free]
+            left = self.places[place] != waiting
+            waiting, place = waiting[left], (place[left] + 1) % TABLE
         # a character without a piece, or the blank sign itself, goes out as bytes: it takes part in no merge
-        self.symbol_of = np.arange(0x110000, dtype=np.int64) + n
+        self.symbol_of = np.arange(0x110000, dtype=np.int32) + np.int32(n)
         for piece, i in self.id_of.items():
             if len(piece) == 1 and piece != BLANK:
                 self.symbol_of[ord(piece)] = i
         self.symbol_of[ord(" ")] = self.id_of[BLANK]
-        self.byte_ids = np.array(self.byte_id, np.int64)
+        self.byte_ids = np.array(self.byte_id, np.int32)
+
+    @staticmethod
+    def place_of(keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are pairs of the table, and where they stand in it."""
+        at = self.place_of(keys)
+        found = self.places[at]
+        good = self.keys[found] == keys  # an empty place names the last pair, which is compared too
+        open_ = np.flatnonzero(~good & (found >= 0))
+        while len(open_):  # the place holds another pair: look one further
+            at[open_] = (at[open_] + 1) % TABLE
+            found[open_] = self.places[at[open_]]
+            good[open_] = self.keys[found[open_]] == keys[open_]
+            open_ = open_[~good[open_] & (found[open_] >= 0)]
+        return np.flatnonzero(good), found[good]
 
     def as_bytes(self, symbols: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of characters without a piece become the pieces of their UTF-8 bytes."""
@@ -98,23 +126,22 @@ class Pieces:
     def segments(self, words: list[str], variants: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all non-empty words, each in its variant, one after the other, and how many each has."""
         lengths = np.array([len(w) for w in words], np.int64)
-        run = np.repeat(np.arange(len(words)), lengths)
+        run = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         symbols = self.symbol_of[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
-        place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        key = mix(np.array([xxhash.xxh64_intdigest(w.encode(), 0) for w in words], np.uint64)
-                  ^ mix(variants ^ seed_of(seed)))
+        place = (np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        digests = {w: xxhash.xxh64_intdigest(w.encode(), 0) for w in set(words)}
+        key = mix(np.fromiter(map(digests.__getitem__, words), np.uint64, len(words)) ^ mix(variants ^ seed_of(seed)))
         bar = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
 
         def offers(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Rank and piece of the pairs that begin at these places; NEVER where there is none."""
-            rank, made = np.full(len(at), NEVER), np.zeros(len(at), np.int64)
+            rank, made = np.full(len(at), NEVER), np.zeros(len(at), np.int32)
             inner = np.flatnonzero(at + 1 < len(symbols))
             inner = inner[run[at[inner]] == run[at[inner] + 1]]
             left, right = symbols[at[inner]], symbols[at[inner] + 1]
-            keys = np.where((left < self.n) & (right < self.n), left * self.n + right, -1)
-            found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            good = self.keys[found] == keys
-            rank[inner[good]], made[inner[good]] = self.ranks[found[good]], self.made[found[good]]
+            inner = inner[(left < self.n) & (right < self.n)]  # both are pieces
+            good, found = self.find(symbols[at[inner]].astype(np.int64) * self.n + symbols[at[inner] + 1])
+            rank[inner[good]], made[inner[good]] = self.ranks[found], self.made[found]
             return rank, made
 
         ready: list[tuple[np.ndarray, np.ndarray]] = []
@@ -134,7 +161,7 @@ class Pieces:
             best = np.flatnonzero(rank == np.repeat(least, sizes))
             at = best[np.r_[True, run[best[1:]] != run[best[:-1]]]]  # the leftmost of each run
             if dropout > 0:
-                pair = (symbols[at] * self.n + symbols[at + 1]).astype(np.uint64)
+                pair = (symbols[at].astype(np.int64) * self.n + symbols[at + 1]).astype(np.uint64)
                 drawn = mix(mix(key[run[at]] ^ pair) ^ place[at].astype(np.uint64))
                 skipped = drawn < bar
                 rank[at[skipped]] = NEVER
@@ -230,7 +257,9 @@ def encode_documents(
             lengths = np.array([len(x) for x in made], np.int64)
             flat = np.concatenate([np.empty(0, np.int32), *made])
             rows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(flat))
-            same = [decode(pieces, x.tolist()) == y for x, y in zip(made, texts, strict=True)]
+            same = [
+                b"".join(map(pieces.bytes_of.__getitem__, x.tolist())) == (b" " + y.encode() if y else b"")
+                for x, y in zip(made, texts, strict=True)]
             return pa.RecordBatch.from_arrays(
                 [ids, rows, pa.array(lengths), pa.array(same)],
                 names=schema.names)
