@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffsieve.llm.common import components, explode_texts, mix, seed_of, with_text
@@ -177,12 +177,50 @@ def _part(doc: str, size: str) -> str:
     return f"(xxhash64({doc}) & (shiftleft(1L, {_halves(size)}) - 1))"
 
 
+def _cell(doc: str) -> Column:
+    return F.expr(f"xxhash64(component, {_part(doc, 'size')})")
+
+
 def cells(stars: DataFrame) -> DataFrame:
-    """``(doc, cell)``: documents that chains of common buckets connect, in parts of about BLOCK."""
+    """``(doc, cell, component, size)``: documents that chains of common buckets connect, in parts of about BLOCK."""
     groups = components(stars)
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    return groups.join(sizes, "component").select(
-        F.col("node").alias("doc"), F.expr(f"xxhash64(component, {_part('node', 'size')})").alias("cell"))
+    return groups.join(sizes, "component").select(F.col("node").alias("doc"), _cell("node").alias("cell"), "component", "size")
+
+
+def other_stars(stars: DataFrame, placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The stars besides each document's least centre whose ends are still in different components, packed by the cells of their ends.
+
+    A centre's cell follows from its document's component, so no star is a row of a join: documents are joined with their place, and
+    cells with the labels of their members.
+    """
+    per_doc = stars.groupBy("b").agg(F.collect_list("a").alias("centres")).where("size(centres) > 1")
+    spread = per_doc.join(placed.withColumnRenamed("doc", "b"), "b").select(
+        F.col("cell").alias("cell_b"), "b", "component", "size",
+        F.explode(F.filter("centres", lambda c: c > F.array_min("centres"))).alias("a"))
+    packed = spread.select(_cell("a").alias("cell_a"), "cell_b", "a", "b").groupBy("cell_a", "cell_b").agg(
+        F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    members = stage(placed.join(labels.withColumnRenamed("component", "label"), F.col("doc") == F.col("node"), "left").groupBy("cell").agg(
+        F.collect_list("doc").alias("docs"), F.collect_list(F.coalesce("label", "doc")).alias("labels")))
+    named = lambda side: members.select(*[F.col(c).alias(f"{c}_{side}") for c in ("cell", "docs", "labels")])
+    columns = ("a", "b", "docs_a", "labels_a", "docs_b", "labels_b")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                a, b, docs_a, labels_a, docs_b, labels_b = (
+                    batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in columns)
+                label = dict(zip(docs_a.tolist(), labels_a.tolist(), strict=True)) | dict(zip(docs_b.tolist(), labels_b.tolist(), strict=True))
+                apart = np.array([label[x] != label[y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
+                if apart.any():
+                    out.append((batch.column("cell_a")[k].as_py(), batch.column("cell_b")[k].as_py(), a[apart].tobytes(), b[apart].tobytes()))
+            made = list(zip(*out, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(made, kinds, strict=True)], names=["cell_a", "cell_b", "a", "b"])
+
+    both = packed.join(named("a"), "cell_a").join(named("b"), "cell_b")
+    return both.select("cell_a", "cell_b", *columns).mapInArrow(part, "cell_a bigint, cell_b bigint, a binary, b binary")
 
 
 def leftover_pairs(buckets: DataFrame, heads: DataFrame, labels: DataFrame, ranks: tuple[int, int]) -> DataFrame:
@@ -305,8 +343,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     for all in the search. Null, empty and blank texts link with nothing, and a null id has a null class and is kept.
     Rows that share an id share a class and are all kept or not. Other columns are not read.
 
-    A bucket of a band links its members to its least member, never all to all. Members that this leaves in other
-    components are compared by their registers in blocks and verified cell against cell, so that no link is lost for lack
+    A bucket of a band links its members to its least member, never all to all. Every document is verified against the least of
+    its centres, and the others cell against cell where that left it apart. Members that this leaves in other components are compared by their registers in blocks and verified cell against cell, so that no link is lost for lack
     of a common centre.
     """
     base = with_text(docs, doc_id, text)
@@ -324,10 +362,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         found = base.join(wanted.hint("merge"), F.col("__id") == F.col("doc"), "left_semi")
         return stage(found.select(F.col("__id").alias("doc"), F.col("__text").alias("text")).dropDuplicates(["doc"]))
 
-    ends = stars.select(F.col("a").alias("doc")).union(stars.select("b"))
-    links = stage(verified(stars, texts_for(ends)))
+    least = stage(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = stage(verified(least, texts_for(least.select(F.col("a").alias("doc")).union(least.select("b")))))
     labels = components(links)
-    placed = stage(heads.join(cells(stars), "doc"))
+    place = stage(cells(stars))
+    rest = stage(other_stars(stars, place, labels))
+    if rest.take(1):
+        links = links.unionByName(stage(verified_cells(rest, labels, texts_for)))
+        labels = components(links)
+    placed = stage(heads.join(place.select("doc", "cell"), "doc"))
     several = buckets.where("n > 2").select("bucket", "doc")
     for ranks in ROUNDS:
         rest = stage(leftover_pairs(several, placed, labels, ranks))
