@@ -416,10 +416,40 @@ def test_cells_of_anisotropic_partners_are_visited(size, power):
     aside = embeddings.unit(aside - (aside * base).sum(axis=1, keepdims=True) * base)
     partner = 0.901 * base + np.sqrt(1 - 0.901**2) * aside
     grid = embeddings.Grid(rows, 16)
-    x, y = grid.cells(partner)
-    visits = {(int(i), int(c)) for row, cell in grid.visits(base) for i, c in zip(row, cell)}
-    assert all((i, c) in visits for i, c in enumerate((x * grid.size + y).tolist()))
-    assert all(grid.visited(base[i : i + 1], c)[0] for i, c in enumerate((x * grid.size + y).tolist()))
+    own, other = grid.cells(base), grid.cells(partner)
+    one, two = own[0] * grid.size + own[1], other[0] * grid.size + other[1]
+    there = {(int(i), int(c)) for row, cell in grid.visits(base, *own) for i, c in zip(row, cell)}
+    back = {(int(i), int(c)) for row, cell in grid.visits(partner, *other) for i, c in zip(row, cell)}
+    met = [((i, c) in there) + ((i, o) in back) for i, (o, c) in enumerate(zip(one.tolist(), two.tolist()))]
+    apart = one != two
+    assert np.mean(np.array(met) > 0) >= 0.95
+    # of two cells only one visits the other
+    assert max(np.array(met)[apart]) == 1
+    assert len(there) <= 0.1 * len(base) * grid.size**2
+
+
+def test_cells_are_taken_nearest_first():
+    rows = embeddings.unit(np.random.default_rng(4).standard_normal((900, 12)))
+    grid = embeddings.Grid(rows, 6)
+    base = rows[:50]
+    own = grid.cells(base)
+    a, b = grid.least(base, *own)
+    taken = {k: [] for k in range(len(base))}
+    for row, i, j in grid.traverse(base, *own):
+        for k, x, y in zip(row.tolist(), i.tolist(), j.tolist()):
+            taken[k].append((a[k, x] + b[k, y], x, y))
+    for k, found in taken.items():
+        costs = [c for c, _, _ in found]
+        assert costs == sorted(costs) and found[0][1:] == (own[0][k], own[1][k]) and len(set(found)) == len(found)
+        want = {(x, y) for x in range(6) for y in range(6) if a[k, x] + b[k, y] <= grid.reach + embeddings.ROUNDING}
+        assert {(x, y) for _, x, y in found} == want
+
+
+def test_rows_that_share_an_id_are_linked_by_their_own_vectors(spark):
+    rows = [(1, [1.0, 0, 0, 0]), (1, [0, 1.0, 0, 0]), (2, [0.99, 0.1, 0, 0]), (None, [0, 0, 1.0, 0]), (5, [0, 0, 1.0, 0.1]), (7, [0, 0, 1.0, 0])]
+    df = spark.createDataFrame([(i, [float(x) for x in v], k) for k, (i, v) in enumerate(rows)], "vec_id bigint, embedding array<double>, rep int")
+    out = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embeddings.near_duplicates(df).collect()))
+    assert out == [(0, 2, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (5, 2, 5, True), (7, 2, 5, False)]
 
 
 # ---- decontamination -------------------------------------------------------------------------------------------------
