@@ -119,7 +119,7 @@ class Grid:
 
     def measured_stop(self, rows: np.ndarray, random: np.random.Generator) -> float:
         """The sum that RECALL of all partners need: of partners at COSINE along differences of sampled vectors, and
-        of the near pairs of the sample, if it has LEAST_PAIRS; the greater of the two."""
+        of near pairs of the sample, DRAWN a vector that has any, if they are LEAST_PAIRS; the greater of the two."""
         base = np.repeat(rows, DRAWN, axis=0)
         aside = rows[random.integers(len(rows), size=len(base))] - rows[random.integers(len(rows), size=len(base))]
         aside -= (aside * base).sum(axis=1, keepdims=True) * base
@@ -130,9 +130,14 @@ class Grid:
         stop = float(np.quantile(costs, RECALL)) if len(costs) else 0.0
         near = []
         for k in range(0, len(rows), 512):
-            i, j = np.nonzero(rows[k : k + 512] @ rows.T >= COSINE)
-            far = i + k != j
-            near.append(self.costs(rows[i[far] + k], rows[j[far]]))
+            close = rows[k : k + 512] @ rows.T >= COSINE
+            close[np.arange(len(close)), np.arange(k, k + len(close))] = False
+            some = np.flatnonzero(close.any(axis=1))
+            for _ in range(DRAWN):
+                # the first near one from a random place on, around the end
+                start = random.integers(len(rows))
+                j = (np.roll(close[some], -start, axis=1).argmax(axis=1) + start) % len(rows)
+                near.append(self.costs(rows[some + k], rows[j]))
         near = np.concatenate(near)
         return max(stop, float(np.quantile(near, RECALL))) if len(near) >= LEAST_PAIRS else stop
 
