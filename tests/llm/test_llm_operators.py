@@ -516,7 +516,30 @@ def test_items_leaked_once_as_an_edited_copy_are_found(share):
             body[p] = f"edit{n}"
         host = [f"h{rng.randrange(500)}" for _ in range(100)]
         texts.append(" ".join(host[:50] + body + host[50:]))
-    assert decontaminate.finder(decontaminate.Items(rows))(texts) == [[k] for k, _ in rows]
+    found, walked = decontaminate.finder(decontaminate.Items(rows))(texts)
+    assert found == [[k] for k, _ in rows]
+    assert sum(map(len, walked)) >= 0.95 * len(rows) and all(set(w) <= set(f) for w, f in zip(walked, found))
+
+
+def test_walks_of_other_texts_do_not_meet():
+    """Walks write the symbols of a plain step-by-step walk, and unrelated items agree in no sample but by chance."""
+    rng = random.Random(2)
+    items = decontaminate.Items([(k, " ".join(f"w{rng.randrange(200)}" for _ in range(rng.randrange(20, 60)))) for k in range(200)])
+    keys = items.keys
+    met = [((keys[i] == keys[j]) & (keys[i] != 0)).any() for i in range(200) for j in range(i)]
+    assert np.mean(met) < 0.01
+    for k in (0, 7):
+        for number in (0, 5):
+            at, key, ended = 0, np.zeros(1, np.uint64), False
+            wanted = items.places[k, number].tolist()
+            for step in range(max(wanted) + 1):
+                over = at >= items.sizes[k]
+                symbol = np.array([0 if over else items.symbols[k][at]], np.uint64)
+                if step in wanted:
+                    key, ended = decontaminate.mix((key * np.uint64(0x100000001B3)) ^ symbol), ended or over
+                bit = decontaminate.mix(symbol ^ decontaminate.mix(np.array([number], np.uint64) ^ decontaminate.seed_of(6, 2, step)))
+                at += int(not over and bit[0] & np.uint64(1) == 1)
+            assert keys[k, number] == (0 if ended else key[0])
 
 
 # ---- URLs ------------------------------------------------------------------------------------------------------------
