@@ -57,7 +57,9 @@ NAME_END, MARK = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
 DEEPEST = 500
 
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-OFF_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+OFF_STYLE = re.compile(r"display\s*:\s*none", re.I)
+#: Whether a style says that the element's own content is seen; the last such declaration counts.
+SIGHT = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -224,11 +226,45 @@ def hidden(element: Element) -> bool:
     a = element.attributes
     if not a:
         return False
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or OFF_STYLE.search(a.get("style", "")):
+    if "hidden" in a or OFF_STYLE.search(a.get("style", "")):
         return True
     return element.name == "input" or (element.name == "dialog" and "open" not in a)
 
 
+def sight(element: Element) -> bool | None:
+    """What the element's style says of its visibility; None if nothing."""
+    said = SIGHT.findall(element.attributes.get("style", "")) if element.attributes else []
+    return said[-1].lower() == "visible" if said else None
+
+
+def drop_unseen(root: Element) -> None:
+    """Takes texts and images out of elements whose visibility is hidden. Visibility is inherited, but an element inside may be
+    visible again; elements in which nothing is seen go wholly."""
+    todo: list[tuple[Element, bool]] = [(root, True)]
+    unseen: list[Element] = []
+    while todo:
+        node, seen = todo.pop()
+        if not seen:
+            unseen.append(node)
+            node.children = [x for x in node.children if isinstance(x, Element) and (x.name not in VOID or sight(x))]
+        for x in node.children:
+            if isinstance(x, Element):
+                own = sight(x)
+                todo.append((x, seen if own is None else own))
+    # parents come before their children, so going backwards an emptied child is gone before its parent is looked at
+    empty = set()
+    for node in reversed(unseen):
+        node.children = [x for x in node.children if id(x) not in empty]
+        if not node.children:
+            empty.add(id(node))
+    if empty:
+        todo2 = [root]
+        while todo2:
+            node = todo2.pop()
+            node.children = [x for x in node.children if isinstance(x, str) or id(x) not in empty]
+            todo2 += [x for x in node.children if isinstance(x, Element)]
+
+
 class Lines:
     """Lines under construction: white space collapses, blocks begin lines, gaps become one blank line."""
 
@@ -378,35 +414,65 @@ def table_lines(table: Element) -> list[str]:
         elif x.name not in ("col", "colgroup"):
             loose.append(x)
     lines = [line for x in [*loose, *captions] for line in rendered(x)]
-    cells = [[(rendered(c), span(c)) for c in row] for row in rows]
+    cells = placed_cells(rows)
     columns: list[int] = []
     for row in cells:
-        at = 0
-        for text, wide in row:
+        for at, wide, text in row:
             columns += [0] * (at + wide - len(columns))
             if wide == 1:
                 columns[at] = max([columns[at], *map(len, text)])
-            at += wide
     for row in cells:
-        at, parts, widths = 0, [], []
-        for text, wide in row:
+        parts, widths, at = [], [], 0
+        for start, wide, text in row:
+            for free in range(at, start):
+                parts.append([])
+                widths.append(columns[free])
             parts.append(text)
-            widths.append(sum(columns[at : at + wide]) + 3 * (wide - 1))
-            at += wide
+            at = start + wide
+            widths.append(sum(columns[start:at]) + 3 * (wide - 1))
         for line in zip_longest(*parts, fillvalue=""):
             lines.append(" | ".join(x.ljust(w) for x, w in zip(line, widths, strict=True)).rstrip())
     return lines
 
 
+def placed_cells(rows: list[list[Element]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Of every row the cells as (first column, columns, lines). A cell that spans rows keeps its columns in the rows below,
+    where it has no text."""
+    out: list[list[tuple[int, int, list[str]]]] = []
+    # by first column: columns, and rows that are still spanned
+    held: dict[int, tuple[int, int]] = {}
+    for row in rows:
+        placed, at, above = [], 0, sorted(held.items())
+        held = {start: (wide, n - 1) for start, (wide, n) in above if n > 1}
+        spans = iter(above)
+        block = next(spans, None)
+        for cell in row:
+            wide = span(cell, "colspan", 1000)
+            while block is not None and block[0] < at + wide:
+                placed.append((block[0], block[1][0], []))
+                at = max(at, block[0] + block[1][0])
+                block = next(spans, None)
+            placed.append((at, wide, rendered(cell)))
+            if (deep := span(cell, "rowspan", 65534)) > 1:
+                held[at] = (wide, deep - 1)
+            at += wide
+        while block is not None and row:
+            placed.append((block[0], block[1][0], []))
+            block = next(spans, None)
+        out.append(placed)
+    return out
+
+
 def rendered(node: Element | str) -> list[str]:
     root = Element("#root", {})
     root.children = node.children if isinstance(node, Element) and node.name in ("td", "th") else [node]
     return render(root)
 
 
-def span(cell: Element) -> int:
-    wide = cell.attributes.get("colspan", "1")
-    return min(max(int(wide), 1), 1000) if re.fullmatch(r"\d{1,9}", wide) else 1
+def span(cell: Element, attribute: str, most: int) -> int:
+    """The columns or rows that a cell spans, at most as many as browsers take."""
+    wide = cell.attributes.get(attribute, "1")
+    return min(max(int(wide), 1), most) if re.fullmatch(r"\d{1,9}", wide) else 1
 
 
 #: Deeper tables are rendered as blocks, so that no page can exhaust the stack.
@@ -426,6 +492,7 @@ def flatten_deep_tables(root: Element) -> None:
 
 def visible_text(page: str) -> str:
     root = parse(page)
+    drop_unseen(root)
     flatten_deep_tables(root)
     return "\n".join(render(root))
 
@@ -435,7 +502,8 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", page: str = "html")
 
     A null or empty page, and one without visible text, has an empty text and 0 lines. Text that is no HTML comes out
     as it is, with white space collapsed. Repeated rows repeat their result, a null id stays null, other columns are
-    not read. No page fails: wrong nesting is mended as described above.
+    not read. No page fails: wrong nesting is mended as described above. Elements deeper than DEEPEST are put beside each
+    other, tables deeper than DEEPEST_TABLE are rendered as blocks; no text is lost by either.
     """
 
     def begin() -> Callable:

@@ -129,10 +129,11 @@ def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         .where((F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line")))
         .groupBy("doc").agg(F.collect_set("line").alias("__repeated"))
     )
-    taken = {c.lower() for c in docs.columns} & {"__repeated", "__lines", "__words", "doc"}
-    if taken - {"doc"}:
+    taken = {c.lower() for c in docs.columns} & {"__repeated", "__lines", "__words"}
+    if taken:
         raise ValueError(f"columns exist already: {sorted(taken)}")
-    joined = docs.join(copies.withColumnRenamed("doc", "__doc"), F.col(f"`{doc_id}`").cast("long") == F.col("__doc"), "left").drop("__doc")
+    key = copies["doc"]
+    joined = docs.join(copies, docs[f"`{doc_id}`"].cast("long") == key, "left").drop(key)
     schema = T.StructType([*docs.schema.fields, T.StructField("__lines", T.LongType()), T.StructField("__words", T.LongType())])
     at = docs.columns.index(text)
 

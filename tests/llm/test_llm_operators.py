@@ -229,6 +229,16 @@ def test_open_long_tags_cost_linear_time():
     assert time.perf_counter() - began < 60
 
 
+def test_spanned_rows_and_visible_parts():
+    text = html_text.visible_text
+    assert text("<table><tr><td rowspan=2>A<td>b1<tr><td>b2<tr><td>c<td>d</table>") == "A | b1\n  | b2\nc | d"
+    assert text("<table><tr><td>x<td rowspan=3>A<td>b1<tr><td>y<td>b2<tr><td>z</table>") == "x | A | b1\ny |   | b2\nz |"
+    assert text("<table><tr><td rowspan=9 colspan=2>A<td>b<tr><td>c</table>") == "A   | b\n    | c"
+    assert text("<p style='visibility:hidden'>no <b style='visibility:visible'>yes</b> no</p><p>z</p>") == "yes\n\nz"
+    assert text("<div style='visibility:hidden'>a<p>b<img alt=c></p></div><p aria-hidden=true>seen</p>") == "seen"
+    assert text("<div style='display:none'><b style='visibility:visible'>no</b></div>x") == "x"
+
+
 # ---- line chunks -----------------------------------------------------------------------------------------------------
 
 
@@ -293,6 +303,62 @@ def test_line_dedup_keeps_odd_rows(spark, odd):
     assert line_chunks.drop_repeated(odd).columns[:4] == odd.columns
 
 
+def line_by_line(text):
+    """The lines of a text, letter by letter."""
+    lines, line, i = [], "", 0
+    while i < len(text):
+        c = text[i]
+        line, i = line + c, i + 1
+        if c in ".!?":
+            while i < len(text) and text[i] in ".!?":
+                line, i = line + text[i], i + 1
+            if i < len(text) and text[i].isspace():
+                line, i = line + text[i], i + 1
+        elif c != "\n":
+            continue
+        lines.append(line)
+        line = ""
+    return lines + [line] * bool(line)
+
+
+def test_lines_equal_a_plain_restatement(spark):
+    """Nothing of the module is used: lines, first places, stretches and sizes are worked out anew."""
+    rng = random.Random(31)
+    pool = [" ".join(f"p{rng.randrange(60)}" for _ in range(rng.choice([2, 5, 9, 60]))) + rng.choice([".", "?!", "...", "\n"]) for _ in range(25)]
+    rows = []
+    for k in range(120):
+        lines = [rng.choice(pool) if rng.random() < 0.5 else f"own{k}x{n} words here." for n in range(rng.randrange(0, 14))]
+        rows.append((k, "".join(x + rng.choice(["", " ", "\n\n", "  \n"]) for x in lines)))
+    table = [(k, n, x) for k, text in rows for n, x in enumerate(line_by_line(text)) if x.strip()]
+    first = {}
+    for k, n, x in sorted(table):
+        first.setdefault(x.strip(), (k, n))
+    want = {}
+    for k, _ in rows:
+        mine = [(n, x.strip()) for j, n, x in table if j == k]
+        kept, gone, run = [], [], []
+        for n, x in [*mine, (None, "")]:
+            if x and first[x] != (k, n):
+                run.append(x)
+                continue
+            sizes = [len(y.split()) for y in run]
+            (gone if (len(run) >= 2 and sum(sizes) >= 16) or max(sizes, default=0) > 50 else kept).extend(run)
+            run = []
+            kept.append(x)
+        want[k] = ("".join(" ".join(kept).split()), len(gone), sum(len(y.split()) for y in gone))
+    out = by_id(line_chunks.deduplicated(docs_of(spark, rows)))
+    assert {k: ("".join(r.text.split()), r.lines_removed, r.words_removed) for k, r in out.items()} == want
+    assert sum(w[1] for w in want.values()) > 50
+
+
+def test_lines_with_clashing_names(spark):
+    same = " ".join(f"Sentence {n} has several words in it." for n in range(6))
+    df = spark.createDataFrame([(1, same, 5, 6, "a"), (2, "Own words. " + same, 7, 8, "b")], "doc_id bigint, text string, __doc int, doc int, chunk string")
+    out = line_chunks.drop_repeated(df)
+    assert out.columns == [*df.columns, "__lines", "__words"]
+    assert sorted((r["doc_id"], r["__doc"], r["doc"], r["chunk"], r["__lines"]) for r in out.collect()) == [(1, 5, 6, "a", 0), (2, 7, 8, "b", 6)]
+
+
 # ---- MinHash ---------------------------------------------------------------------------------------------------------
 
 

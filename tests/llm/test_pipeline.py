@@ -76,3 +76,13 @@ def test_run_equals_its_stages(spark, folder):
         docs = stage(spark, docs, at)
     want = sorted((r.doc_id, r.pieces) for r in docs.collect())
     assert sorted((r.doc_id, r.pieces) for r in corpus_pipeline.run(spark, at).collect()) == want
+
+
+def test_columns_named_like_those_of_the_operators_are_kept(spark, folder):
+    at, *_ = folder
+    names = ["__items", "__walked", "__doc", "__gone", "__lines", "__id"]
+    docs = spark.read.parquet(f"{at}/documents.parquet").where("doc_id % 9 = 1").selectExpr("*", *(f"doc_id + {k} AS {n}" for k, n in enumerate(names)))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns, name
+        assert all(r[n] == r.doc_id + k for r in out.collect() for k, n in enumerate(names)), name
