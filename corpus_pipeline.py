@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,21 @@ from diffsieve.llm.common import table
 from diffsieve.staging import checkpoint_folder
 
 
+def names_apart(stage: Callable) -> Callable:
+    """``stage`` on documents whose own columns may begin with two underscores, as those do that the operators add: such
+    columns go under other names meanwhile."""
+
+    def work(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        given = docs.columns
+        aside = {c: f"own {k} {c.lstrip('_')}".replace("`", "").replace(".", " ") for k, c in enumerate(given) if c.startswith("__")}
+        made = stage(spark, docs.toDF(*(aside.get(c, c) for c in given)), sf_dir)
+        back = {v: k for k, v in aside.items()}
+        return made.toDF(*(back.get(c, c) for c in made.columns))
+
+    return work
+
+
+@names_apart
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; null and empty texts are kept whatever they score."""
     network = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -20,6 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.with_scores(docs, network).where((F.col("__score") < toxicity.THRESHOLD) | blank).drop("__score")
 
 
+@names_apart
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated chunks. Those that held nothing else go; ``n_chars`` follows the text."""
     cut = line_chunks.drop_repeated(docs)
@@ -30,16 +47,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cut.select(docs.columns)
 
 
+@names_apart
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id. Rows without an id are kept."""
     gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
 
 
+@names_apart
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("__items") == 0).drop("__items")
+    return found.where(F.size("__items") == 0).drop("__items", "__walked")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
