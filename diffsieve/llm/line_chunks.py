@@ -1,9 +1,10 @@
 """Removal of repeated chunks of lines.
 
-A text is cut into lines: at line breaks, and behind sentence ends, so that a passage pasted into the middle of a long
-line still has whole lines. Every line that is not blank ends a chunk, so all whole lines of a passage are chunks of
-their own wherever it stands, whatever lines are around it. Chunks are compared over all documents; the first occurrence stays. Of the others
-those go that, with the repeated chunks next to them, make up a stretch of several lines, or hold one long line.
+A text is cut into lines: at line breaks, behind marks that end a sentence or a clause, and in long lines behind words that their
+own hash chooses, so that a passage pasted into the middle of a line still has whole lines. A hash rolled over the hashes
+of the last WINDOW lines chooses the chunks' ends, so that equal passages have equal chunks inside, wherever they stand. Chunks
+are compared by their bytes over all documents; the first occurrence stays. Every other one is grown outwards line by line as
+long as the lines around it equal those around the first. What makes up a stretch of several lines goes.
 """
 
 from __future__ import annotations
@@ -11,124 +12,181 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from diffsieve.llm.common import explode_texts, with_text
+from diffsieve.functions.reduce import keep_likely
+from diffsieve.llm.common import explode_texts, mix, with_text
 from diffsieve.staging import stage
 
-LINE = re.compile(r"[^\n.!?]*(?:\n|[.!?]+(?:\s|\Z)?|\Z)")
-#: A repeated stretch is removed if it has so many lines and words, or a line of more than LONG_LINE words.
-LEAST_LINES = 2
-LEAST_WORDS = 16
-LONG_LINE = 50
-
-
-def lines_of(text: str) -> list[str]:
-    """The lines, which together are the text."""
-    return [x for x in LINE.findall(text) if x]
-
-
-def bare(line: str) -> str:
-    return line.strip()
-
-
-def chunks_of(lines: list[str]) -> list[int]:
-    """Ends (exclusive) of the chunks: behind every line that is not blank. Blank lines at the end are a chunk of their own."""
-    ends = [i + 1 for i, x in enumerate(lines) if not x.isspace()]
-    if lines and (not ends or ends[-1] < len(lines)):
-        ends.append(len(lines))
-    return ends
+LINE = re.compile(r"[^\n.!?,;:。！？，；：、]*(?:\n|[.!?,;:。！？，；：、]+(?:\s|\Z)?|\Z)")
+#: A line of more characters is also cut behind every word (between spaces) whose hash is a multiple of WORD_CUT.
+LONG_LINE, WORD_CUT = 80, 4
+#: A chunk ends behind a line with this chance, decided by the hash of the last WINDOW lines; a chunk has 1 to GREATEST lines.
+WINDOW, BOUNDARY, GREATEST = 2, 0.65, 16
+#: A repeated stretch is removed if it has so many lines and words.
+LEAST_LINES, LEAST_WORDS = 2, 16
+_PRIME = np.uint64(0x100000001B3)
+_REMEMBERED = 1_000_000
+
+
+class WordCuts(dict):
+    """Whether a long line is cut behind a word; remembered up to a bound."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > _REMEMBERED:
+            self.clear()
+        cut = self[word] = xxhash.xxh64_intdigest(word) % WORD_CUT == 0
+        return cut
+
+
+def lines_of(text: str, cuts: WordCuts) -> list[str]:
+    """The lines, which together are the text. White space alone belongs to the line before it, or to the first one."""
+    out: list[str] = []
+    for line in LINE.findall(text):
+        if len(line) > LONG_LINE:
+            begin = end = 0
+            for word in line.split(" "):
+                end += len(word) + 1
+                if word and cuts[word]:
+                    out.append(line[begin:end])
+                    begin = end
+            line = line[begin:]
+        if not line:
+            continue
+        if out and (line.isspace() or out[-1].isspace()):
+            out[-1] += line
+        else:
+            out.append(line)
+    return out
 
 
-def content(lines: list[str]) -> str:
-    """What is compared: the lines without the white space around each."""
-    return "\n".join(x for x in map(bare, lines) if x)
+def chunk_ends(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Last lines of the chunks of several texts, from the hashes of all their lines and the number of lines of each."""
+    last = np.cumsum(sizes) - 1
+    rolled = np.zeros(len(hashes), np.uint64)
+    place = np.arange(len(hashes)) - np.repeat(last + 1 - sizes, sizes)
+    for back in range(WINDOW - 1, -1, -1):
+        own = np.where(place >= back, np.roll(hashes, back), np.uint64(0))
+        rolled = mix(rolled * _PRIME ^ own)
+    cut = rolled < np.uint64(int(BOUNDARY * 2**64))
+    cut[last] = True
+    ends = np.flatnonzero(cut)
+    sizes = np.diff(np.r_[-1, ends])
+    within = np.arange(len(hashes)) - np.repeat(ends + 1 - sizes, sizes)
+    return np.flatnonzero(cut | (within % GREATEST == GREATEST - 1))
 
 
-#: Position of a chunk in the table: the number of its first line, and the number of lines that it has.
-CHUNK = "doc bigint, line int, chunk string"
+CHUNK = "doc bigint, line int, size int, chunk string"
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """``doc, line, chunk`` of ``(__id, __text)``; blank chunks have no row."""
+def chunk_rows(docs: DataFrame, around: bool) -> DataFrame:
+    """``doc, line, size, chunk`` of ``(__id, __text)``: number of the chunk's first line, its lines and their texts without the
+    white space around each. ``around`` adds the lines of the two chunks ``before`` and of the one ``after`` it."""
 
     def begin() -> Callable:
+        cuts = WordCuts()
+
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            ids, starts, chunks = [], [], []
+            ids, sizes, lines = [], [], []
             for doc, text in zip(part.column("__id").to_pylist(), part.column("__text").to_pylist(), strict=True):
-                lines = lines_of(text or "")
-                start = 0
-                for end in chunks_of(lines):
-                    if chunk := content(lines[start:end]):
-                        ids.append(doc)
-                        starts.append(start)
-                        chunks.append(chunk)
-                    start = end
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(chunks, pa.string())], names=["doc", "line", "chunk"])
+                own = [x.strip() for x in lines_of(text or "", cuts)]
+                if own and own != [""]:
+                    ids.append(doc)
+                    sizes.append(len(own))
+                    lines.extend(own)
+            sizes = np.array(sizes, np.int64)
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
+            ends = chunk_ends(hashes, sizes) + 1 if len(lines) else np.empty(0, np.int64)
+            starts = np.r_[0, ends[:-1]][: len(ends)]
+            chunks = ["\n".join(lines[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            owner = np.searchsorted(np.cumsum(sizes), starts, side="right")
+            columns = [
+                pa.array(ids, pa.int64()).take(pa.array(owner)),
+                pa.array((starts - (np.cumsum(sizes) - sizes)[owner]).astype(np.int32)),
+                pa.array((ends - starts).astype(np.int32)),
+                pa.array(chunks, pa.string()),
+            ]
+            names = ["doc", "line", "size", "chunk"]
+            if around:
+                # the first and last chunks of the texts, with those of no other text beside them
+                whose = [-1, -1, *owner.tolist(), -1]
+                held = ["", "", *chunks, ""]
+                before = [
+                    "\n".join(held[k + j] for j in (0, 1) if whose[k + j] == whose[k + 2]) or None for k in range(len(chunks))]
+                after = [held[k + 3] if whose[k + 3] == whose[k + 2] else None for k in range(len(chunks))]
+                columns += [pa.array(before, pa.string()), pa.array(after, pa.string())]
+                names += ["before", "after"]
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         return work
 
-    return explode_texts(docs, "__text", CHUNK, begin)
+    return explode_texts(docs, "__text", CHUNK + ", before string, after string" * around, begin)
+
 
+def equal_ahead(a: Column, b: Column) -> Column:
+    """How many first elements of two arrays of texts are equal; 0 if one is null."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    differs = F.array_position(same, False)
+    return F.coalesce(F.when(differs > 0, differs - 1).otherwise(F.size(same)), F.lit(0)).cast("int")
 
-def without(text: str, repeated: set[int]) -> tuple[str, int, int]:
-    """The text without long enough stretches of repeated chunks (given by their first lines), and the lines and words
-    that went. Blank chunks go with the repeated chunks around them."""
-    lines = lines_of(text)
+
+def without(text: str, spans: list[int], cuts: WordCuts) -> tuple[str, int, int]:
+    """The text without long enough stretches of repeated lines (``first << 32 | end``), and the lines and words that went."""
+    lines = lines_of(text, cuts)
+    gone = bytearray(len(lines) + 1)
+    for span in spans:
+        start, end = span >> 32, span & 0xFFFFFFFF
+        gone[start:end] = b"\1" * (end - start)
     out, start, gone_lines, gone_words = [], 0, 0, 0
-    run: list[str] = []
-
-    def settle() -> None:
-        nonlocal gone_lines, gone_words
-        full = [x for x in run if not x.isspace()]
-        sizes = [len(x.split()) for x in full]
-        words = sum(sizes)
-        if (len(full) >= LEAST_LINES and words >= LEAST_WORDS) or max(sizes, default=0) > LONG_LINE:
-            gone_lines, gone_words = gone_lines + len(full), gone_words + words
+    while start < len(lines):
+        end = gone.find(1 - gone[start], start)
+        end = len(lines) if end < 0 else min(end, len(lines))
+        words = sum(len(x.split()) for x in lines[start:end]) if gone[start] else 0
+        if end - start >= LEAST_LINES and words >= LEAST_WORDS:
+            gone_lines, gone_words = gone_lines + end - start, gone_words + words
             # what stands before and after must not run together
             if out and not out[-1][-1:].isspace():
-                out.append("\n" if run[-1].endswith("\n") else " ")
+                out.append("\n" if lines[end - 1].endswith("\n") else " ")
         else:
-            out.extend(run)
-        run.clear()
-
-    for end in chunks_of(lines):
-        piece = lines[start:end]
-        if start in repeated or (run and not content(piece)):
-            run.extend(piece)
-        else:
-            settle()
-            out.extend(piece)
+            out.extend(lines[start:end])
         start = end
-    settle()
     return "".join(out), gone_lines, gone_words
 
 
+def repeated_lines(base: DataFrame) -> DataFrame:
+    """``doc, __repeated``: the stretches of lines of ``(__id, __text)`` that an earlier place holds as well."""
+    hashes = (F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(7), "chunk").alias("h2"))
+    place = F.struct("doc", "line")
+    groups = chunk_rows(base, around=False).groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    repeated = stage(groups.where("first <> last").select(*hashes, "first"))
+    rows = chunk_rows(base, around=True).select(*hashes, "doc", "line", "size", "before", "after")
+    found = stage(keep_likely(rows, repeated, ["h1", "h2"]).join(repeated, ["h1", "h2"]))
+    is_first = (F.col("doc") == F.col("first.doc")) & (F.col("line") == F.col("first.line"))
+    firsts = found.where(is_first).groupBy("h1", "h2").agg(F.min(F.struct("before", "after")).alias("there"))
+    back = lambda c: F.reverse(F.split(c, "\n"))
+    start = F.col("line") - equal_ahead(back("before"), back("there.before"))
+    end = F.col("line") + F.col("size") + equal_ahead(F.split("after", "\n"), F.split("there.after", "\n"))
+    span = F.shiftleft(start.cast("long"), 32).bitwiseOR(end.cast("long"))
+    return found.where(~is_first).join(firsts, ["h1", "h2"]).groupBy("doc").agg(F.collect_set(span).alias("__repeated"))
+
+
 def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeated chunks taken out of ``text``, and ``__lines`` and ``__words`` that went.
+    """``docs`` with the repeated lines taken out of ``text``, and ``__lines`` and ``__words`` that went.
 
     Of equal chunks the one in the least document id, and there the first, stays. Chunks are grouped by their text, so
-    bytes decide whether they are equal; rows find their group again by two independent 64-bit hashes. All columns
-    and rows are kept; a null or empty text stays as it is. Rows with a null id are compared with nothing and stay.
-    Rows that share an id are one document: equal rows leave each other alone. Only ids, line numbers and
-    the texts of chunks are shuffled, and each document once at the end.
+    bytes decide whether they are equal, and so they do for the lines around them; rows find their group again by two independent
+    64-bit hashes. A line goes only if an earlier place (document, line) holds it, so its first occurrence always stays.
+    Chunks are compared with the surroundings of their first occurrence only. All columns and rows are kept; a null or
+    empty text stays as it is. Rows with a null id are compared with nothing and stay. Rows that share an id are one document:
+    equal rows leave each other alone. Ids, line numbers and texts of chunks are shuffled, then those of repeated chunks
+    with the chunks around them, and each document once at the end.
     """
-    base = with_text(docs, doc_id, text).where("__id IS NOT NULL")
-    hashes = (F.xxhash64("chunk").alias("h1"), F.xxhash64(F.lit(7), "chunk").alias("h2"))
-    rows = chunk_rows(base)
-    place = F.struct("doc", "line")
-    groups = rows.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    repeated = stage(groups.where("first <> last").select(*hashes, "first"))
-    copies = (
-        rows.select(*hashes, "doc", "line")
-        .join(repeated, ["h1", "h2"])
-        .where((F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line")))
-        .groupBy("doc").agg(F.collect_set("line").alias("__repeated"))
-    )
+    copies = repeated_lines(with_text(docs, doc_id, text).where("__id IS NOT NULL"))
     taken = {c.lower() for c in docs.columns} & {"__repeated", "__lines", "__words"}
     if taken:
         raise ValueError(f"columns exist already: {sorted(taken)}")
@@ -138,10 +196,12 @@ def drop_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     at = docs.columns.index(text)
 
     def begin() -> Callable:
+        cuts = WordCuts()
+
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             texts, n_lines, n_words = [], [], []
-            for old, marks in zip(part.column(at).to_pylist(), part.column("__repeated").to_pylist(), strict=True):
-                new = without(old, set(marks)) if old and marks else (old, 0, 0)
+            for old, spans in zip(part.column(at).to_pylist(), part.column("__repeated").to_pylist(), strict=True):
+                new = without(old, spans, cuts) if old and spans else (old, 0, 0)
                 for column, value in zip((texts, n_lines, n_words), new, strict=True):
                     column.append(value)
             kept = [part.column(i) for i in range(part.num_columns - 1)]
