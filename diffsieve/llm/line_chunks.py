@@ -25,9 +25,10 @@ from diffsieve.staging import stage
 
 LINE = re.compile(r"[^\n.!?,;:。！？，；：、]*(?:\n|[.!?,;:。！？，；：、]+(?:\s|\Z)?|\Z)")
 #: A line of more characters is also cut behind every word (between spaces) whose hash is a multiple of WORD_CUT.
-LONG_LINE, WORD_CUT = 80, 4
-#: A chunk ends behind a line with this chance, decided by the hash of the last WINDOW lines; a chunk has 1 to GREATEST lines.
-WINDOW, BOUNDARY, GREATEST = 2, 0.65, 16
+LONG_LINE, WORD_CUT = 60, 4
+#: A chunk ends behind a line with this chance, decided by the hash of the last WINDOW lines. A chunk has LEAST to GREATEST lines
+#: (a text's last one may have fewer).
+WINDOW, BOUNDARY, LEAST, GREATEST = 2, 0.65, 2, 16
 #: A repeated stretch is removed if it has so many lines and words.
 LEAST_LINES, LEAST_WORDS = 2, 16
 _PRIME = np.uint64(0x100000001B3)
@@ -73,12 +74,17 @@ def chunk_ends(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     for back in range(WINDOW - 1, -1, -1):
         own = np.where(place >= back, np.roll(hashes, back), np.uint64(0))
         rolled = mix(rolled * _PRIME ^ own)
-    cut = rolled < np.uint64(int(BOUNDARY * 2**64))
-    cut[last] = True
-    ends = np.flatnonzero(cut)
-    sizes = np.diff(np.r_[-1, ends])
-    within = np.arange(len(hashes)) - np.repeat(ends + 1 - sizes, sizes)
-    return np.flatnonzero(cut | (within % GREATEST == GREATEST - 1))
+    final = np.zeros(len(hashes), bool)
+    final[last] = True
+    ends, start = [], 0
+    for end in np.flatnonzero((rolled < np.uint64(int(BOUNDARY * 2**64))) | final).tolist():
+        while end + 1 - start > GREATEST:
+            start += GREATEST
+            ends.append(start - 1)
+        if end + 1 - start >= LEAST or final[end]:
+            ends.append(end)
+            start = end + 1
+    return np.array(ends, np.int64)
 
 
 CHUNK = "doc bigint, line int, size int, chunk string"
