@@ -98,16 +98,20 @@ def compiled(rules: list[tuple[int, str]]) -> tuple[list[tuple[str, list[int]]],
 
 def candidate_rules(lines: DataFrame, texts: list[tuple[str, list[int]]], name: str = "rule_ord") -> DataFrame:
     """``lines`` (with a column ``text``) once for every rule that has a text in the line, numbered in ``name``. One pass over the lines; those
-    without a candidate stay behind."""
-    shared = lines.sparkSession.sparkContext.broadcast(texts)
-    schema = T.StructType([*lines.schema.fields, T.StructField(name, T.IntegerType())])
+    without a candidate stay behind. A line leaves Python once, with all its candidates."""
+    shared = lines.sparkSession.sparkContext.broadcast({"texts": texts})
+    schema = T.StructType([*lines.schema.fields, T.StructField("_rules", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        numbers = [np.array(n, np.int64) for _, n in shared.value]
-        for i, (text, _) in enumerate(shared.value):
-            automaton.add_word(text, i)
-        automaton.make_automaton()
+        made = shared.value
+        if "automaton" not in made:  # once a worker, not once a task
+            automaton = ahocorasick.Automaton()
+            for i, (text, _) in enumerate(made["texts"]):
+                automaton.add_word(text, i)
+            automaton.make_automaton()
+            made["numbers"] = [np.array(n, np.int64) for _, n in made["texts"]]
+            made["automaton"] = automaton
+        automaton, numbers = made["automaton"], made["numbers"]
         for batch in batches:
             lowered = [(x or "").lower() for x in batch.column("text").to_pylist()]
             ends = np.cumsum([len(x) + 1 for x in lowered], dtype=np.int64)
@@ -123,14 +127,18 @@ def candidate_rules(lines: DataFrame, texts: list[tuple[str, list[int]]], name:
             sizes = np.array([len(numbers[i]) for i in hit.tolist()])
             rule = np.concatenate([numbers[i] for i in hit.tolist()])
             both = np.unique(np.stack([np.repeat(row, sizes), rule]), axis=1)  # a rule may have several texts in a line
-            kept = batch.take(pa.array(both[0]))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(both[1], pa.int32())], names=schema.names)
+            kept, begins = np.unique(both[0], return_index=True)
+            rules = pa.ListArray.from_arrays(pa.array([*begins.tolist(), both.shape[1]], pa.int32()), pa.array(both[1], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(kept)).columns, rules], names=schema.names)
 
-    return lines.mapInArrow(run, schema)
+    return lines.mapInArrow(run, schema).withColumn(name, F.explode("_rules")).drop("_rules")
 
 
 def matching_rules(lines: DataFrame, rules: DataFrame, texts: list[tuple[str, list[int]]]) -> DataFrame:
-    """Lines with the rules (``rule_ord``) of their ruleset that match, found through ``texts``."""
-    tried = candidate_rules(lines, texts).join(
-        rules.select("rule_ord", F.col("ruleset").alias("_of"), F.col("pattern").alias("_pattern")), "rule_ord")
+    """Lines with the rules (``rule_ord``) of their ruleset that match, found through ``texts``.
+
+    The patterns go to all tasks, as ``texts`` do: a line may have hundreds of candidates, and is not moved for any of them.
+    """
+    patterns = F.broadcast(rules.select("rule_ord", F.col("ruleset").alias("_of"), F.col("pattern").alias("_pattern")))
+    tried = candidate_rules(lines, texts).join(patterns, "rule_ord")
     return tried.filter((F.col("ruleset") == F.col("_of")) & F.expr("text rlike _pattern")).select(*lines.columns, "rule_ord")

@@ -76,7 +76,8 @@ def table_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
 
     The table is configuration: numbers and patterns are read once. Rules whose patterns name a text that matches must contain are found by
     one pass over the lines, however many there are (see `literals`); the others are compiled in like any pack, RULES_PER_PASS a
-    projection. Only patterns decide; needles of a user's rules are not used, as nothing says that they are implied.
+    projection. Only patterns decide; needles of a user's rules are not used, as nothing says that they are implied. The table goes to all
+    tasks, so that no line is moved.
     """
     rows = rules.select("rule_ord", *[f for f in Rule._fields if f in rules.columns]).orderBy("rule_ord").collect()
     texts, without = compiled([(r["rule_ord"], r["pattern"]) for r in rows])
@@ -90,7 +91,7 @@ def table_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
         hits.append(rule_hits(lines, [rule for _, rule in part]).withColumn("rule_ord", own))
     if not hits:
         hits = [lines.limit(0).withColumn("rule_ord", F.lit(None).cast(rules.schema["rule_ord"].dataType))]
-    return reduce(DataFrame.unionByName, hits).join(rule_meanings(rules), "rule_ord")
+    return reduce(DataFrame.unionByName, hits).join(F.broadcast(rule_meanings(rules)), "rule_ord")
 
 
 def rule_meanings(rules: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from ..operators.rules import RULE_PACK, TEXT_PACK, rule_table
 from ..sources import corpus as corpus_source
 from ..sources import files as file_source
 from ..sources import scanner_json, sinks
-from ..staging import checkpoint_folder
+from ..staging import checkpoint_folder, stage
 from ..streaming import events as event_ops
 from ..streaming import reviews as review_streams
 from .review import Review, merge_branches
@@ -1222,15 +1222,16 @@ def streamed_job_status(spark, folder):
 def large_rule_table(spark, folder):
     """A rule for the longest word of every document, run over the lines of all documents."""
     docs = documents_of(spark, folder)
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
-    longest = words.groupBy("doc_id").agg(F.min(F.struct(-F.length("word"), "word")).alias("w")).groupBy("w.word").agg(F.min("doc_id").cast("int").alias("rule_ord"))
-    rules = longest.select(
+    words = F.transform(
+        F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("word")))
+    longest = docs.select("doc_id", F.array_min(words).alias("w")).groupBy("doc_id").agg(F.min("w").alias("w")).where("w IS NOT NULL").groupBy(
+        "w.word").agg(F.min("doc_id").cast("int").alias("rule_ord"))
+    rules = stage(longest.select(
         "rule_ord", F.concat(F.lit("W"), F.col("rule_ord").cast("string")).alias("rule_id"), F.lit("p/text").alias("ruleset"), F.lit(1).alias("layer"),
         F.lit("LOW").alias("raw_severity"), F.col("word").alias("name"),
         F.concat(F.lit("(?i)(^|[^a-z])"), F.col("word"), F.lit("([^a-z]|$)")).alias("pattern"), F.lit("word").alias("message"),
-        F.lit(None).cast("array<string>").alias("needles"))
+        F.lit(None).cast("array<string>").alias("needles")))
     lines = scan.source_lines(docs.select("doc_id", F.col("text").alias("content"), F.lit("p/text").alias("ruleset")))
     hits = scan.table_hits(lines, rules)
-    return hits.groupBy("rule_ord").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_documents"), F.min("category").alias("category"))
-
+    counts = hits.groupBy("rule_ord").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("doc_id").alias("n_documents"))
+    return counts.join(scan.rule_meanings(rules).select("rule_ord", "category"), "rule_ord")

@@ -76,3 +76,17 @@ def test_empty_tables_and_lines(spark):
     lines = spark.createDataFrame(lines_of(5, rules_of(9, random.Random(1)), random.Random(1)), LINES)
     assert scan.table_hits(lines, rule_table(spark, RULE_PACK).limit(0)).collect() == []
     assert scan.table_hits(lines.limit(0), rule_table(spark, RULE_PACK)).collect() == []
+
+
+def test_no_line_is_moved_for_a_candidate(spark):
+    """Rules too large for Spark's own broadcast threshold: a line stays where it is, however many rules it may match."""
+    rng = random.Random(7)
+    rules = rules_of(300, rng)
+    lines, table = spark.createDataFrame(lines_of(60, rules, rng), LINES), spark.createDataFrame(rules, RULE_SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = scan.table_hits(lines, table)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
