@@ -136,10 +136,11 @@ def read_pr_files(spark, folder):
 def read_source_text(spark, folder):
     """Every document as a file of its own, read back by name."""
     target = f"{checkpoint_folder(spark)}/texts-{uuid.uuid4().hex}"
-    documents_of(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("doc_id").text(target, lineSep="\u0001")
-    number = F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint")
+    marked = F.concat(F.coalesce("text", F.lit("")), F.lit("\u0001"))  # Spark does not read empty files
+    sinks.write_texts(documents_of(spark, folder).select(F.col("doc_id").alias("name"), marked.alias("text")), target)
+    number = F.regexp_extract("path", "name=(-?[0-9]+)-[0-9]+-[0-9]+[.]txt$", 1).cast("bigint")
     return file_source.read_source_text(spark, target).select(
-        number.alias("doc_id"), (F.length("content") - 1).alias("n_chars"), F.md5(F.rtrim("content", F.lit("\u0001"))).alias("digest"))
+        number.alias("doc_id"), (F.length("content") - 1).alias("n_chars"), F.md5(F.substring("content", F.lit(1), F.length("content") - 1)).alias("digest"))
 
 
 def _payloads(spark, folder) -> DataFrame:

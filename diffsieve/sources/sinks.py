@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import urlparse
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -45,3 +50,39 @@ def write_markdown(lines: DataFrame, folder: str, order: list[str]) -> None:
 def append_events(events: DataFrame, folder: str) -> None:
     """Append progress events."""
     events.write.mode("append").json(folder)
+
+
+# Folders that the files of ``write_texts`` are dealt to, so that listing them is the work of as many tasks.
+TEXT_FOLDERS = 512
+
+
+def write_texts(texts: DataFrame, folder: str) -> int:
+    """Writes every row of ``texts(name, text)`` as a file ``name=<name>-<n>.txt`` of its own below ``folder`` and returns how many there are.
+
+    Tasks write straight to the shared folder: Spark's partitioned writer makes a folder and two commits for every file. The numbers n of a task are
+    its own, so no row meets the file of another; a repeated task writes the same files again.
+    """
+    parts = urlparse(folder)
+    if parts.scheme in ("", "file"):
+        shared, top = pa.fs.LocalFileSystem(), parts.path
+    else:
+        shared, top = pa.fs.FileSystem.from_uri(folder)
+    folders = TEXT_FOLDERS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, made = 0, set()
+        for batch in batches:
+            for name, text, task in zip(*(batch.column(c).to_pylist() for c in ("name", "text", "_task")), strict=True):
+                n += 1
+                below = f"{top}/{(n + 31 * task) % folders:03d}"
+                if below not in made:
+                    shared.create_dir(below, recursive=True)
+                    made.add(below)
+                with shared.open_output_stream(f"{below}/name={name}-{task}-{n}.txt") as file:
+                    file.write(text.encode())
+        yield pa.RecordBatch.from_pydict({"n": [n]}, pa.schema([("n", pa.int64())]))
+
+    tasks = max(2 * texts.sparkSession.sparkContext.defaultParallelism, 1)
+    named = texts.select(F.col("name").cast("string").alias("name"), "text").repartition(tasks, "name")
+    done = named.withColumn("_task", F.spark_partition_id()).mapInArrow(run, "n bigint")
+    return done.agg(F.sum("n").alias("n")).first()["n"] or 0

@@ -1,3 +1,4 @@
+import hashlib
 from pyspark.sql import functions as F
 
 from diffsieve import schemas
@@ -61,3 +62,15 @@ def test_unparseable_sources_can_be_left_out(spark):
     rows = [(1, 0, "a.py", "python", "def a(:"), (1, 1, "b.py", "python", "x = 1"), (1, 2, "c.js", "javascript", "def a(:")]
     files = spark.createDataFrame(rows, "review_id BIGINT, file_ord INT, filename STRING, language STRING, content STRING")
     assert {r.filename for r in ops.parseable(files).collect()} == {"b.py", "c.js"}
+
+
+def test_every_document_is_a_file_of_its_own(spark, tmp_path):
+    """Documents that share an id, are empty or end in the mark, and ids below zero; as many folders as writers need, not one a document."""
+    from diffsieve.plans.queries import QUERIES
+
+    rows = [(7, "one"), (7, "two, longer"), (8, ""), (9, None), (-3, "é\n\u0001"), *[(100 + i, f"t{i}") for i in range(700)]]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["read_source_text"](spark, str(tmp_path))
+    want = sorted((i, len(t or ""), hashlib.md5((t or "").encode()).hexdigest()) for i, t in rows)
+    assert sorted(tuple(r) for r in out.collect()) == want
+    assert len({f.rsplit("/", 1)[0] for f in out.inputFiles()}) <= 512
