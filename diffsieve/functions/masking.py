@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 PIECES = (
     r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''|" + r'"[^"\n]*"|' + r"'[^'\n]*'|" + r"#[^\n]*|" + r"""[^"'#]+|["'#]"""
 )
+# The same pieces, read faster: one class that holds every character.
+_READ = PIECES.replace(r"[\s\S]", "(?s:.)")
 # Marks a line that starts inside a triple-quoted text.
 INSIDE = "\u0001"
 
@@ -23,11 +25,12 @@ def masked_source(content: Column) -> Column:
     plain = F.when(escapes, F.regexp_replace(content, r"\\[^\n]", "__")).otherwise(content)
 
     def mask(piece: Column) -> Column:
-        emptied = F.replace(F.regexp_replace(piece, r"[^\n]+", ""), F.lit("\n"), F.lit("\n" + INSIDE))
+        breaks = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+        emptied = F.repeat(F.lit("\n" + INSIDE), breaks)
         return (
             F.when(piece.startswith('"""') | piece.startswith("'''"), emptied)
             .when(piece.startswith('"') | piece.startswith("'") | piece.startswith("#"), F.lit(""))
             .otherwise(piece)
         )
 
-    return F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(PIECES), F.lit(0)), mask), "")
+    return F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(_READ), F.lit(0)), mask), "")

@@ -21,6 +21,8 @@ from ..functions.text import unix_lines
 
 FILE = ["review_id", "file_ord", "filename"]
 WHOLE_FILE = -1
+# Bytes of source that share a partition, about.
+PART_BYTES = 4 << 20
 
 _HEAD = r"^[ \t]*((?:async[ \t]+)?(?:def|for|with)|class|if|elif|else|while|try|except|finally)\b"
 _CASE = r"^[ \t]*(match|case)\b[^=]*:[ \t]*$"
@@ -31,10 +33,15 @@ _LOOPS_AND_TRY = ["for", "while", "try", "async for"]
 
 
 def python_sources(parsed: DataFrame) -> DataFrame:
-    """Python files with their source and its masked form (strings and comments removed), placed by file."""
+    """Python files with their source and its masked form (strings and comments removed), placed by file.
+
+    The number of partitions follows the size of the sources, so that what a task sorts does not grow with the input.
+    """
     files = parsed.filter((F.col("language") == "python") & (F.col("content") != ""))
+    size = files.agg(F.sum(F.octet_length("content")).alias("n")).first()["n"] or 0
     source = files.select(*FILE, unix_lines(F.col("content")).alias("content"))
-    return source.withColumn("masked", masked_source(F.col("content"))).repartition(*FILE)
+    parts = max(-(-size // PART_BYTES), parsed.sparkSession.sparkContext.defaultParallelism, 2)
+    return source.withColumn("masked", masked_source(F.col("content"))).repartition(parts, *FILE)
 
 
 def code_lines(sources: DataFrame) -> DataFrame:

@@ -227,3 +227,43 @@ def test_parameters_in_brackets_of_any_depth(spark):
                   "def f[T, U](a: T, /, b: U)", "def f(key=lambda a: a, *rest, **more)", "class A"]
     rows = spark.createDataFrame([(s,) for s in signatures], "s string").select(units._parameters(F.col("s")).alias("n")).collect()
     assert [r.n for r in rows] == [0, 1, 3, 3, 2, 3, 0]
+
+
+def test_tasks_sort_no_more_however_much_source_there_is(spark, monkeypatch):
+    """The number of partitions follows the size of the sources, whatever the number of shuffle partitions is; results stay."""
+    rows = [(i, 0, "a.py", "python", f"def f{i}(a):\n    return '''\n" + "word [ \" # line\n" * 60 + "'''\n") for i in range(128)]
+    parsed = spark.createDataFrame(rows, "review_id bigint, file_ord int, filename string, language string, content string")
+    want = sorted(map(str, units.blocks(parsed).collect()))
+    counts = []
+    for part in (4 << 10, 1 << 10):
+        monkeypatch.setattr(units, "PART_BYTES", part)
+        counts.append(units.python_sources(parsed).rdd.getNumPartitions())
+        assert sorted(map(str, units.blocks(parsed).collect())) == want
+    size = sum(len(r[4]) for r in rows)
+    assert counts == [-(-size // (4 << 10)), -(-size // (1 << 10))]
+    assert units.python_sources(parsed.limit(0)).count() == 0
+
+
+def test_masking_is_the_one_of_the_pieces(spark):
+    """Against Python's reading of the same pattern, with quotes of all kinds, breaks, escapes and texts that stay open."""
+    import random
+    import re
+
+    from diffsieve.functions.masking import INSIDE, PIECES, masked_source
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(['"', "'", '"""', "'''", "#", "\n", "a b", "\\", "é😀", "\r", "("], k=rng.randrange(40))) for _ in range(800)]
+
+    def masked(text):
+        out = []
+        for piece in re.findall(PIECES, re.sub(r"\\[^\n]", "__", text)):
+            if piece.startswith(('"""', "'''")):
+                piece = ("\n" + INSIDE) * piece.count("\n")
+            elif piece[0] in "\"'#":
+                piece = ""
+            out.append(piece)
+        return "".join(out)
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.m for r in rows.select("i", masked_source(F.col("t")).alias("m")).collect()}
+    assert got == {i: masked(t) for i, t in enumerate(texts)}
