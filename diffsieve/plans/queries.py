@@ -1173,11 +1173,14 @@ def streamed_reviews(spark, folder):
     """Deliveries, some of them repeated, reviewed in two batches; the headers that the commits published."""
     base = f"{checkpoint_folder(spark)}/reviews-{uuid.uuid4().hex}"
     arrivals, contents = _review_arrivals(spark, folder)
-    arrivals.where("again = 0").drop("again").coalesce(1).write.json(f"{base}/in")
-    arrivals.where("again = 1").drop("again").coalesce(1).write.mode("append").json(f"{base}/in")
+    arrivals = stage(arrivals)
+    parts = spark.sparkContext.defaultParallelism
+    arrivals.where("again = 0").drop("again").repartition(parts).write.json(f"{base}/in")
+    first = len(spark.read.schema(schemas.HOOK_ARRIVAL).json(f"{base}/in").inputFiles())  # files of a batch; the repeats have no more
+    arrivals.where("again = 1").drop("again").repartition(first).write.mode("append").json(f"{base}/in")
     answers = [corpus_source.answers(documents_of(spark, folder), s) for s in ("security", "quality", "fix", "test")]
     review_streams.stream_reviews(
-        review_streams.read_arrivals(spark, f"{base}/in", max_files=1), f"{base}/out", f"{base}/state", contents=contents,
+        review_streams.read_arrivals(spark, f"{base}/in", max_files=first), f"{base}/out", f"{base}/state", contents=contents,
         make_review=lambda files: Review(files, *answers)).awaitTermination()
     return review_streams.read_reports(spark, f"{base}/out", "header", HEADER).select("review_id", "verdict", "summary", "files_reviewed", "error")
 

@@ -86,7 +86,8 @@ def stream_reviews(
     def run(batch: DataFrame, number: int) -> None:
         deliveries = stage(batch)  # once: the review reads them several times
         if deliveries.take(1):
-            write(report_tables(make_review(events_to_files(deliveries, listing, contents))), folder, number)
+            files = stage(events_to_files(deliveries, listing, contents))  # once: every table of a review would fetch the texts again
+            write(report_tables(make_review(files)), folder, number)
 
     return fresh.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
