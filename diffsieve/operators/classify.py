@@ -116,10 +116,13 @@ def out_of_fold(
     """The classifier of the best candidate by cross-validation, fitted on all rows, and ``key, label, fold, score`` of every row by a model
     that has not seen its fold. Folds follow a digest of the key. Expects a 0/1 column ``label``."""
     digest = F.conv(F.substring(F.md5(F.col(key).cast("string")), 9, 8), 16, 10).cast("bigint")
-    rows = stage(with_tokens(labelled, text).select(
-        key, "words", F.col("label").cast("double").alias("label"), (digest % folds).cast("int").alias("fold")))
-    estimator = pipeline(candidates[0])
-    regression = estimator.getStages()[-1]
+    whole = pipeline(candidates[0])
+    hashing, *later = whole.getStages()
+    # words are hashed once; folds and candidates fit on the counts
+    rows = stage(hashing.transform(with_tokens(labelled, text).select(
+        key, "words", F.col("label").cast("double").alias("label"), (digest % folds).cast("int").alias("fold"))).drop("words"))
+    estimator = Pipeline(stages=later)
+    regression = later[-1]
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=ParamGridBuilder().addGrid(regression.regParam, list(candidates)).build(),
         evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, foldCol="fold", collectSubModels=True)
@@ -130,7 +133,7 @@ def out_of_fold(
         scored = found.subModels[fold][best].transform(rows.filter(F.col("fold") == fold)).select(
             key, F.col("label").cast("int").alias("label"), "fold", vector_to_array("probability")[1].alias("score"))
         parts = scored if parts is None else parts.unionByName(scored)
-    return found.bestModel, stage(parts)
+    return PipelineModel([hashing, *found.bestModel.stages]), stage(parts)
 
 
 def fit_calibration(scored: DataFrame) -> IsotonicRegressionModel:

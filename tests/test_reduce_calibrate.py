@@ -106,3 +106,15 @@ def test_entry_imports_without_the_text_operators():
         import __spark_entry__
 
         assert "pipeline" in __spark_entry__.queries()
+
+
+def test_out_of_fold_hashes_words_once(spark, monkeypatch):
+    """Folds and candidates fit on the counts that were written; the model returned still takes words."""
+    rows = [(i, " ".join(["good" if i % 2 else "bad", f"w{i % 7}"]), i % 2) for i in range(90)]
+    table = spark.createDataFrame(rows, "id bigint, text string, label int")
+    written = []
+    monkeypatch.setattr(classify, "stage", lambda df: written.append(df.columns) or df)
+    model, scored = classify.out_of_fold(table, "id", "text")
+    assert "counts" in written[0] and "words" not in written[0]
+    assert scored.count() == 90
+    assert {r.id: r.score > 0.5 for r in classify.score_texts(model, table, "text").collect()} == {i: y == 1 for i, _, y in rows}
