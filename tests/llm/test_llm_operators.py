@@ -784,3 +784,21 @@ def test_gradient_equals_differences():
             low = loss()
             array[at] = old
             assert slope[at] == pytest.approx((high - low) / 2e-5, abs=2e-4)
+
+
+def test_toxicity_learns_from_every_labelled_text(spark, monkeypatch):
+    """What documents beyond the sample for the first weights say changes words, weights and bias."""
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 30)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 60)
+    rows = toxic_texts(800, 2)
+    docs = docs_of(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    used = labels.where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2").withColumn("place", F.xxhash64(F.lit(toxicity.SEED), "doc_id"))
+    used = [(r.doc_id, r.toxic) for r in used.orderBy("place").collect()]
+    first = {i for y in (0, 1) for i in [i for i, z in used if z == y][: 200]}
+    changed = docs_of(spark, [(i, t if i in first else t + " outermost") for i, t, _ in rows])
+    one, other = toxicity.fit(docs, labels), toxicity.fit(changed, labels)
+    assert "outermost" in other.number and "outermost" not in one.number
+    assert not np.array_equal(one.w["out"], other.w["out"])
+    again = toxicity.fit(docs, labels)
+    assert all(np.array_equal(one.w[k], again.w[k]) for k in one.w)
