@@ -1129,13 +1129,13 @@ def guard_dismissals(spark, folder):
 @query
 def rescan_fixes(spark, folder):
     r = review(spark, folder)
-    return rescan.rescan_fixes(r.fixes, r.fix_items, r.parsed)
+    return rescan.rescan_fixes(r.fixes, r.fix_items, r.files)
 
 
 @query
 def cleared_share(spark, folder):
     r = review(spark, folder)
-    return rounded(rescan.cleared_share(rescan.rescan_fixes(r.fixes, r.fix_items, r.parsed), r.reviews), "share")
+    return rounded(rescan.cleared_share(rescan.rescan_fixes(r.fixes, r.fix_items, r.files), r.reviews), "share")
 
 
 # ---- reviews on streams --------------------------------------------------------------------------------------------------

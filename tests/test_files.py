@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from diffsieve import schemas
 from diffsieve.operators import files as ops
 from diffsieve.sources import files as src
+from diffsieve.plans.review import Review
 
 CASES = {
     "a.py": "python", "A.PY": "python", "a.js": "javascript", "a.ts": "typescript", "a.jsx": "jsx", "a.tsx": "tsx",
@@ -74,3 +75,19 @@ def test_every_document_is_a_file_of_its_own(spark, tmp_path):
     want = sorted((i, len(t or ""), hashlib.md5((t or "").encode()).hexdigest()) for i, t in rows)
     assert sorted(tuple(r) for r in out.collect()) == want
     assert len({f.rsplit("/", 1)[0] for f in out.inputFiles()}) <= 512
+
+
+def test_a_review_makes_its_texts_once(spark):
+    """Branches read the files that were written; none makes the texts again."""
+    kinds = "review_id bigint, file_ord int, filename string, language string, content string, patch string, additions int, deletions int"
+    rows = [(1, i, f"m{i}.py", "python", f"def f{i}(x):\n    return eval(x)\n", "", 0, 0) for i in range(6)]
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    found = Review(spark.createDataFrame(rows, kinds).mapInArrow(counted, kinds))
+    assert found.listed.count() and found.quality.count() and found.fix_items.count()
+    assert made.value == len(rows)
