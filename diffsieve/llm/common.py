@@ -22,15 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in slices whose texts have about GROUP_CHARS bytes, one row at least."""
+def groups(batches: Iterator[pa.RecordBatch], column: str, size: int = GROUP_CHARS) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices whose texts have about ``size`` bytes, one row at least."""
     for batch in batches:
         lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + GROUP_CHARS)))
+            stop = max(start + 1, int(np.searchsorted(ends, before + size)))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -61,13 +61,14 @@ def add_columns(
 
 
 def explode_texts(
-    df: DataFrame, column: str, schema: str, begin: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]
+    df: DataFrame, column: str, schema: str, begin: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
+    size: int = GROUP_CHARS,
 ) -> DataFrame:
-    """Rows made from groups of whole texts; ``begin`` runs once a task and gives a function of a group."""
+    """Rows made from groups of whole texts of about ``size`` bytes; ``begin`` runs once a task and gives a function of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = begin()
-        for part in groups(batches, column):
+        for part in groups(batches, column, size):
             yield work(part)
 
     return df.mapInArrow(run, schema)

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark takes away a query's shuffle files at its end, not only when the driver happens to collect its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
@@ -25,12 +28,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, clean: bool = False) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and go on from the table.
 
-    Readers of the table fetch only the columns they need.
+    Readers of the table fetch only the columns they need. With ``clean`` the shuffle files of the writing go as soon as it is done.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true" if clean else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

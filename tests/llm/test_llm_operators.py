@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -425,6 +426,40 @@ def test_lines_with_clashing_names(spark):
     assert sorted((r["doc_id"], r["__doc"], r["doc"], r["chunk"], r["__lines"]) for r in out.collect()) == [(1, 5, 6, "a", 0), (2, 7, 8, "b", 6)]
 
 
+def test_lines_of_many_texts_at_once():
+    """White space and marks of one to three bytes, at the ends of texts too, long runs of white space, null and empty texts."""
+    rng = random.Random(12)
+    alphabet = [*"ab .\n!?,;:\t。！？\u3000\u2003\xa0\x85\u2028é中😀\x1c", *["word "] * 9, *["中文 "] * 3, " " * 9]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 3, 10, 100, 300]))) for _ in range(600)] + [None, "", "x"]
+    lines = line_chunks.Lines(pa.array(texts)[1:], line_chunks.WordCuts())
+    held, want = lines.data.tobytes(), [line_by_line(x or "") for x in texts[1:]]
+    assert lines.sizes.tolist() == [len(x) for x in want]
+    assert [held[x:y].decode() for x, y in zip(lines.begin.tolist(), lines.end.tolist())] == [y for x in want for y in x]
+    assert lines.words().tolist() == [len(y.split()) for x in want for y in x]
+    begin, end, sizes = lines.stripped()
+    stripped = [[y.strip() for y in x if y.strip()] for x in want]
+    assert sizes.tolist() == [len(x) for x in stripped]
+    assert [held[x:y].decode() for x, y in zip(begin.tolist(), end.tolist())] == [y for x in stripped for y in x]
+    assert line_chunks.hashes_of(lines.data, begin, end).tolist() == [xxhash.xxh64_intdigest(y) for x in stripped for y in x]
+    assert lines.put_together(begin, end).decode() == "".join(y + "\n" for x in stripped for y in x)
+
+
+def test_a_very_common_chunk_goes_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(line_chunks, "OFTEN", 20)
+    rng = random.Random(13)
+    same = [" ".join(f"Sentence {n} of part {k} has several words in it." for n in range(6)) for k in range(3)]
+    rows = [(k - 90, " ".join([*sentences(rng, 5), same[k % 3], same[k % 2], *sentences(rng, 3), same[k % 3]])) for k in range(180)]
+    docs = docs_of(spark, rows)
+    base = docs.selectExpr("doc_id AS __id", "text AS __text")
+    repeated = line_chunks.chunk_rows(base).groupBy("h").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
+    likely = line_chunks.chunk_rows(base, line_chunks.may_repeat(repeated)).join(repeated, "h")
+    shares = likely.where("n >= 100").groupBy("h").agg(
+        F.countDistinct("share").alias("shares"), F.min("least").alias("least"), F.countDistinct(F.when(F.col("doc") == F.col("least"), F.col("share"))).alias("first")).collect()
+    assert shares and all(r.shares == r.first == line_chunks.SHARES for r in shares)
+    out = by_id(line_chunks.deduplicated(docs))
+    assert {k: ("".join(r.text.split()), r.lines_removed, r.words_removed) for k, r in out.items()} == plain_dedup(rows)
+
+
 # ---- MinHash ---------------------------------------------------------------------------------------------------------
 
 
