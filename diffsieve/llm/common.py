@@ -36,9 +36,9 @@ def groups(batches: Iterator[pa.RecordBatch], column: str, size: int = GROUP_CHA
 
 
 def add_columns(
-    df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], begin: Callable[[], Callable]
+    df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], begin: Callable[[], Callable], size: int = GROUP_CHARS
 ) -> DataFrame:
-    """``df`` with columns computed from one text column.
+    """``df`` with columns computed from one text column, for groups of about ``size`` bytes of texts.
 
     ``begin`` runs once a task and gives a function from a list of texts (None as "") to one list or array per
     field. All columns of ``df`` are kept; a new name that ``df`` already has raises ValueError.
@@ -52,7 +52,7 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = begin()
-        for part in groups(batches, column):
+        for part in groups(batches, column, size):
             made = work([x or "" for x in part.column(column).to_pylist()])
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, *arrays], names=names)

@@ -45,8 +45,11 @@ HIDDEN, WORD_SIZE, GRAM_SIZE, GRAMS = 8, 8, 8, 2**14
 STEPS, BATCH, RATE, DECAY, SEED = 200, 128, 0.01, 0.02, 9
 #: Few toxic documents are not gone through more often than this.
 MOST_ROUNDS = 60
-#: Windows that are scored at once, and words that a worker remembers.
-LANES, REMEMBERED = 4096, 400_000
+#: Windows that a step of training judges at once.
+LANES = 4096
+#: Windows that are scored at once, words that a worker remembers, and about how many characters of texts it scores at a time: its memory does
+#: not follow the documents.
+SCORED_LANES, REMEMBERED, SCORED_CHARS = 1024, 200_000, 1_000_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -132,9 +135,16 @@ class Network:
             self.forget()
         new = [w for w in set(words) if w not in self.known]
         if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            parts = [self.inputs(new[k : k + 50_000])[0] @ self.w["in"] + self.w["in0"] for k in range(0, len(new), 50_000)]
-            self.table = np.concatenate([self.table, *parts])
+            first, size = len(self.known), len(self.known) + len(new)
+            self.known.update(zip(new, range(first, size), strict=True))
+            if size > len(self.table):
+                # room for many more words, so that the rows are seldom copied; unused room takes no memory
+                table = np.empty((max(size, REMEMBERED + REMEMBERED // 4), 6 * HIDDEN), np.float32)
+                table[:first] = self.table[:first]
+                self.table = table
+            for k in range(0, len(new), 10_000):
+                part = self.inputs(new[k : k + 10_000])[0] @ self.w["in"] + self.w["in0"]
+                self.table[first + k : first + k + len(part)] = part
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def passes(self, gates: np.ndarray, mask: np.ndarray | None, backward: bool, keep: bool = False):
@@ -391,13 +401,13 @@ def scorer(network: Network) -> Callable[[list[str]], list[float]]:
                 owner += [i] * len(at)
                 begin += at
         owner, begin = np.array(owner, np.int64), np.array(begin, np.int64)
-        for k in range(0, len(owner), LANES):
-            mine = owner[k : k + LANES]
-            at = first[mine] + begin[k : k + LANES] + np.arange(WINDOW)[:, None]
+        for k in range(0, len(owner), SCORED_LANES):
+            mine = owner[k : k + SCORED_LANES]
+            at = first[mine] + begin[k : k + SCORED_LANES] + np.arange(WINDOW)[:, None]
             np.maximum.at(worst, mine, network.logits(network.table[rows[at]], None))
         short = np.flatnonzero(sizes < WINDOW)
-        for k in range(0, len(short), LANES):
-            mine = short[k : k + LANES]
+        for k in range(0, len(short), SCORED_LANES):
+            mine = short[k : k + SCORED_LANES]
             steps = np.arange(WINDOW)[:, None]
             real = steps < sizes[mine]
             at = np.where(real, first[mine] + steps, 0)
@@ -485,7 +495,7 @@ def with_scores(docs: DataFrame, network: Network, text: str = "text") -> DataFr
         score = scorer(shared.value)
         return lambda texts: [score(texts)]
 
-    return add_columns(docs, text, [("__score", T.DoubleType())], begin)
+    return add_columns(docs, text, [("__score", T.DoubleType())], begin, SCORED_CHARS)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -26,6 +27,7 @@ from diffsieve.llm import (
     toxicity,
     url_filter,
 )
+from diffsieve.llm.common import groups
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, label string, bucket int"
@@ -763,6 +765,22 @@ def test_verdicts_equal_a_plain_bayes(spark):
 # ---- toxicity --------------------------------------------------------------------------------------------------------
 
 
+def test_scoring_memory_is_bounded():
+    """Many texts of words that occur once: a worker's memory stays small, and what it forgets and group sizes change no score."""
+    rng = random.Random(14)
+    texts = [" ".join(f"x{rng.randrange(10**9)}" for _ in range(rng.choice([0, 5, 40, 3000]))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    network = toxicity.Network(["a", "b"])
+    score = toxicity.scorer(network)
+    tracemalloc.start()
+    got = [x for part in groups(iter([batch]), "text", toxicity.SCORED_CHARS) for x in score(part.column(0).to_pylist())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    network.forget()
+    assert got[:40] == pytest.approx([toxicity.scorer(network)([x])[0] for x in texts[:40]], abs=1e-6)
+
+
 def toxic_texts(n, seed):
     rng = random.Random(seed)
     rows = []
