@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ STEPS, BATCH, RATE, DECAY, SEED = 200, 128, 0.01, 0.02, 9
 #: Few toxic documents are not gone through more often than this.
 MOST_ROUNDS = 60
 #: Windows that a step of training judges at once.
-LANES = 4096
+LANES = 1024
 #: Windows that are scored at once, words that a worker remembers, and about how many characters of texts it scores at a time: its memory does
 #: not follow the documents.
 SCORED_LANES, REMEMBERED, SCORED_CHARS = 1024, 200_000, 1_000_000
@@ -70,23 +71,58 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+@cache
+def word_characters() -> np.ndarray:
+    """Which code points ``WORD`` takes."""
+    table = np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)
+    table[ord("_")] = True
+    return table
+
+
+def n_words(text: str) -> int:
+    inside = word_characters()[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
+    return int(np.count_nonzero(inside[1:] > inside[:-1])) + int(inside[:1].sum())
+
+
+def split_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number among them of each word of one text after the other, and how many words each text
+    has: ``words_of`` of many texts at once."""
+    lower = [x.lower() for x in texts]
+    codes = np.frombuffer("\n".join(lower).encode("utf-32-le"), np.uint32)
+    inside = word_characters()[codes]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    begins = np.cumsum([0, *(len(x) + 1 for x in lower)])
+    sizes = np.diff(np.searchsorted(starts, begins))
+    if not len(starts):
+        return [], np.empty(0, np.int64), sizes
+    letters, ends = codes[inside], np.cumsum(lengths)
+    if letters.max() >= 0x80:
+        width = sum(((letters >= least).view(np.uint8) for least in (0x80, 0x800, 0x10000)), np.uint8(1))
+        ends = np.cumsum(width, dtype=np.int64)[ends - 1]
+    data = letters.tobytes().decode("utf-32-le").encode()
+    places = pa.py_buffer(np.r_[0, ends].astype(np.int64))
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, places, pa.py_buffer(data)]).dictionary_encode()
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy().astype(np.int64), sizes
+
+
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all runs of two to four characters of ``<word>``, and where each word's runs begin. Words longer than 40
     characters count with all their runs too."""
-    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    codes = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner = np.repeat(np.arange(len(words)), sizes)
     buckets, owners = [], []
     for width in (2, 3, 4):
         n = len(codes) - width + 1
         if n <= 0:
             continue
-        value = np.full(n, width, np.uint64)
+        inside = np.flatnonzero(owner[:n] == owner[width - 1 :])
+        value = np.full(len(inside), width, np.uint64)
         for k in range(width):
-            value = mix(value * np.uint64(0x100000001B3) ^ codes[k : n + k])
-        inside = owner[:n] == owner[width - 1 :]
-        buckets.append(value[inside] % np.uint64(GRAMS))
-        owners.append(owner[:n][inside])
+            value = mix(value * np.uint64(0x100000001B3) ^ codes[inside + k])
+        buckets.append(value & np.uint64(GRAMS - 1))
+        owners.append(owner[inside])
     bucket, owner = np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return bucket[order], np.searchsorted(owner[order], np.arange(len(words)))
@@ -126,17 +162,20 @@ class Network:
         numbers = np.array([self.number.get(w, 0) for w in words], np.int64)
         bucket, begins = grams_of(words)
         counts = np.diff(np.r_[begins, len(bucket)])
-        mean = np.add.reduceat(self.w["gram"][bucket], begins) / counts[:, None].astype(np.float32)
+        mean = np.add.reduceat(self.w["gram"].take(bucket, axis=0), begins) / counts[:, None].astype(np.float32)
         return np.hstack([self.w["word"][numbers], mean]), numbers, bucket, begins
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Rows of ``table`` (input times input weights, for both directions) of words, which it remembers."""
+        """Rows of ``table`` (input times input weights, for both directions) of distinct words, which it remembers."""
         if len(self.known) > REMEMBERED:
             self.forget()
-        new = [w for w in set(words) if w not in self.known]
-        if new:
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
             first, size = len(self.known), len(self.known) + len(new)
             self.known.update(zip(new, range(first, size), strict=True))
+            at[missing] = np.arange(first, size)
             if size > len(self.table):
                 # room for many more words, so that the rows are seldom copied; unused room takes no memory
                 table = np.empty((max(size, REMEMBERED + REMEMBERED // 4), 6 * HIDDEN), np.float32)
@@ -145,7 +184,49 @@ class Network:
             for k in range(0, len(new), 10_000):
                 part = self.inputs(new[k : k + 10_000])[0] @ self.w["in"] + self.w["in0"]
                 self.table[first + k : first + k + len(part)] = part
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return at
+
+    def halves(self, table: np.ndarray) -> list[np.ndarray]:
+        """Rows of ``table`` for each direction as ``window_logits`` reads them: those of the reset gate with the other sign."""
+        made = [np.ascontiguousarray(table[:, k : k + 3 * HIDDEN]) for k in (0, 3 * HIDDEN)]
+        for half in made:
+            half[:, HIDDEN : 2 * HIDDEN] *= -1
+        return made
+
+    def window_logits(self, inputs: Callable[[int, int], np.ndarray], steps: int, lanes: int, mask: np.ndarray | None) -> np.ndarray:
+        """What ``logits`` gives for windows whose input gates at a step of direction 0 or 1 are ``inputs(direction, step)``, (3 * HIDDEN, lanes), of
+        ``halves``. Lanes lie side by side, nothing is kept, and the gates stand as 1 - update and reset, each 1 / (1 + exp(x))."""
+        states = np.empty((steps, 2 * HIDDEN, lanes), np.float32)
+        both, fresh, moved = (np.empty((n * HIDDEN, lanes), np.float32) for n in (2, 1, 3))
+        for k, turn in enumerate(self.halves(self.w["back"])):
+            turn = np.ascontiguousarray(turn.T)
+            state = np.zeros((HIDDEN, lanes), np.float32)
+            for t in range(steps - 1, -1, -1) if k else range(steps):
+                given = inputs(k, t)
+                np.matmul(turn, state, out=moved)
+                np.add(given[: 2 * HIDDEN], moved[: 2 * HIDDEN], out=both)
+                with np.errstate(over="ignore"):
+                    np.exp(both, out=both)
+                both += 1
+                np.reciprocal(both, out=both)
+                np.multiply(moved[2 * HIDDEN :], both[HIDDEN:], out=fresh)
+                fresh += given[2 * HIDDEN :]
+                np.tanh(fresh, out=fresh)
+                fresh -= state
+                fresh *= both[:HIDDEN]
+                if mask is not None:
+                    fresh *= mask[t]
+                state = np.add(state, fresh, out=states[t, k * HIDDEN : (k + 1) * HIDDEN])
+        seen = np.matmul(self.w["look"].T, states)
+        seen += self.w["look0"][:, None]
+        np.tanh(seen, out=seen)
+        weight, value = (np.matmul(self.w[name].T, x)[:, 0] for name, x in (("pick", seen), ("out", states)))
+        if mask is not None:
+            weight = np.where(mask > 0, weight, np.float32(-30))
+        weight = np.exp(weight - weight.max(axis=0))
+        if mask is not None:
+            weight *= mask
+        return (weight * value).sum(axis=0) / np.maximum(weight.sum(axis=0), 1e-9) + self.w["out0"][0]
 
     def passes(self, gates: np.ndarray, mask: np.ndarray | None, backward: bool, keep: bool = False):
         """States of one direction. ``gates`` is (steps, lanes, 3 * HIDDEN); ``mask`` (steps, lanes) marks real words."""
@@ -240,10 +321,12 @@ class Steps:
         one more of a clean one."""
         x, numbers, bucket, starts = network.inputs(words)
         table = x @ network.w["in"] + network.w["in0"]
-        full = mask.all(axis=1)
+        halves, full = network.halves(table), mask.all(axis=1)
         out = np.concatenate([
-            network.logits(table[ids[k : k + LANES].T], None if full[k : k + LANES].all() else mask[k : k + LANES].T)
-            for k in range(0, len(ids), LANES)])
+            network.window_logits(
+                lambda k, t, at=ids[i : i + LANES]: halves[k].take(at[:, t], axis=0).T, WINDOW, len(full[i : i + LANES]),
+                None if full[i : i + LANES].all() else mask[i : i + LANES].T)
+            for i in range(0, len(ids), LANES)])
         chosen, target, i = [], [], 0
         for n, label in zip(sizes.tolist(), labels.tolist(), strict=True):
             chosen.append(i + int(out[i : i + n].argmax()))
@@ -254,13 +337,16 @@ class Steps:
         picked, target = np.array(chosen), np.array(target, np.float32)
         share = np.where(target > 0, toxic_share, 1.0)
         g, by_gates = network.gradient(table[ids[picked].T], mask[picked].T, target, share)
-        by_table = summed(ids[picked].T, by_gates, len(table))
-        g["in"], g["in0"] = x.T @ by_table, by_table.sum(axis=0)
+        # only words of the picked windows have a gradient
+        used, where = np.unique(ids[picked].T, return_inverse=True)
+        by_table = summed(where, by_gates, len(used))
+        g["in"], g["in0"] = x[used].T @ by_table, by_table.sum(axis=0)
         by_x = by_table @ network.w["in"].T
-        g["word"] = summed(numbers, by_x[:, :WORD_SIZE], len(network.w["word"]))
+        g["word"] = summed(numbers[used], by_x[:, :WORD_SIZE], len(network.w["word"]))
         g["word"][0] = 0
-        counts = np.diff(np.r_[starts, len(bucket)])
-        g["gram"] = summed(bucket, np.repeat(by_x[:, WORD_SIZE:] / counts[:, None], counts, axis=0), GRAMS)
+        counts = np.diff(np.r_[starts, len(bucket)])[used]
+        own = np.repeat(starts[used] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        g["gram"] = summed(bucket[own], np.repeat(by_x[:, WORD_SIZE:] / counts[:, None], counts, axis=0), GRAMS)
         self.taken += 1
         for k, v in network.w.items():
             first, second = self.moments[k]
@@ -308,21 +394,19 @@ def train(sample: list[tuple[int, int, str]], vocabulary: list[str]) -> tuple[Ne
     return network, steps
 
 
-def learn_texts(network: Network, steps: Steps, texts: list[list[str]], labels: np.ndarray, random, toxic_share: float) -> None:
-    """One step over all windows of whole texts, given as their words."""
-    number: dict[str, int] = {}
-    rows = [np.array([number.setdefault(w, len(number)) for w in t] or [0], np.int64) for t in texts]
-    if not number:
-        number[""] = 0
+def learn_texts(network: Network, steps: Steps, texts: list[str], labels: np.ndarray, random, toxic_share: float) -> None:
+    """One step over all windows of whole texts."""
+    words, row, counts = split_words(texts)
+    row = np.append(row, 0)
     ids, mask, sizes = [], [], []
-    for row, text in zip(rows, texts, strict=True):
-        at = np.array(window_rows(len(text)))[:, None] + np.arange(WINDOW)
-        real = at < len(text)
-        ids.append(row[np.where(real, at, 0)])
+    for size, first in zip(counts.tolist(), (np.cumsum(counts) - counts).tolist(), strict=True):
+        at = np.array(window_rows(size))[:, None] + np.arange(WINDOW)
+        real = at < size
+        ids.append(row[np.where(real, first + at, first)])
         mask.append(real)
         sizes.append(len(at))
     steps.learn(
-        network, list(number), np.concatenate(ids), np.concatenate(mask).astype(np.float32), np.array(sizes), labels, random,
+        network, words or [""], np.concatenate(ids), np.concatenate(mask).astype(np.float32), np.array(sizes), labels, random,
         RATE * LATER_RATE, toxic_share)
 
 
@@ -346,10 +430,10 @@ def go_on(network: Network, steps: Steps, teachers: DataFrame, n_toxic: int, n_c
 
         for batch in batches:
             for text, label in zip(batch.column("__text").to_pylist(), batch.column("__toxic").to_pylist(), strict=True):
-                texts.append(words_of(text or ""))
+                texts.append(text or "")
                 labels.append(label)
                 seen += 1
-                size += len(texts[-1])
+                size += n_words(texts[-1])
                 if len(texts) == BATCH or size > MOST_WORDS_A_STEP:
                     step()
                     size = 0
@@ -376,12 +460,14 @@ def frequent_words(texts: DataFrame) -> list[str]:
 
     def begin() -> Callable:
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            seen = Counter(w for x in part.column("__text").to_pylist() for w in set(words_of(x or "")))
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            words, row, sizes = split_words([x or "" for x in part.column("__text").to_pylist()])
+            of_doc = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(words)) + row)
+            seen = np.bincount(of_doc % max(1, len(words)), minlength=len(words))
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(seen, pa.int64())], names=["word", "n"])
 
         return work
 
-    counts = explode_texts(texts.select("__text"), "__text", "word string, n bigint", begin).groupBy("word").agg(F.sum("n").alias("n"))
+    counts = explode_texts(texts.select("__text"), "__text", "word string, n bigint", begin, SCORED_CHARS).groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in counts.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()]
 
 
@@ -389,31 +475,38 @@ def scorer(network: Network) -> Callable[[list[str]], list[float]]:
     """A function from whole texts to scores."""
 
     def score(texts: list[str]) -> list[float]:
-        words = [words_of(x) for x in texts]
-        rows = network.rows([w for t in words for w in t])
+        words, row, sizes = split_words(texts)
+        row = np.append(row, 0)
+        known = network.rows(words)
+        halves = network.halves(network.table[known] if words else np.zeros((1, 6 * HIDDEN), np.float32))
         worst = np.full(len(texts), -np.inf, np.float32)
-        sizes = np.array([len(t) for t in words])
         first = np.cumsum(sizes) - sizes
+        # half windows that stand one behind the other: a window is one and the next, where ``owner`` names its text
         owner, begin = [], []
         for i, size in enumerate(sizes.tolist()):
             if size >= WINDOW:
-                at = window_rows(size)
-                owner += [i] * len(at)
-                begin += at
+                *at, last = window_rows(size)
+                if at and last != at[-1] + STRIDE:
+                    owner += [i] * len(at) + [-1, i, -1]
+                    begin += [first[i] + x for x in (*at, at[-1] + STRIDE, last, last + STRIDE)]
+                else:
+                    owner += [i] * len(at) + [i, -1]
+                    begin += [first[i] + x for x in (*at, last, last + STRIDE)]
         owner, begin = np.array(owner, np.int64), np.array(begin, np.int64)
-        for k in range(0, len(owner), SCORED_LANES):
-            mine = owner[k : k + SCORED_LANES]
-            at = first[mine] + begin[k : k + SCORED_LANES] + np.arange(WINDOW)[:, None]
-            np.maximum.at(worst, mine, network.logits(network.table[rows[at]], None))
+        for k in range(0, len(owner) - 1, SCORED_LANES):
+            at = row[begin[k : k + SCORED_LANES + 1, None] + np.arange(STRIDE)]
+            given = [np.ascontiguousarray(half.take(at, axis=0).transpose(1, 2, 0)) for half in halves]
+            lanes = len(at) - 1
+            out = network.window_logits(lambda k, t: given[k][t % STRIDE][:, t // STRIDE : t // STRIDE + lanes], WINDOW, lanes, None)
+            mine = owner[k : k + lanes]
+            np.maximum.at(worst, mine[mine >= 0], out[mine >= 0])
         short = np.flatnonzero(sizes < WINDOW)
         for k in range(0, len(short), SCORED_LANES):
             mine = short[k : k + SCORED_LANES]
             steps = np.arange(WINDOW)[:, None]
             real = steps < sizes[mine]
-            at = np.where(real, first[mine] + steps, 0)
-            padded = np.concatenate([rows, np.zeros(1, np.int64)])
-            table = network.table if len(network.table) else np.zeros((1, 6 * HIDDEN), np.float32)
-            worst[mine] = network.logits(table[padded[at]], real.astype(np.float32))
+            at = row[np.where(real, first[mine] + steps, 0)]
+            worst[mine] = network.window_logits(lambda k, t: halves[k].take(at[t], axis=0).T, WINDOW, len(mine), real.astype(np.float32))
         return sigmoid(worst.astype(float)).tolist()
 
     return score

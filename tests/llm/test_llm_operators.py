@@ -781,6 +781,47 @@ def test_scoring_memory_is_bounded():
     assert got[:40] == pytest.approx([toxicity.scorer(network)([x])[0] for x in texts[:40]], abs=1e-6)
 
 
+def test_words_of_many_texts_at_once():
+    every = "".join(chr(c) + " a"[c % 3 == 0] for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for texts in ([], [""], ["", " ", "\n"], ["a", "a b\nA", "", "ΑΣ", "Σ", "İx ß_1 漢字😀é"], [every, *strange_texts(200)]):
+        words, row, sizes = toxicity.split_words(texts)
+        want = [toxicity.words_of(x) for x in texts]
+        assert [words[i] for i in row.tolist()] == [w for x in want for w in x] and len(set(words)) == len(words)
+        assert sizes.tolist() == [len(x) for x in want] == [toxicity.n_words(x) for x in texts]
+
+
+def test_scores_equal_those_of_single_windows():
+    """Scoring reads each word's inputs once for both windows that it lies in; scores are those of the windows one by one."""
+    rng = random.Random(3)
+    sizes = [0, 1, 31, 32, 33, 47, 48, 49, 63, 64, 65, 80, 500, *(rng.randrange(300) for _ in range(60))]
+    texts = [" ".join(rng.choice("ab cd efgh ijk lmnop q12 ß".split()) + str(rng.randrange(50)) for _ in range(n)) for n in sizes]
+    network = toxicity.Network(["ab1", "cd2"])
+    network.w["out"] *= 20
+    want = []
+    for text in texts:
+        words = toxicity.words_of(text)
+        logits = []
+        for at in toxicity.window_rows(len(words)):
+            part = words[at : at + toxicity.WINDOW]
+            gates = np.zeros((toxicity.WINDOW, 1, 6 * toxicity.HIDDEN), np.float32)
+            if part:
+                gates[: len(part), 0] = network.inputs(part)[0] @ network.w["in"] + network.w["in0"]
+            logits.append(network.logits(gates, (np.arange(toxicity.WINDOW) < len(part)).astype(np.float32)[:, None])[0])
+        want.append(toxicity.sigmoid(float(max(logits))))
+    assert toxicity.scorer(network)(texts) == pytest.approx(want, abs=1e-5) and np.std(want) > 1e-3
+    rows = []
+    halves = network.halves
+
+    class Counted(np.ndarray):
+        def take(self, at, *rest, **named):
+            rows.append(np.size(at))
+            return np.asarray(self).take(at, *rest, **named)
+
+    network.halves = lambda table: [x.view(Counted) for x in halves(table)] if len(table) != toxicity.HIDDEN else halves(table)
+    toxicity.scorer(network)([" ".join(texts[12:13] * 20)])
+    assert sum(rows) < 2.1 * 500 * 20  # twice a word, for the two directions, where windows hold each word twice for both
+
+
 def toxic_texts(n, seed):
     rng = random.Random(seed)
     rows = []
