@@ -142,6 +142,31 @@ def test_every_occurrence_of_a_word_draws_its_own_cuts():
     assert many == cut(texts[1:], [6])[0].tolist() != cut(texts[1:], [-6])[0].tolist()
 
 
+def test_repeated_words_are_not_cut_anew(monkeypatch):
+    """Words that were seen before walk through remembered states and are cut as the agenda cuts them, also after those were forgotten."""
+    pieces = sentence_pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    some = ["hello", "unbelievable", "x", "漢字😀", "é" * 19, "▁▁", "internationalization", "z" * 60, "aaaaaaa", "a\nb"]
+    texts = [" ".join(rng.choices([*some, f"once{rng.random()}"], k=400)) for _ in range(12)]
+    whole = pieces.segments
+    numbers = [5, -6, *range(10)]
+    of_doc = sentence_pieces.mix(np.array([x % 2**64 for x in numbers], np.uint64) ^ sentence_pieces.seed_of(7, 1))
+    for most in (10**6, 100):
+        monkeypatch.setattr(sentence_pieces, "_STATES", {})
+        monkeypatch.setattr(sentence_pieces, "MOST_STATES", most)
+        monkeypatch.setattr(sentence_pieces, "CUT_CHARS", 10_000)
+        for dropout in (0.1, 0.5, 1.0):
+            handed = []
+            pieces.segments = lambda words, *rest: handed.extend(words) or whole(words, *rest)
+            made = sentence_pieces.encoder(pieces, dropout, 7)(texts, numbers)
+            assert not {w for w in handed if w in {" hello", " unbelievable", " x", " aaaaaaa"}} and " " + "z" * 60 in handed
+            for text, doc, got in zip(texts, of_doc, made, strict=True):
+                words = sentence_pieces.WORD.findall(" " + text)
+                variants = sentence_pieces.mix(doc ^ np.arange(len(words)).astype(np.uint64))
+                assert got.tolist() == whole(words, variants, dropout, 7)[0].tolist()
+                assert pieces.joined(got) == (" " + text).encode()
+
+
 # ---- secrets ---------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
