@@ -7,7 +7,7 @@ candidates; only they are tried as patterns. The work per line does not grow wit
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .edges import shape_of
+
 # Shortest text that is looked for, and most alternatives of which a match has one.
 LEAST, MOST = 3, 16
 
@@ -85,15 +87,33 @@ def _texts(tree) -> list[set[str]]:
 
 def compiled(rules: list[tuple[int, str]]) -> tuple[list[tuple[str, list[int]]], list[int]]:
     """The texts to look for with the rules of each, and the rules that have none."""
+    read = [(number, required_texts(pattern)) for number, pattern in rules]
+    return required_of(read), [number for number, texts in read if not texts]
+
+
+def required_of(rules: Iterable[tuple[int, list[str]]]) -> list[tuple[str, list[int]]]:
+    """The texts to look for with the rules of each."""
     of: dict[str, list[int]] = {}
-    without = []
-    for number, pattern in rules:
-        texts = required_texts(pattern)
+    for number, texts in rules:
         for text in texts:
             of.setdefault(text, []).append(number)
-        if not texts:
-            without.append(number)
-    return list(of.items()), without
+    return list(of.items())
+
+
+def read_patterns(rules: DataFrame) -> DataFrame:
+    """``rule_ord, ruleset, pattern`` with the edges and the text between them, if that is all there is (see `edges`), and the required texts."""
+    kept = rules.where("ruleset IS NOT NULL AND pattern IS NOT NULL").select("rule_ord", "ruleset", "pattern")
+    schema = T.StructType([*kept.schema.fields, *T.StructType.fromDDL("shape STRING, literal STRING, texts ARRAY<STRING>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            patterns = batch.column("pattern").to_pylist()
+            read = [(p is not None and shape_of(p)) or (None, None) for p in patterns]
+            texts = [[t.lower()] if t else required_texts(p or "") for p, (_, t) in zip(patterns, read, strict=True)]
+            new = [pa.array([s for s, _ in read], pa.string()), pa.array([t for _, t in read], pa.string()), pa.array(texts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.names)
+
+    return kept.mapInArrow(run, schema)
 
 
 def candidate_rules(lines: DataFrame, texts: list[tuple[str, list[int]]], name: str = "rule_ord") -> DataFrame:

@@ -5,18 +5,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.severity import lookup, pattern_scanner_severity, rule_scanner_severity
 from ..functions.text import last_part, percent, prefix, short_id, title_case, unix_lines
 from ..schemas import FINDING_COLUMNS
-from .literals import compiled, matching_rules
+from ..staging import stage
+from . import edges
+from .literals import compiled, matching_rules, read_patterns, required_of
 from .rules import Rule, rule_table
 
 # Rules of a user's table without a required text that are compiled into one projection.
 RULES_PER_PASS = 300
+# Rules of a user's table that are read by the driver. A larger table stays distributed.
+RULES_AT_ONCE = 20_000
 
 
 def ruleset_of(language: Column) -> Column:
@@ -78,20 +82,53 @@ def table_hits(lines: DataFrame, rules: DataFrame) -> DataFrame:
     one pass over the lines, however many there are (see `literals`); the others are compiled in like any pack, RULES_PER_PASS a
     projection. Only patterns decide; needles of a user's rules are not used, as nothing says that they are implied. The table goes to all
     tasks, so that no line is moved.
+
+    A table of more than RULES_AT_ONCE rules stays distributed: tasks read the patterns, plain texts between edges go to the workers as arrays, piece by
+    piece (see `edges`), other rules with a text RULES_AT_ONCE a pass. What the rules say is joined only if somebody asks for it.
     """
-    rows = rules.select("rule_ord", *[f for f in Rule._fields if f in rules.columns]).orderBy("rule_ord").collect()
+    if rules.count() > RULES_AT_ONCE:
+        hits, meanings = _large_table_hits(lines, rules), rule_meanings(rules).dropDuplicates(["rule_ord"])
+        # by number, and a number has one rule: Spark leaves the join out if none of its columns is used
+        return _together(hits, lines, rules).join(meanings, "rule_ord", "left")
+    rows = rules.select("rule_ord", "ruleset", "pattern").orderBy("rule_ord").collect()
     texts, without = compiled([(r["rule_ord"], r["pattern"]) for r in rows])
     hits = [matching_rules(lines, rules, texts)] if texts else []
     everywhere = set(without)
-    numbered = [
-        (r["rule_ord"], Rule(*[r[f] for f in Rule._fields if f in r])._replace(needles=())) for r in rows if r["rule_ord"] in everywhere]
-    for at in range(0, len(numbered), RULES_PER_PASS):
-        part = numbered[at : at + RULES_PER_PASS]
-        own = F.element_at(F.array(*[F.lit(number) for number, _ in part]), F.col("rule_ord"))
-        hits.append(rule_hits(lines, [rule for _, rule in part]).withColumn("rule_ord", own))
-    if not hits:
-        hits = [lines.limit(0).withColumn("rule_ord", F.lit(None).cast(rules.schema["rule_ord"].dataType))]
-    return reduce(DataFrame.unionByName, hits).join(F.broadcast(rule_meanings(rules)), "rule_ord")
+    hits += _compiled_in(lines, [r for r in rows if r["rule_ord"] in everywhere])
+    return _together(hits, lines, rules).join(F.broadcast(rule_meanings(rules)), "rule_ord")
+
+
+def _together(hits: list[DataFrame], lines: DataFrame, rules: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, hits or [lines.limit(0).withColumn("rule_ord", F.lit(None).cast(rules.schema["rule_ord"].dataType))])
+
+
+def _compiled_in(lines: DataFrame, rows: list[Row]) -> list[DataFrame]:
+    """Lines with those of the rules ``rule_ord, ruleset, pattern`` that they match; every rule is tried on every line of its ruleset."""
+    hits = []
+    for at in range(0, len(rows), RULES_PER_PASS):
+        part = rows[at : at + RULES_PER_PASS]
+        own = F.element_at(F.array(*[F.lit(r["rule_ord"]) for r in part]), F.col("rule_ord"))
+        pack = [Rule("", r["ruleset"], 0, "", "", r["pattern"], "", []) for r in part]
+        hits.append(rule_hits(lines, pack).withColumn("rule_ord", own))
+    return hits
+
+
+def _large_table_hits(lines: DataFrame, rules: DataFrame) -> list[DataFrame]:
+    read = stage(read_patterns(rules))
+    alike = {r["shape"]: r["count"] for r in read.groupBy("shape").count().where(f"shape IS NOT NULL AND count >= {edges.LEAST_ALIKE}").collect()}
+    edged = F.coalesce(F.col("shape").isin(list(alike)), F.lit(False))
+    hits, n = [], sum(alike.values())
+    if n:
+        passes, pieces = -(-n // edges.PASS_RULES), -(-n // edges.SENT_RULES)
+        hits += edges.edged_rules(lines, read.where(edged), passes, max(passes, pieces))
+    others = read.where(~edged)
+    named = others.where(F.size("texts") > 0)
+    parts = -(-named.count() // RULES_AT_ONCE)
+    for k in range(parts):
+        part = named.where(F.pmod(F.xxhash64("rule_ord"), F.lit(parts)) == k)
+        hits.append(matching_rules(lines, part, required_of((r["rule_ord"], r["texts"]) for r in part.select("rule_ord", "texts").collect())))
+    without = others.where(F.size("texts") == 0).select("rule_ord", "ruleset", "pattern").orderBy("rule_ord").collect()
+    return hits + _compiled_in(lines, without)
 
 
 def rule_meanings(rules: DataFrame) -> DataFrame:
