@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -57,10 +59,11 @@ TEXT_FOLDERS = 512
 
 
 def write_texts(texts: DataFrame, folder: str) -> int:
-    """Writes every row of ``texts(name, text)`` as a file ``name=<name>-<n>.txt`` of its own below ``folder`` and returns how many there are.
+    """Writes every row of ``texts(name, text)`` as a file ``name=<name>-<task>-<n>.txt`` of its own below ``folder`` and returns how many there are.
 
-    Tasks write straight to the shared folder: Spark's partitioned writer makes a folder and two commits for every file. The numbers n of a task are
-    its own, so no row meets the file of another; a repeated task writes the same files again.
+    Tasks write straight to the shared folder: Spark's partitioned writer makes a folder and two commits for every file. A text is written where it is,
+    unless there are fewer partitions than tasks can run at once. The n-th row of a name in a task has the number n, so no row meets the file of another,
+    and a repeated task writes the same files again, in whatever order it reads the rows.
     """
     parts = urlparse(folder)
     if parts.scheme in ("", "file"):
@@ -70,19 +73,21 @@ def write_texts(texts: DataFrame, folder: str) -> int:
     folders = TEXT_FOLDERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, made = 0, set()
+        seen, made = Counter(), set()
         for batch in batches:
             for name, text, task in zip(*(batch.column(c).to_pylist() for c in ("name", "text", "_task")), strict=True):
-                n += 1
-                below = f"{top}/{(n + 31 * task) % folders:03d}"
+                seen[name] += 1
+                below = f"{top}/{zlib.crc32(str(name).encode()) % folders:03d}"
                 if below not in made:
                     shared.create_dir(below, recursive=True)
                     made.add(below)
-                with shared.open_output_stream(f"{below}/name={name}-{task}-{n}.txt") as file:
+                with shared.open_output_stream(f"{below}/name={name}-{task}-{seen[name]}.txt") as file:
                     file.write(text.encode())
-        yield pa.RecordBatch.from_pydict({"n": [n]}, pa.schema([("n", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"n": [seen.total()]}, pa.schema([("n", pa.int64())]))
 
-    tasks = max(2 * texts.sparkSession.sparkContext.defaultParallelism, 1)
-    named = texts.select(F.col("name").cast("string").alias("name"), "text").repartition(tasks, "name")
+    at_once = texts.sparkSession.sparkContext.defaultParallelism
+    named = texts.select(F.col("name").cast("string").alias("name"), "text")
+    if named.rdd.getNumPartitions() < at_once:
+        named = named.repartition(2 * at_once, "name")
     done = named.withColumn("_task", F.spark_partition_id()).mapInArrow(run, "n bigint")
     return done.agg(F.sum("n").alias("n")).first()["n"] or 0

@@ -1,9 +1,14 @@
+import gzip
 import hashlib
+
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from diffsieve import schemas
 from diffsieve.operators import files as ops
 from diffsieve.sources import files as src
+from diffsieve.sources import sinks
 from diffsieve.plans.review import Review
 
 CASES = {
@@ -91,3 +96,45 @@ def test_a_review_makes_its_texts_once(spark):
     found = Review(spark.createDataFrame(rows, kinds).mapInArrow(counted, kinds))
     assert found.listed.count() and found.quality.count() and found.fix_items.count()
     assert made.value == len(rows)
+
+
+def by_spark(spark, path):
+    rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return sorted(rows.select("_metadata.file_path", "_metadata.file_name", F.col("value").cast("binary").alias("value")).collect())
+
+
+def test_files_are_read_as_spark_reads_them(spark, tmp_path):
+    """Odd names, hidden, empty, packed and deep files, bytes that are no text, a path of a single file and a path that is a pattern."""
+    names = ["a.py", "deep/er/and/so/on/x.txt", "k=v/p q%20+é #~&;[1].py", "_k=1.txt", "_left/out.py", ".git/config", "x/_SUCCESS", "x/.y", "x/z._COPYING_", "_metadata/m.py", "empty.py"]
+    for i, name in enumerate(names):
+        at = tmp_path / "t" / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(b"" if name == "empty.py" else b"\xef\xbb\xbfline\r\n\xff\x00 " + str(i).encode())
+    for i in range(3):
+        (tmp_path / "t" / f"packed [{i}] %41.txt.gz").write_bytes(gzip.compress(f"packed {i}".encode()))
+    for path in (f"{tmp_path}/t", f"file://{tmp_path}/t/", f"{tmp_path}/t/a.py", f"{tmp_path}/t/*.py"):
+        got = src.read_source_text(spark, path).withColumn("content", F.col("content").cast("binary"))
+        assert got.columns == ["path", "name", "content"] and sorted(got.collect()) == by_spark(spark, path), path
+    with pytest.raises(AnalysisException):
+        src.read_source_text(spark, f"{tmp_path}/none").collect()
+
+
+def test_many_small_files_share_a_task(spark, tmp_path):
+    """The number of tasks follows the bytes of the files, not their number, and no file is listed in the driver."""
+    for i in range(800):
+        (tmp_path / f"d{i % 7}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 7}" / f"{i}.txt").write_text(f"text {i}")
+    out = src.read_source_text(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(r.content for r in out.collect()) == sorted(f"text {i}" for i in range(800))
+
+
+def test_texts_are_written_where_they_are(spark, tmp_path):
+    """Rows of one name in one task and in several; a second run of the same tasks, in another order, leaves the same files."""
+    rows = [(i % 50, f"t{i}") for i in range(300)]
+    texts = lambda turned: spark.createDataFrame(rows, "name bigint, text string").repartitionByRange(20, "text").sortWithinPartitions(
+        F.col("text").desc() if turned else "text")
+    for turned in (False, True):
+        assert sinks.write_texts(texts(turned), f"{tmp_path}/o") == 300
+        found = sorted((p.name.split("-")[0], p.read_text()) for p in tmp_path.glob("o/*/*.txt"))
+        assert found == sorted((f"name={n}", t) for n, t in rows)
