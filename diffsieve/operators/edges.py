@@ -98,11 +98,11 @@ def _powers_of(base: int, n: int) -> np.ndarray:
 
 
 class Index:
-    """Rules ``shape, literal, ruleset, rule_ord`` by edges, length and hash of the text."""
+    """Rules ``shape, literal, ruleset, rule_ord`` (the first and third as dictionaries) by edges, length and hash of the text."""
 
     def __init__(self, rules: pa.Table):
-        rules = rules.combine_chunks()
-        shape, ruleset = (pa.compute.dictionary_encode(rules[c].combine_chunks()) for c in ("shape", "ruleset"))
+        rules = rules.unify_dictionaries()
+        shape, ruleset = (rules[c].combine_chunks() for c in ("shape", "ruleset"))
         self.rulesets = {r: i for i, r in enumerate(ruleset.dictionary.to_pylist())}
         literal = rules["literal"].combine_chunks().cast(pa.large_binary())
         begins = np.frombuffer(literal.buffers()[1], np.int64)[literal.offset : literal.offset + len(literal) + 1]
@@ -119,7 +119,9 @@ class Index:
             while groups and of[groups[0][0]] == k:
                 rows = groups.pop(0)
                 n = int(sizes[rows[0]])
-                texts = data[begins[rows][:, None] + np.arange(n)]
+                texts = np.empty((len(rows), n), np.uint8)
+                for j in range(n):
+                    texts[:, j] = data[begins[rows] + j]
                 hashes = np.zeros(len(rows), np.uint64)
                 for j in range(n):
                     hashes += texts[:, j] * _powers_of(_BASE, MOST + 1)[j]
@@ -209,6 +211,8 @@ def _one_pass(lines: DataFrame, rules: DataFrame, own: list[int], pieces: int) -
     shared = []
     for piece in own:
         made = rules.where(place == piece).select("shape", "literal", "ruleset", F.col("rule_ord").cast("int").alias("rule_ord")).toArrow()
+        for k in (0, 2):
+            made = made.set_column(k, made.column_names[k], made.column(k).dictionary_encode())
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, made.schema) as out:
             out.write_table(made)
